@@ -1,0 +1 @@
+"""Every job here is a batch job; there is no streaming operator to express."""
