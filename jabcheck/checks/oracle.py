@@ -546,7 +546,7 @@ FROM (SELECT patient_id, vax_date, sum(n)::BIGINT AS total_records_day, count(*)
             *_EVENTS,
         ),
         "same_day_flags": _sql(
-            f"""SELECT {keys}, patient_id, vax_date, product AS vax_product, total_records_day, n_products_day, {same_day}
+            f"""SELECT patient_id, vax_date, product AS vax_product, total_records_day, n_products_day, {same_day}
 FROM flagged""",
             *_FLAGGED,
         ),

@@ -120,15 +120,12 @@ def same_day_pattern(spark, sf_dir):
 def same_day_flags(spark, sf_dir):
     same_day = [f for f in flags.FLAGS if f.startswith("flag_same_day")]
     return flags.flag_events(standin.vax(spark, sf_dir), COVID).select(
-        *KEY, "patient_id", "vax_date", "vax_product", "total_records_day", "n_products_day", *same_day
+        "patient_id", "vax_date", "vax_product", "total_records_day", "n_products_day", *same_day
     )
 
 
 def flags_long(spark, sf_dir):
-    flagged = flags.flag_events(standin.vax(spark, sf_dir), COVID)
-    return flags.long_flags(
-        flagged.withColumn("campaign", clean.campaign_label(COVID)), "patient_id", "vax_date", "campaign", "vax_product"
-    )
+    return flags.long_flags(flags.flagged_days(standin.vax(spark, sf_dir), COVID), COVID)
 
 
 # --- intervals
@@ -274,12 +271,16 @@ def source_combination_person(spark, sf_dir):
     )
 
 
+def _combination_counts(spark, sf_dir):
+    return crosssource.combination_counts(_presence(spark, sf_dir), FLU)
+
+
 def table_flu_sources(spark, sf_dir):
-    return crosssource.source_table(_presence(spark, sf_dir), FLU)
+    return crosssource.source_table(_combination_counts(spark, sf_dir), FLU)
 
 
 def upset_counts(spark, sf_dir):
-    return crosssource.upset_table(_presence(spark, sf_dir), FLU)
+    return crosssource.upset_table(_combination_counts(spark, sf_dir), FLU)
 
 
 def upset_intersections(spark, sf_dir):

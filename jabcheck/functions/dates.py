@@ -26,14 +26,27 @@ def campaign_rank(day: Column, starts: Sequence[date]) -> Column:
     start is NULL. A CASE chain over a dozen literals stays in generated code, where a
     join on a date range would become a nested loop.
     """
-    ordered = list(enumerate(starts, start=1))
-    rank = F.lit(None).cast("int")
-    for position, start in ordered:
-        rank = F.when(day >= F.lit(start), F.lit(position)).otherwise(rank)
+    position, latest = len(starts), starts[-1]
+    rank = F.when(day >= F.lit(latest), F.lit(position))
+    for position, start in reversed(list(enumerate(starts[:-1], start=1))):
+        rank = rank.when(day >= F.lit(start), F.lit(position))
     return rank
 
 
 def by_rank(rank: Column, values: Sequence, type_name: str) -> Column:
-    """Element of a fixed list by 1-based rank: a literal array, so no join."""
-    literals = F.array(*[F.lit(v).cast(type_name) for v in values])
+    """Element of a fixed list by 1-based rank: a literal array, so no join.
+
+    The list is given as one SQL expression; building it element by element would take a
+    round trip to the JVM for each.
+    """
+    literals = F.expr(f"cast(array({', '.join(_sql_literal(v) for v in values)}) AS array<{type_name}>)")
     return F.when(rank.isNotNull(), F.element_at(literals, rank))
+
+
+def _sql_literal(value: str | date | None) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -80,12 +80,12 @@ def combination_counts(presence: DataFrame, study: Study) -> DataFrame:
     )
 
 
-def source_table(presence: DataFrame, study: Study) -> DataFrame:
+def source_table(counts: DataFrame, study: Study) -> DataFrame:
     """Source combinations by campaign with their share; totals add up the rounded counts."""
     total = F.sum("n").over(W.partitionBy("campaign_rank"))
     share = round_tenth(F.col("n") / F.col("tot_camp") * 100)
     table = (
-        with_combination(combination_counts(presence, study))
+        with_combination(counts)
         .withColumn("tot_camp", total)
         .withColumn("perc_source", share)
         .withColumn(
@@ -103,11 +103,9 @@ def source_table(presence: DataFrame, study: Study) -> DataFrame:
     )
 
 
-def upset_table(presence: DataFrame, study: Study) -> DataFrame:
+def upset_table(counts: DataFrame, study: Study) -> DataFrame:
     """Counts behind a set-intersection chart: one row per campaign and presence pattern."""
-    return ordered(
-        combination_counts(presence, study), F.col("campaign_rank").asc_nulls_last(), *SOURCES
-    ).select(campaign_label(study).alias("campaign"), *SOURCES, "n")
+    return ordered(counts, F.col("campaign_rank").asc_nulls_last(), *SOURCES).select(campaign_label(study).alias("campaign"), *SOURCES, "n")
 
 
 def _match_name(days: int, other: str) -> str:

@@ -1,9 +1,9 @@
-"""Record-level quality flags: dates, approvals and several records on one day.
+"""Quality flags: dates, approvals and several records on one day.
 
-There are two grains. *Patient-days* hold one row per patient, day and product with the
-number of records behind it; every summary reads these, so exact copies and busy patients
-are folded into counts before anything is shuffled by patient. *Events* keep one row per
-record and get the same flags by joining the per-day counts back.
+Flags live on *patient-days*: one row per patient, day and product with the number of
+records behind it. So exact copies and busy patients are folded into counts before
+anything is shuffled by patient. Summaries weigh by the counts; a table with one row per
+record is unrolled from them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from jabcheck.functions.dates import by_rank
 from jabcheck.functions.labels import PATTERN_SEPARATOR
-from jabcheck.operators.clean import product_label, rank_of_campaign, ranked
-from jabcheck.operators.skew import any_of, join_facts
+from jabcheck.operators.clean import campaign_label, product_label, rank_of_campaign, ranked
+from jabcheck.operators.repeat import repeat_rows
 from jabcheck.study import Study
 
 #: flag columns in the order of the long table
@@ -105,18 +105,6 @@ def flagged_days(events: DataFrame, study: Study) -> DataFrame:
     return flag_days(by_patient(day_products(events, study)), study)
 
 
-def same_day_counts(events: DataFrame, study: Study) -> DataFrame:
-    """Records and distinct products per patient-day; the product set is at most the dictionary."""
-    return (
-        ranked(events, study)
-        .groupBy(*DAY)
-        .agg(
-            F.count(F.lit(1)).alias("total_records_day"),
-            F.size(F.collect_set("product_rank")).cast("long").alias("n_products_day"),
-        )
-    )
-
-
 def same_day_patterns(events: DataFrame, study: Study) -> DataFrame:
     """Per patient-day: totals, the pattern text such as ``2x a  --AND-- 1x b``, and the flags.
 
@@ -144,35 +132,42 @@ def same_day_patterns(events: DataFrame, study: Study) -> DataFrame:
     )
 
 
-def flag_events(events: DataFrame, study: Study) -> DataFrame:
-    """Every dated record with its campaign, product label, per-day counts and all flags."""
-    counted = join_facts(
-        ranked(events, study).drop("vax_product"),
-        same_day_counts(events, study).withColumn("_weight", F.col("total_records_day")),
-        DAY,
-        "_weight",
-    )
-    return counted.withColumns(
-        {
-            "vax_product": product_label(study),
-            "campaign_rank": rank_of_campaign(study),
-            "approval_date": approval_date(study),
-            **date_flags(study),
-            **approval_flags(study),
-            **same_day_flags(F.col("total_records_day"), F.col("n_products_day") > 1),
-        }
+def flag_events(events: DataFrame, study: Study, *extra: str) -> DataFrame:
+    """Every dated record with its campaign, product label, per-day counts and all flags.
+
+    ``extra`` names further columns to keep, such as ``age``. They become part of what
+    makes two records copies of each other, so they must not tell every record apart.
+    """
+    days = flag_days(by_patient(day_products(events, study, *extra)), study)
+    products = F.size(F.collect_set("product_rank").over(W.partitionBy(*DAY))).cast("long")
+    labelled = days.withColumn("n_products_day", products).select(
+        *DAY,
+        *extra,
+        product_label(study).alias("vax_product"),
+        campaign_label(study).alias("campaign"),
+        approval_date(study).alias("approval_date"),
+        "total_records_day",
+        "n_products_day",
+        *FLAGS,
+        "n_records",
     )
+    return repeat_rows(labelled, "n_records")
 
 
-def long_flags(flagged: DataFrame, *keep: str) -> DataFrame:
-    """One row per record and raised flag: the kept columns and ``flag_type``.
+def long_flags(flagged: DataFrame, study: Study) -> DataFrame:
+    """One row per record and raised flag, from flagged patient-days.
 
     Explodes only the raised flags instead of unpivoting seven columns and filtering after.
     """
     raised = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(flag)) for flag in FLAGS]))
-    return flagged.where(any_of([F.coalesce(F.col(f), F.lit(False)) for f in FLAGS])).select(
-        *keep, F.explode(raised).alias("flag_type")
+    weighted = flagged.where(" OR ".join(FLAGS)).select(
+        *DAY,
+        campaign_label(study).alias("campaign"),
+        product_label(study).alias("vax_product"),
+        F.explode(raised).alias("flag_type"),
+        "n_records",
     )
+    return repeat_rows(weighted, "n_records")
 
 
 def _named(columns: dict[str, Column]) -> list[Column]:

@@ -38,7 +38,9 @@ def single_record_days(events: DataFrame, study: Study) -> DataFrame:
 
 
 def after_first_campaign(days: DataFrame, study: Study) -> DataFrame:
-    return days.withColumn("campaign_rank", rank_of_campaign(study)).where(F.col("campaign_rank") > 1)
+    """Days of every campaign but the first; a plain date bound, so it reaches the scan."""
+    later = days.where(F.col("vax_date") >= F.lit(study.campaign_starts[1]))
+    return later.withColumn("campaign_rank", rank_of_campaign(study))
 
 
 def dose_gaps(days: DataFrame) -> DataFrame:

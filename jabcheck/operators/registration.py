@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jabcheck.operators.clean import dated
 from jabcheck.operators.flags import by_patient
-from jabcheck.operators.skew import join_facts
+from jabcheck.operators.repeat import repeat_rows
 
 OPEN_END = date(9999, 12, 31)
 
@@ -51,23 +51,15 @@ def add_active(days: DataFrame, registrations: DataFrame) -> DataFrame:
     )
 
 
-PERSON_DAY = ["patient_id", "vax_date"]
-
-
 def events_with_active(events: DataFrame, registrations: DataFrame) -> DataFrame:
     """Every dated record with ``active_on_vax_date``.
 
-    Registration is decided once per patient-day and joined back to the records.
+    Equal records are decided once and unrolled again, so a patient is a bounded group.
     """
-    rows = dated(events)
-    days = rows.groupBy(*PERSON_DAY).agg(F.count(F.lit(1)).alias("_weight"))
-    registered = add_active(days.withColumn("death_date", F.lit(None).cast("date")), registrations)
-    alive = F.col("death_date").isNull() | (F.col("death_date") >= F.col("vax_date"))
-    return (
-        join_facts(rows, registered.drop("death_date"), PERSON_DAY, "_weight")
-        .withColumn("active_on_vax_date", F.col("active") & alive)
-        .drop("active")
-    )
+    columns = ["patient_id", "vax_date", "vax_product", "death_date"]
+    distinct = dated(events).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_records"))
+    decided = add_active(distinct, registrations).withColumnRenamed("active", "active_on_vax_date")
+    return repeat_rows(decided, "n_records")
 
 
 def active_events(events: DataFrame, registrations: DataFrame) -> DataFrame:

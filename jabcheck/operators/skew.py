@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: a key with more than 1/HOT_SHARE of all rows is hot; so fewer than HOT_SHARE keys can be
@@ -21,20 +19,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str)
     All other rows take an ordinary shuffle join. Adaptive execution would not do this: it
     splits a join of two plain shuffles only, and here one side is an aggregate.
     """
-    total = facts.agg(F.sum(weight).alias("_total"))
-    hot = (
-        facts.crossJoin(F.broadcast(total))
-        .where(F.col(weight) * HOT_SHARE > F.col("_total"))
-        .drop("_total", weight)
-    )
+    total = facts.agg(F.sum(weight)).scalar()
+    hot = facts.where(F.col(weight) * HOT_SHARE > total).drop(weight)
     in_place = rows.join(F.broadcast(hot), keys)
     shuffled = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.drop(weight), keys)
     return in_place.unionByName(shuffled)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,21 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(staging_dir(frame.sparkSession))
     return frame.checkpoint()
+
+
+@contextmanager
+def staged_by_patient(frame: DataFrame) -> Iterator[DataFrame]:
+    """``frame`` as a table in the shared folder, bucketed by patient, for one ``with`` block.
+
+    Windows and groupings by patient read it without a shuffle. The table is dropped,
+    with its files, at the end of the block.
+    """
+    spark = frame.sparkSession
+    database = f"staging_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{staging_dir(spark).rstrip('/')}/{database}'")
+    try:
+        frame.write.bucketBy(buckets, "patient_id").sortBy("patient_id", "vax_date").saveAsTable(f"{database}.rows")
+        yield spark.table(f"{database}.rows")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")

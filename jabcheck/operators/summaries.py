@@ -19,7 +19,6 @@ from jabcheck.functions.rounding import round_midpoint
 from jabcheck.operators.clean import campaign_label, product_label
 from jabcheck.operators.flags import FLAGS
 from jabcheck.operators.intervals import context_of, interval_bin
-from jabcheck.operators.skew import any_of
 from jabcheck.study import Study
 
 ROUNDED_SUFFIX = "_midpoint6"
@@ -33,7 +32,7 @@ def whole_table() -> WindowSpec:
     return W.partitionBy()
 
 
-def ordered(table: DataFrame, *order: Column) -> DataFrame:
+def ordered(table: DataFrame, *order: Column | str) -> DataFrame:
     """Total order of a small result table, without sampling it for a range shuffle."""
     return table.coalesce(1).sortWithinPartitions(*order)
 
@@ -46,34 +45,28 @@ def rounded(table: DataFrame, threshold: int) -> DataFrame:
     )
 
 
+# The flag columns are summed by SQL text: seven flags at a time in one expression each.
+
+
 def _flag_counts_per_patient(flagged: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    raised = [F.sum(F.when(F.col(f), F.col("n_records")).otherwise(0)).alias(f) for f in FLAGS]
+    raised = [F.expr(f"sum(if({flag}, n_records, 0))").alias(flag) for flag in FLAGS]
     return flagged.groupBy("patient_id", *keys).agg(*raised, *extra)
 
 
 def _sum_over_patients() -> list[Column]:
-    sums = []
-    for flag in FLAGS:
-        sums.append(F.sum(flag).alias(f"{flag}_records"))
-        sums.append(F.count_if(F.col(flag) > 0).alias(f"{flag}_patients"))
-    return sums
+    records = [F.expr(f"sum({flag}) AS {flag}_records") for flag in FLAGS]
+    return records + [F.expr(f"count_if({flag} > 0) AS {flag}_patients") for flag in FLAGS]
 
 
 def _one_row_per_flag(sums: DataFrame, *keep: str) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(flag).alias("flag_type"),
-            F.col(f"{flag}_records").alias("n_records"),
-            F.col(f"{flag}_patients").alias("n_patients"),
-        )
-        for flag in FLAGS
-    ]
-    return sums.select(*keep, F.inline(F.array(*entries))).where(F.col("n_records") > 0)
+    entries = ", ".join(f"'{flag}', {flag}_records, {flag}_patients" for flag in FLAGS)
+    stacked = f"stack({len(FLAGS)}, {entries}) AS (flag_type, n_records, n_patients)"
+    return sums.selectExpr(*keep, stacked).where("n_records > 0")
 
 
 def _flag_table(flagged: DataFrame, keys: list[str]) -> DataFrame:
     """Flag counts per key with totals over all raised flags."""
-    per_patient = _flag_counts_per_patient(flagged, keys).where(any_of([F.col(f) > 0 for f in FLAGS]))
+    per_patient = _flag_counts_per_patient(flagged, keys).where(" OR ".join(f"{f} > 0" for f in FLAGS))
     if keys:
         first = F.row_number().over(W.partitionBy("patient_id").orderBy(*keys)) == 1
     else:

@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jabcheck.functions.labels import SOURCES, source_combination
-
-#: rows written by one step of :func:`uncount`
-CHUNK = 100_000
-
+from jabcheck.operators.repeat import repeat_rows
 
 def intersections(counts: DataFrame) -> DataFrame:
     """Size of each exclusive intersection, ranked by frequency within its campaign."""
@@ -33,16 +30,6 @@ def set_sizes(counts: DataFrame) -> DataFrame:
 
 
 def uncount(counts: DataFrame) -> DataFrame:
-    """Repeat each row ``n`` times, with the sources as 0/1.
-
-    A count is first cut into chunks that are spread over the cluster and then unrolled,
-    so one large count neither builds one huge array nor stays in one task.
-    """
-    last_chunk = F.floor((F.col("n") - 1) / F.lit(CHUNK)).cast("long")
-    chunks = counts.where(F.col("n") > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-    size = F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("_chunk") * CHUNK)
-    return (
-        chunks.repartition("campaign", *SOURCES, "_chunk")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size)))
-        .select("campaign", *[F.col(s).cast("int").alias(s) for s in SOURCES])
-    )
+    """One row per person, with the sources as 0/1."""
+    people = repeat_rows(counts, "n")
+    return people.select("campaign", *[F.col(s).cast("int").alias(s) for s in SOURCES])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jabcheck.functions.rounding import number_text
 from jabcheck.sources.readers import NA
 
 
@@ -15,14 +16,18 @@ def write_extract(events: DataFrame, path: str) -> None:
 def write_csv(table: DataFrame, path: str) -> None:
     """Write a summary table as one CSV file in the order it comes in.
 
-    Booleans are upper case and missing values ``NA``, as readers of the tables expect.
+    Booleans are upper case, whole doubles lose their ``.0`` and missing values are ``NA``.
     Only for aggregated tables, which have a few thousand rows at most.
     """
-    columns = [
-        F.upper(F.col(f"`{name}`").cast("string")).alias(name) if kind == "boolean" else F.col(f"`{name}`")
-        for name, kind in table.dtypes
-    ]
-    table.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NA, emptyValue="")
+    columns = []
+    for name, kind in table.dtypes:
+        value = F.col(f"`{name}`")
+        if kind == "boolean":
+            value = F.upper(value.cast("string"))
+        elif kind == "double":
+            value = number_text(value)
+        columns.append(value.alias(name))
+    table.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NA)
 
 
 def write_json(table: DataFrame, path: str) -> None:
