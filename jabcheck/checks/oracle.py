@@ -6,7 +6,7 @@ Runs on the raw tables. Each query is a list of named views followed by a SELECT
 from __future__ import annotations
 
 from jabcheck.checks import standin
-from jabcheck.functions.draws import MODULUS, MULTIPLIER, SALT_STEP
+from jabcheck.functions.draws import HIGH_MULTIPLIER, MODULUS, MULTIPLIER, SALT_STEP
 from jabcheck.functions.labels import INTERVAL_BINS
 from jabcheck.operators.perturb import (
     BEFORE_APPROVAL_DAYS,
@@ -250,8 +250,9 @@ def _rounded(sql: str, keys: list[str], counts: list[str]) -> str:
 
 def _draw(key: str, salt: str) -> str:
     s = SALTS[salt]
-    first = f"((({key}) % {MODULUS} * {MULTIPLIER} + {s * SALT_STEP + 1}) % {MODULUS})"
-    return f"((({first} * {first} + {s * 16807 + 11}) % {MODULUS}) * {MULTIPLIER} + 7) % {MODULUS}"
+    halves = f"({key}) % {MODULUS} * {MULTIPLIER} + (({key}) >> 31) % {MODULUS} * {HIGH_MULTIPLIER}"
+    first = f"(({halves} + {s * SALT_STEP + 1}) % {MODULUS})"
+    return f"((({first} * {first} + {s * HIGH_MULTIPLIER + 11}) % {MODULUS}) * {MULTIPLIER} + 7) % {MODULUS}"
 
 
 def _below(key: str, salt: str, first: int, last: int) -> str:
@@ -510,7 +511,7 @@ FROM periods WHERE patient_id IN (SELECT patient_id FROM vax WHERE l_linestatus
             VAX,
         ),
         "age_on_event": _sql(
-            f"""SELECT {keys}, patient_id, vax_date AS date, {_age("born", "vax_date")} AS age
+            f"""SELECT patient_id, vax_date AS date, {_age("born", "vax_date")} AS age
 FROM vax LEFT JOIN persons USING (patient_id)""",
             PERSONS,
             VAX,

@@ -12,6 +12,7 @@ from jabcheck.functions.dates import age_on
 from jabcheck.functions.labels import SOURCES
 from jabcheck.functions.rounding import round_midpoint
 from jabcheck.operators import clean, crosssource, extract, flags, intervals, perturb, registration, summaries, upset
+from jabcheck.operators.counts import fold_rows, unroll_rows
 from jabcheck.operators.staging import checkpointed
 from jabcheck.plans import design
 from jabcheck.study import Study
@@ -70,9 +71,11 @@ def registration_extract(spark, sf_dir):
 
 
 def age_on_event(spark, sf_dir):
-    events = standin.vaccinations(spark, sf_dir).select(*KEY, "patient_id", "date")
-    persons = extract.with_person(events, standin.patients(spark, sf_dir))
-    return persons.select(*KEY, "patient_id", "date", age_on(F.col("date_of_birth"), F.col("date")).alias("age"))
+    folded = fold_rows(standin.vaccinations(spark, sf_dir), "patient_id", "date")
+    aged = extract.with_person(folded, standin.patients(spark, sf_dir)).withColumn(
+        "age", age_on(F.col("date_of_birth"), F.col("date"))
+    )
+    return unroll_rows(aged).select("patient_id", "date", "age")
 
 
 def campaign_assign(spark, sf_dir):
@@ -154,18 +157,19 @@ def interval_context(spark, sf_dir):
 # --- registration
 
 
-def _vax_with_death(spark, sf_dir):
-    return extract.with_death(standin.vax(spark, sf_dir), standin.deaths(spark, sf_dir))
+def _decided(spark, sf_dir):
+    folded = fold_rows(standin.vax(spark, sf_dir), "patient_id", "vax_date", "vax_product")
+    dead_or_alive = extract.with_death(folded, standin.deaths(spark, sf_dir))
+    return registration.add_active(dead_or_alive, standin.registrations(spark, sf_dir))
 
 
 def active_on_date(spark, sf_dir):
-    return registration.active_events(_vax_with_death(spark, sf_dir), standin.registrations(spark, sf_dir)).select(
-        "patient_id", "vax_date", "vax_product"
-    )
+    active = _decided(spark, sf_dir).where("active")
+    return registration.unroll_active(active).select("patient_id", "vax_date", "vax_product")
 
 
 def active_flag_any(spark, sf_dir):
-    return registration.events_with_active(_vax_with_death(spark, sf_dir), standin.registrations(spark, sf_dir)).select(
+    return registration.unroll_active(_decided(spark, sf_dir)).select(
         "patient_id", "vax_date", "vax_product", "death_date", "active_on_vax_date"
     )
 
@@ -233,11 +237,12 @@ def _rounded(query: Query) -> Query:
 
 
 def flu_source_summary(spark, sf_dir):
-    persons = standin.patients(spark, sf_dir)
-    records = standin.flu_records(spark, sf_dir)
-    aged = extract.with_person(records, persons).withColumn("age", age_on(F.col("date_of_birth"), F.col("vax_date")))
+    folded = fold_rows(standin.flu_records(spark, sf_dir), "source", "patient_id", "vax_date")
+    aged = extract.with_person(folded, standin.patients(spark, sf_dir)).withColumn(
+        "age", age_on(F.col("date_of_birth"), F.col("vax_date"))
+    )
     return _with_campaign(
-        crosssource.source_summary(aged, FLU),
+        crosssource.source_summary(unroll_rows(aged), FLU),
         FLU,
         "source",
         "n_vax",
@@ -306,7 +311,8 @@ def date_agreement_bandjoin(spark, sf_dir):
 
 
 def table_date_agreement(spark, sf_dir):
-    return crosssource.agreement_table(crosssource.date_agreement(standin.flu_records(spark, sf_dir), FLU), FLU)
+    agreed = crosssource.date_agreement(standin.flu_records(spark, sf_dir), FLU)
+    return crosssource.agreement_table(crosssource.agreement_counts(agreed), FLU)
 
 
 # --- fault injection

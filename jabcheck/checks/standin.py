@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jabcheck.functions.dates import age_on
@@ -84,11 +84,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _born(key: Column) -> Column:
+    return F.date_add(F.lit(date(1930, 1, 1)), F.pmod(key * 7919, F.lit(25000)).cast("int"))
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    born = F.date_add(F.lit(date(1930, 1, 1)), F.pmod(F.col("c_custkey") * 7919, F.lit(25000)).cast("int"))
-    return _table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("patient_id"), born.alias("date_of_birth")
-    )
+    key = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(key.alias("patient_id"), _born(key).alias("date_of_birth"))
 
 
 def deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,16 +190,12 @@ def flu_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed_vax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event table with a unique key: one vaccination per order, for fault injection."""
-    day = F.col("o_orderdate").cast("date")
-    events = _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("row_key"),
-        F.col("o_custkey").alias("patient_id"),
+    key, patient, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    brand = F.concat(F.lit("Brand#"), (F.pmod(key, F.lit(N_PRODUCTS)) + 1).cast("string"))
+    return _table(spark, sf_dir, "orders").select(
+        key.alias("row_key"),
+        patient.alias("patient_id"),
         day.alias("vax_date"),
-        F.concat(F.lit("Brand#"), (F.pmod(F.col("o_orderkey"), F.lit(N_PRODUCTS)) + 1).cast("string")).alias(
-            "vax_product"
-        ),
-    )
-    persons = patients(spark, sf_dir)
-    return events.join(persons, "patient_id").select(
-        *events.columns, age_on(F.col("date_of_birth"), F.col("vax_date")).alias("age")
+        brand.alias("vax_product"),
+        age_on(_born(patient), day).alias("age"),
     )

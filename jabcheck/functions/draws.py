@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 MODULUS = 2**31 - 1
 MULTIPLIER = 48271
+HIGH_MULTIPLIER = 16807
 SALT_STEP = 69621
 
 
 def draw(key: Column, salt: int) -> Column:
-    """A value in ``[0, MODULUS)``; no step leaves 64 bits for any key."""
-    h = (F.pmod(key, F.lit(MODULUS).cast("long")) * MULTIPLIER + (salt * SALT_STEP + 1)) % MODULUS
-    h = (h * h + (salt * 16807 + 11)) % MODULUS
+    """A value in ``[0, MODULUS)``; both halves of the key count and no step leaves 64 bits."""
+    modulus = F.lit(MODULUS).cast("long")
+    low, high = F.pmod(key, modulus), F.pmod(F.shiftright(key, 31), modulus)
+    h = (low * MULTIPLIER + high * HIGH_MULTIPLIER + (salt * SALT_STEP + 1)) % MODULUS
+    h = (h * h + (salt * HIGH_MULTIPLIER + 11)) % MODULUS
     return (h * MULTIPLIER + 7) % MODULUS
 
 

@@ -1,4 +1,10 @@
-"""From rows with a multiplicity back to one row per record."""
+"""Folding equal records into one row with a count, and unrolling them again.
+
+Joins and windows by patient run on folded rows: whatever share of a table one patient or
+one group of copies holds, a patient has no more folded rows than there are distinct days
+and products. Folding combines before its shuffle and its key is the whole row, so it has
+no hot group itself.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,12 @@ from pyspark.sql import functions as F
 CHUNK = 100_000
 
 
-def repeat_rows(rows: DataFrame, n: str) -> DataFrame:
+def fold_rows(records: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values of ``columns`` with ``n_records``, the number of records behind each."""
+    return records.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def unroll_rows(rows: DataFrame, n: str = "n_records") -> DataFrame:
     """Each row ``n`` times, without the column ``n``; rows with ``n < 1`` vanish.
 
     A row with more than :data:`CHUNK` copies is first cut into chunks that are spread over

@@ -73,11 +73,12 @@ def with_combination(presence: DataFrame) -> DataFrame:
 
 def combination_counts(presence: DataFrame, study: Study) -> DataFrame:
     """People per campaign and source combination, disclosure-rounded."""
-    return (
-        presence.groupBy("campaign_rank", *SOURCES)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("n", round_midpoint(F.col("n"), study.threshold))
-    )
+    people = presence.groupBy("campaign_rank", *SOURCES).agg(F.count(F.lit(1)).alias("n"))
+    return round_counts(people, study)
+
+
+def round_counts(people: DataFrame, study: Study) -> DataFrame:
+    return people.select("campaign_rank", *SOURCES, round_midpoint(F.col("n"), study.threshold).alias("n"))
 
 
 def source_table(counts: DataFrame, study: Study) -> DataFrame:
@@ -118,7 +119,8 @@ MATCHES = [_match_name(days, other) for days in TOLERANCES for other in COMPARED
 def date_agreement(records: DataFrame, study: Study) -> DataFrame:
     """Per patient and campaign: is any table date close to any date of another source?
 
-    NULL where either source is absent. The closest pair of two sources is found among
+    Beside the answers stands which sources are present. An answer is NULL where either
+    source is absent. The closest pair of two sources is found among
     neighbours in time, so one pass over a person's days with the latest earlier date of
     each source decides every tolerance; no dates are paired up.
     """
@@ -143,7 +145,8 @@ def date_agreement(records: DataFrame, study: Study) -> DataFrame:
         for within in TOLERANCES
         for other in COMPARED
     ]
-    return days.withColumns(latest).groupBy(*PERSON).agg(*matches)
+    present = [F.bool_or(name).alias(name) for name in SOURCES]
+    return days.withColumns(latest).groupBy(*PERSON).agg(*present, *matches)
 
 
 def date_agreement_by_band(records: DataFrame, study: Study, within: int) -> DataFrame:
@@ -184,12 +187,26 @@ def date_agreement_by_band(records: DataFrame, study: Study, within: int) -> Dat
     return answered.withColumn("campaign_rank", F.nullif(F.col("campaign_rank"), F.lit(0)))
 
 
-def agreement_table(agreement: DataFrame, study: Study) -> DataFrame:
-    """People whose dates agree, out of those in both sources, per campaign and comparison."""
-    sums = agreement.groupBy("campaign_rank").agg(
+def agreement_counts(agreement: DataFrame) -> DataFrame:
+    """People, matches and comparable people per campaign and source combination.
+
+    The few rows behind every cross-source table, so a report needs one pass over people.
+    """
+    return agreement.groupBy("campaign_rank", *SOURCES).agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(m)).alias(f"{m}_n") for m in MATCHES],
         *[F.count(m).alias(f"{m}_denom") for m in MATCHES],
     )
+
+
+def agreement_table(counts: DataFrame, study: Study) -> DataFrame:
+    """People whose dates agree, out of those in both sources, per campaign and comparison.
+
+    Takes :func:`agreement_counts`. A campaign without comparable people keeps its rows.
+    """
+    sums = counts.groupBy("campaign_rank").agg(
+        *[F.sum(f"{m}_{part}").alias(f"{m}_{part}") for m in MATCHES for part in ("n", "denom")]
+    )
     printed = {
         _match_name(days, other): f"{TOLERANCES[days][1]}: Table vs {shown}"
         for days in TOLERANCES

@@ -1,4 +1,8 @@
-"""From health-record tables to the event tables that the reports read."""
+"""From health-record tables to the event tables that the reports read.
+
+Events are folded before they meet a table by patient and unrolled after, so no join here
+has a hot key, with or without adaptive execution.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jabcheck.functions.dates import age_on
+from jabcheck.operators.counts import fold_rows, unroll_rows
 
 
 def with_disease(vaccinations: DataFrame, disease: str) -> DataFrame:
@@ -43,37 +48,41 @@ def population(
     return exists.join(old_enough.select("patient_id"), "patient_id", "left_semi")
 
 
-def with_person(events: DataFrame, patients: DataFrame) -> DataFrame:
-    """Events beside their patient's date of birth, NULL where not recorded.
-
-    Both sides of these joins are plain shuffles, so adaptive execution splits the
-    partition of a patient with very many events; nothing here is grouped by patient.
-    """
-    return events.join(patients.select("patient_id", "date_of_birth"), "patient_id", "left")
+def with_person(folded: DataFrame, patients: DataFrame) -> DataFrame:
+    """Folded events beside their patient's date of birth, NULL where not recorded."""
+    return folded.join(patients.select("patient_id", "date_of_birth"), "patient_id", "left")
 
 
-def with_death(rows: DataFrame, deaths: DataFrame) -> DataFrame:
-    """Rows beside their patient's date of death, NULL where none is recorded."""
-    return rows.join(deaths.select("patient_id", F.col("date").alias("death_date")), "patient_id", "left")
+def with_death(folded: DataFrame, deaths: DataFrame) -> DataFrame:
+    """Folded rows beside their patient's date of death, NULL where none is recorded."""
+    return folded.join(deaths.select("patient_id", F.col("date").alias("death_date")), "patient_id", "left")
 
 
 def covid_events(vaccinations: DataFrame, patients: DataFrame, deaths: DataFrame) -> DataFrame:
     """One row per vaccination: date, product, age on the day and date of death."""
-    return with_death(with_person(vaccinations, patients), deaths).select(
-        "patient_id",
-        F.col("date").alias("vax_date"),
-        F.col("product_name").alias("vax_product"),
-        age_on(F.col("date_of_birth"), F.col("date")).alias("age"),
-        "death_date",
+    folded = fold_rows(vaccinations, "patient_id", "date", "product_name")
+    return unroll_rows(
+        with_death(with_person(folded, patients), deaths).select(
+            "patient_id",
+            F.col("date").alias("vax_date"),
+            F.col("product_name").alias("vax_product"),
+            age_on(F.col("date_of_birth"), F.col("date")).alias("age"),
+            "death_date",
+            "n_records",
+        )
     )
 
 
 def covid_registrations(registrations: DataFrame, members: DataFrame) -> DataFrame:
     """Registration periods of the patients in the population."""
-    return registrations.join(members, "patient_id", "left_semi").select(
-        "patient_id",
-        F.col("start_date").alias("registration_start_date"),
-        F.col("end_date").alias("deregistration_date"),
+    folded = fold_rows(registrations, "patient_id", "start_date", "end_date")
+    return unroll_rows(
+        folded.join(members, "patient_id", "left_semi").select(
+            "patient_id",
+            F.col("start_date").alias("registration_start_date"),
+            F.col("end_date").alias("deregistration_date"),
+            "n_records",
+        )
     )
 
 
@@ -84,9 +93,15 @@ def flu_events(events: DataFrame, patients: DataFrame, *, min_age: int, on: date
     membership comes down to the age rule, checked on the joined date of birth.
     """
     eligible = patients.where(age_on(F.col("date_of_birth"), F.lit(on)) >= min_age)
-    columns = ["patient_id", F.col("date").alias("vax_date")]
+    names = {"date": "vax_date"}
     if "product_name" in events.columns:
-        columns.append(F.col("product_name").alias("vax_product"))
-    return events.join(eligible.select("patient_id", "date_of_birth"), "patient_id").select(
-        *columns, age_on(F.col("date_of_birth"), F.col("date")).alias("age")
+        names["product_name"] = "vax_product"
+    folded = fold_rows(events, "patient_id", *names)
+    return unroll_rows(
+        folded.join(eligible.select("patient_id", "date_of_birth"), "patient_id").select(
+            "patient_id",
+            *[F.col(old).alias(new) for old, new in names.items()],
+            age_on(F.col("date_of_birth"), F.col("date")).alias("age"),
+            "n_records",
+        )
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from jabcheck.functions.dates import by_rank
 from jabcheck.functions.labels import PATTERN_SEPARATOR
 from jabcheck.operators.clean import campaign_label, product_label, rank_of_campaign, ranked
-from jabcheck.operators.repeat import repeat_rows
+from jabcheck.operators.counts import fold_rows, unroll_rows
 from jabcheck.study import Study
 
 #: flag columns in the order of the long table
@@ -65,11 +65,7 @@ def same_day_flags(total: Column, several_products: Column) -> dict[str, Column]
 
 def day_products(events: DataFrame, study: Study, *extra: str) -> DataFrame:
     """Records per patient, day and product (and any ``extra`` patient columns)."""
-    return (
-        ranked(events, study)
-        .groupBy(*DAY, "product_rank", *extra)
-        .agg(F.count(F.lit(1)).alias("n_records"))
-    )
+    return fold_rows(ranked(events, study), *DAY, "product_rank", *extra)
 
 
 def by_patient(rows: DataFrame) -> DataFrame:
@@ -151,7 +147,7 @@ def flag_events(events: DataFrame, study: Study, *extra: str) -> DataFrame:
         *FLAGS,
         "n_records",
     )
-    return repeat_rows(labelled, "n_records")
+    return unroll_rows(labelled)
 
 
 def long_flags(flagged: DataFrame, study: Study) -> DataFrame:
@@ -167,7 +163,7 @@ def long_flags(flagged: DataFrame, study: Study) -> DataFrame:
         F.explode(raised).alias("flag_type"),
         "n_records",
     )
-    return repeat_rows(weighted, "n_records")
+    return unroll_rows(weighted)
 
 
 def _named(columns: dict[str, Column]) -> list[Column]:

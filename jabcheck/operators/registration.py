@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jabcheck.operators.clean import dated
 from jabcheck.operators.flags import by_patient
-from jabcheck.operators.repeat import repeat_rows
+from jabcheck.operators.counts import fold_rows, unroll_rows
 
 OPEN_END = date(9999, 12, 31)
 
@@ -52,14 +52,13 @@ def add_active(days: DataFrame, registrations: DataFrame) -> DataFrame:
 
 
 def events_with_active(events: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Every dated record with ``active_on_vax_date``.
+    """Every dated record with ``active_on_vax_date``; equal records are decided once."""
+    folded = fold_rows(dated(events), "patient_id", "vax_date", "vax_product", "death_date")
+    return unroll_active(add_active(folded, registrations))
 
-    Equal records are decided once and unrolled again, so a patient is a bounded group.
-    """
-    columns = ["patient_id", "vax_date", "vax_product", "death_date"]
-    distinct = dated(events).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_records"))
-    decided = add_active(distinct, registrations).withColumnRenamed("active", "active_on_vax_date")
-    return repeat_rows(decided, "n_records")
+
+def unroll_active(decided: DataFrame) -> DataFrame:
+    return unroll_rows(decided.withColumnRenamed("active", "active_on_vax_date"))
 
 
 def active_events(events: DataFrame, registrations: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jabcheck.functions.labels import SOURCES, source_combination
-from jabcheck.operators.repeat import repeat_rows
+from jabcheck.operators.counts import unroll_rows
 
 def intersections(counts: DataFrame) -> DataFrame:
     """Size of each exclusive intersection, ranked by frequency within its campaign."""
@@ -31,5 +31,5 @@ def set_sizes(counts: DataFrame) -> DataFrame:
 
 def uncount(counts: DataFrame) -> DataFrame:
     """One row per person, with the sources as 0/1."""
-    people = repeat_rows(counts, "n")
+    people = unroll_rows(counts, "n")
     return people.select("campaign", *[F.col(s).cast("int").alias(s) for s in SOURCES])

@@ -43,18 +43,21 @@ def extract_flu(
 
 
 def report_flu(spark: SparkSession, extracts: str, out: str, study: Study) -> None:
-    """Write the source combinations, the set-intersection counts and the date agreement."""
+    """Write the source combinations, the set-intersection counts and the date agreement.
+
+    All three come from one small table of counts, computed once.
+    """
     records = crosssource.union_sources(
         table=read_table(spark, f"{extracts}/flu_vaccinations_table", schemas.FLU_TABLE),
         drug=read_table(spark, f"{extracts}/flu_vaccinations_drug", schemas.FLU_CODED),
         snomed=read_table(spark, f"{extracts}/flu_vaccinations_SNOMED", schemas.FLU_CODED),
     )
-    counts = crosssource.combination_counts(crosssource.source_presence(records, study), study).cache()
+    people = crosssource.agreement_counts(crosssource.date_agreement(records, study)).cache()
+    counts = crosssource.round_counts(people, study)
     write_csv(crosssource.source_table(counts, study), f"{out}/table_flu_sources.csv")
     write_csv(crosssource.upset_table(counts, study), f"{out}/upset_counts_campaign.csv")
-    counts.unpersist()
-    agreement = crosssource.date_agreement(records, study)
-    write_csv(crosssource.agreement_table(agreement, study), f"{out}/table_date_agreement.csv")
+    write_csv(crosssource.agreement_table(people, study), f"{out}/table_date_agreement.csv")
+    people.unpersist()
 
 
 def upset_data(spark: SparkSession, counts: str, out: str) -> None:

@@ -39,4 +39,4 @@ def read_study_dates(spark: SparkSession, path: str, study: Study) -> Study:
 
 def read_source_counts(spark: SparkSession, path: str) -> DataFrame:
     """Released counts per campaign and source combination (CSV, ``NA`` for missing)."""
-    return spark.read.csv(path, header=True, schema=schemas.SOURCE_COUNTS, nullValue=NA)
+    return spark.read.csv(path, header=True, schema=schemas.SOURCE_COUNTS, nullValue=NA, escape='"')

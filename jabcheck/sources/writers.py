@@ -27,7 +27,7 @@ def write_csv(table: DataFrame, path: str) -> None:
         elif kind == "double":
             value = number_text(value)
         columns.append(value.alias(name))
-    table.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NA)
+    table.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NA, escape='"')
 
 
 def write_json(table: DataFrame, path: str) -> None:

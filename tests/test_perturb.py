@@ -1,0 +1,125 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from jabcheck.checks import standin
+from jabcheck.operators import flags, intervals, perturb, sampling
+from jabcheck.operators.sampling import at_least, exact_classes, share
+from jabcheck.operators.staging import checkpointed
+
+STUDY = standin.covid_study()
+
+
+@pytest.fixture(scope="module")
+def clean_rows(spark, small_dir):
+    rows = standin.keyed_vax(spark, small_dir)
+    return checkpointed(perturb.expand_patients(checkpointed(perturb.clean_baseline(rows, STUDY))))
+
+
+@pytest.fixture(scope="module")
+def faulty(clean_rows):
+    return checkpointed(perturb.inject_faults(clean_rows, STUDY))
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 1000, 70_000])
+def test_classes_have_exact_sizes_and_follow_the_draw(spark, n):
+    from test_functions import py_draw
+
+    sizes = [at_least(0.02, 10), at_least(0.1, 5), share(0.3)]
+    got = exact_classes(spark.range(n).repartition(5), "id", 11, sizes, "c").collect()
+    counts = Counter(r.c for r in got)
+    left, expected = n, []
+    for size in sizes:
+        expected.append(min(left, size(n)))
+        left -= expected[-1]
+    assert [counts.get(i, 0) for i in (1, 2, 3, 0)] == [*expected, left]
+    order = sorted(got, key=lambda r: (py_draw(r.id, 11), r.id))
+    assert [r.c for r in order] == [c for i in (1, 2, 3, 0) for c in [i] * counts.get(i, 0)]
+
+
+def test_equal_draws_are_ordered_by_key(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "draw", lambda key, salt: F.pmod(key, F.lit(2).cast("long")))
+    got = exact_classes(spark.range(500), "id", 3, [lambda n: 100, lambda n: 200], "c").collect()
+    order = [r.c for r in sorted(got, key=lambda r: (r.id % 2, r.id))]
+    assert order == [1] * 100 + [2] * 200 + [0] * 200
+
+
+def test_baseline_is_clean(spark, small_dir):
+    rows = perturb.clean_baseline(standin.keyed_vax(spark, small_dir), STUDY)
+    flagged = flags.flag_events(rows, STUDY)
+    assert flagged.count() == 1500
+    assert flagged.where("flag_implausible_early_date OR flag_pre_rollout_date OR flag_unapproved_product").count() == 0
+
+
+def test_expansion_adds_a_later_row_to_three_patients_in_ten(clean_rows):
+    patients = clean_rows.select("patient_id").distinct().count()
+    extra = clean_rows.where("row_key % 2 = 1")
+    assert extra.count() == round(0.3 * patients) == extra.select("patient_id").distinct().count()
+    assert clean_rows.select("row_key").distinct().count() == clean_rows.count()
+
+
+def test_fault_counts_and_disjoint_rows(clean_rows, faulty):
+    n = clean_rows.count()
+    base = faulty.where("copy_no = 0")
+    assert base.count() == n and base.select("row_key").distinct().count() == n
+    counts = {r.fault: r["count"] for r in base.groupBy("fault").count().collect()}
+    for name, rate, least in perturb.FAULTS:
+        assert counts[name] == max(least, int(rate * n))
+    assert counts[None] == n - sum(v for k, v in counts.items() if k)
+
+
+def test_faults_raise_their_flags(clean_rows, faulty):
+    flagged = flags.flag_events(faulty, STUDY, "row_key", "copy_no", "fault")
+    raised = {
+        r.fault: r
+        for r in flagged.groupBy("fault")
+        .agg(
+            F.count("*").alias("n"),
+            *[F.count_if(F.col(f)).alias(f) for f in flags.FLAGS],
+        )
+        .collect()
+    }
+    assert raised["early_date"].n == raised["early_date"].flag_implausible_early_date
+    assert raised["pre_rollout_date"].n == raised["pre_rollout_date"].flag_pre_rollout_date
+    assert raised["unapproved_product"].n == raised["unapproved_product"].flag_unapproved_product
+    assert raised["before_approval"].n == raised["before_approval"].flag_product_before_approval
+    for name in ("same_day_same_product", "same_day_mixed_product", "same_day_complex"):
+        assert raised[name].n == raised[name].flag_same_day_multiple
+    for name in ("same_day_mixed_product", "same_day_complex"):
+        assert raised[name].n == raised[name].flag_same_day_mixed_product
+
+
+def test_moved_rows_fill_every_bin(faulty):
+    moved = perturb.inject_intervals(faulty)
+    before = faulty.select("row_key", "copy_no", F.col("vax_date").alias("old"))
+    changed = moved.join(before, ["row_key", "copy_no"]).where("vax_date <> old")
+    assert moved.count() == faulty.count()
+    assert 70 <= changed.count() <= 80
+    gaps = intervals.dose_gaps(
+        intervals.single_record_days(moved.select("patient_id", "vax_date", "vax_product"), STUDY)
+    )
+    assert gaps.select("interval_bin_rank").distinct().count() == 8
+
+
+def test_ages_follow_the_first_date(spark, small_dir):
+    rows = perturb.perturb(standin.keyed_vax(spark, small_dir), STUDY)
+    assert rows.where("age < 0").count() == 0
+    ages = {}
+    for r in rows.orderBy("patient_id", "vax_date").collect():
+        assert r.age >= ages.get(r.patient_id, 0)
+        ages[r.patient_id] = r.age
+
+
+def test_same_result_on_any_partitioning(spark, small_dir):
+    rows = standin.keyed_vax(spark, small_dir)
+    one = perturb.inject_faults(rows.coalesce(1), STUDY)
+    many = perturb.inject_faults(rows.repartition(13, "vax_date"), STUDY)
+    assert one.exceptAll(many.select(*one.columns)).count() == 0
+
+
+def test_few_rows_are_all_used(spark, small_dir):
+    rows = standin.keyed_vax(spark, small_dir).where("row_key < 12")
+    counts = Counter(r.fault for r in perturb.inject_faults(rows, STUDY).where("copy_no = 0").collect())
+    assert counts["early_date"] == min(10, rows.count()) and sum(counts.values()) == rows.count()
+    assert perturb.inject_intervals(checkpointed(perturb.inject_faults(rows, STUDY))).count() >= rows.count()
