@@ -1,4 +1,8 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries; prints one JSON line.
+
+Each query runs twice and the second run counts, so start-up and code generation of a
+fresh JVM are left out. Every run reads its tables again; nothing is cached.
+"""
 
 from __future__ import annotations
 
@@ -41,13 +45,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # one pass over a small query starts the JVM's code paths; it is not timed
-    QUERIES["table1_overall_flags"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
-        started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
+        for _ in range(2):
+            started = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - started, 3)
     line = {
         "metric": "total_seconds",
         "value": round(sum(seconds.values()), 3),

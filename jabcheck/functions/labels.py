@@ -21,9 +21,18 @@ INTERVAL_BINS = (
 PRIMARY_CAMPAIGNS = ("Pre-roll-out", "Primary series")
 BOOSTER_PATTERN = "Spring|Autumn"
 
+# Stages of a campaign, and contexts of an interval between two doses.
+PRIMARY = "primary"
+BOOSTER = "booster"
+WITHIN_PRIMARY = "within_primary"
+PRIMARY_TO_BOOSTER = "primary_to_booster"
+WITHIN_BOOSTER = "within_booster_campaign"
+BETWEEN_BOOSTERS = "between_booster_campaigns"
+
 # The record sources that are compared with each other, in order.
 SOURCES = ("table", "drug", "snomed")
 
+# Separators of printed patterns and transitions.
 PATTERN_SEPARATOR = "  --AND-- "
 ARROW = " -> "
 
@@ -38,20 +47,19 @@ def interval_bin_rank(days: Column) -> Column:
 
 
 def campaign_stage(campaign: Column) -> Column:
-    return F.when(campaign.isin(*PRIMARY_CAMPAIGNS), F.lit("primary")).when(
-        campaign.rlike(BOOSTER_PATTERN), F.lit("booster")
+    return F.when(campaign.isin(*PRIMARY_CAMPAIGNS), F.lit(PRIMARY)).when(
+        campaign.rlike(BOOSTER_PATTERN), F.lit(BOOSTER)
     )
 
 
 def interval_context(previous: Column, current: Column) -> Column:
     """Where two consecutive doses sit relative to each other, from their campaign labels."""
-    before, now = campaign_stage(previous), campaign_stage(current)
-    boosters = (before == "booster") & (now == "booster")
+    stages = F.concat_ws(">", campaign_stage(previous), campaign_stage(current))
+    between = F.when(previous == current, F.lit(WITHIN_BOOSTER)).otherwise(F.lit(BETWEEN_BOOSTERS))
     return (
-        F.when((before == "primary") & (now == "primary"), F.lit("within_primary"))
-        .when((before == "primary") & (now == "booster"), F.lit("primary_to_booster"))
-        .when(boosters & (previous == current), F.lit("within_booster_campaign"))
-        .when(boosters & (previous != current), F.lit("between_booster_campaigns"))
+        F.when(stages == f"{PRIMARY}>{PRIMARY}", F.lit(WITHIN_PRIMARY))
+        .when(stages == f"{PRIMARY}>{BOOSTER}", F.lit(PRIMARY_TO_BOOSTER))
+        .when(stages == f"{BOOSTER}>{BOOSTER}", between)
     )
 
 

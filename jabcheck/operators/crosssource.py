@@ -14,10 +14,10 @@ from jabcheck.study import Study
 
 PERSON = ["patient_id", "campaign_rank"]
 
-#: sources compared with the vaccination table, and how they are printed
+# Sources compared with the vaccination table, and how they are printed.
 COMPARED = {"drug": "Drug", "snomed": "SNOMED"}
 
-#: largest difference in days -> (column prefix, printed name)
+# Largest difference in days -> (column prefix, printed name).
 TOLERANCES = {0: ("same_day", "Same day"), 7: ("within_7d", "Within 7 days")}
 
 

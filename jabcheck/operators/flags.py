@@ -18,7 +18,7 @@ from jabcheck.operators.clean import campaign_label, product_label, rank_of_camp
 from jabcheck.operators.counts import fold_rows, unroll_rows
 from jabcheck.study import Study
 
-#: flag columns in the order of the long table
+# Flag columns, in order.
 FLAGS = (
     "flag_implausible_early_date",
     "flag_pre_rollout_date",

@@ -21,6 +21,7 @@ from jabcheck.operators.flags import FLAGS
 from jabcheck.operators.intervals import context_of, interval_bin
 from jabcheck.study import Study
 
+# Names of count columns, and what is added to them after rounding.
 ROUNDED_SUFFIX = "_midpoint6"
 GROUP_DENOMINATORS = ["denom_records_group", "denom_patients_group"]
 TOTAL_DENOMINATORS = ["denom_records_total", "denom_patients_total"]

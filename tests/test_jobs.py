@@ -127,8 +127,6 @@ def test_report_covid(spark, covid_files, tmp_path):
 
 
 def test_report_covid_with_injected_faults(spark, tmp_path):
-    from jabcheck.checks import standin
-
     study = covid_study()
     raw = [name for _, name in study.products]
     rows = [(i % 60, day("2021-01-01"), raw[i % 44], 50, None) for i in range(400)]
@@ -139,7 +137,6 @@ def test_report_covid_with_injected_faults(spark, tmp_path):
     assert len(flags) == 7 and all(n >= 5 for n in flags.values())
     bins = {r[1] for r in csv_rows(tmp_path / "out/count_interval_context_unrounded.csv")[1:]}
     assert len(bins) == 8
-    assert standin
 
 
 def test_unmapped_products_leave_no_staging(spark, covid_files, tmp_path):
@@ -161,8 +158,7 @@ def test_flu_report_and_upset(spark, tmp_path):
         ["Autumn 2020", "table + drug + snomed", "5", "15", "33.3", "5 (33.3%)"],
         ["Autumn 2020", "table + snomed", "5", "15", "33.3", "5 (33.3%)"],
         ["Autumn 2021", "drug only", "5", "5", "100", "5 (100%)"],
-        ["Autumn 2021", "table + snomed", "5", "5", "100", "5 (100%)"],
-    ] or table[4] == ["Autumn 2021", "drug only", "5", "5", "100", "5 (100%)"]
+    ]
     counts = csv_rows(tmp_path / "out/upset_counts_campaign.csv")
     assert counts[0] == ["campaign", "table", "drug", "snomed", "n"]
     assert counts[1] == ["Autumn 2020", "FALSE", "FALSE", "TRUE", "5"]
@@ -180,6 +176,7 @@ def test_design_files(spark, tmp_path):
     campaigns = json_rows(tmp_path / "campaign_info_flu.json")
     assert campaigns[0]["campaign_label"] == "Pre-2020" and "year" not in campaigns[0]
     assert campaigns[-1]["final_milestone_days"] == 153
+    assert read_study_dates(spark, f"{tmp_path}/study_dates_flu.json", covid_study()).start == day("2020-10-01")
     pretty = tmp_path / "pretty.json"
     pretty.write_text(json.dumps({**dates, "end_date": "2027-01-31"}, indent=2))
     assert read_study_dates(spark, str(pretty), flu_study()).end == day("2027-01-31")
