@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -24,42 +25,50 @@ def _parser() -> argparse.ArgumentParser:
         return command
 
     job("design-flu", "out")
+    job("design-covid", "out")
     flu = job("extract-flu", "records", "out")
     flu.add_argument("--study-dates", help="JSON file written by design-flu")
     flu.add_argument("--snomed-codelist", help="CSV with a code column")
     flu.add_argument("--drug-codelist", help="CSV with a code column")
-    job("report-flu", "extracts", "out")
+    report_of_flu = job("report-flu", "extracts", "out")
     job("upset", "counts", "out")
     job("extract-covid", "records", "out")
-    job("report-covid", "extracts", "out").add_argument("--inject-faults", action="store_true")
+    report_of_covid = job("report-covid", "extracts", "out")
+    report_of_covid.add_argument("--inject-faults", action="store_true")
+    for report in (report_of_flu, report_of_covid):
+        report.add_argument("--threshold", type=int, help="disclosure rounding precision, 0 for none")
     return parser
 
 
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
+    covid, flu = covid_study(), flu_study()
+    if getattr(args, "threshold", None) is not None:
+        covid, flu = replace(covid, threshold=args.threshold), replace(flu, threshold=args.threshold)
     spark = SparkSession.builder.appName(f"jabcheck {args.job}").getOrCreate()
     if args.job == "design-flu":
-        publish_design(spark, flu_study(), args.out, "flu")
+        publish_design(spark, flu, args.out, "flu")
+    elif args.job == "design-covid":
+        publish_design(spark, covid, args.out, "covid")
     elif args.job == "extract-flu":
-        study = flu_study()
         if args.study_dates:
-            study = read_study_dates(spark, args.study_dates, study)
+            flu = read_study_dates(spark, args.study_dates, flu)
         extract_flu(
             spark,
             args.records,
             args.out,
-            study,
+            flu,
             snomed_codelist=args.snomed_codelist,
             drug_codelist=args.drug_codelist,
         )
     elif args.job == "report-flu":
-        report_flu(spark, args.extracts, args.out, flu_study())
+        report_flu(spark, args.extracts, args.out, flu)
     elif args.job == "upset":
         upset_data(spark, args.counts, args.out)
     elif args.job == "extract-covid":
         extract_covid(spark, args.records, args.out)
     else:
-        report_covid(spark, args.extracts, args.out, covid_study(), inject_faults=args.inject_faults)
+        report_covid(spark, args.extracts, args.out, covid, inject_faults=args.inject_faults)
 
 
 if __name__ == "__main__":

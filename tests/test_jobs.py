@@ -189,7 +189,10 @@ def test_csv_text(spark, tmp_path):
 
 
 def test_command_line(spark, covid_files, tmp_path, monkeypatch):
-    cli.main(["report-covid", "--extracts", covid_files, "--out", str(tmp_path)])
+    cli.main(["report-covid", "--extracts", covid_files, "--out", str(tmp_path), "--threshold", "4"])
     assert len(list(tmp_path.glob("*.csv"))) == 12
+    assert csv_rows(tmp_path / "count_overall_noninterval_flags.csv")[5][1:] == ["6", "2", "18", "6"]
+    cli.main(["design-covid", "--out", f"{tmp_path}/design"])
+    assert json_rows(tmp_path / "design/campaign_info_covid.json")[1]["final_milestone_days"] == 229
     with pytest.raises(SystemExit):
         cli.main(["report-covid"])
