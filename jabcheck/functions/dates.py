@@ -19,18 +19,16 @@ def age_on(born: Column, day: Column) -> Column:
     return F.year(day) - F.year(born) - before_birthday.cast("int")
 
 
-def campaign_rank(day: Column, starts: Sequence[date]) -> Column:
-    """1-based position of the campaign that ``day`` falls in.
+def campaign_rank(day: str, starts: Sequence[date]) -> Column:
+    """1-based position of the campaign that the column ``day`` falls in.
 
     Ranges are closed on the left and the last one never ends; a day before the first
-    start is NULL. A CASE chain over a dozen literals stays in generated code, where a
-    join on a date range would become a nested loop.
+    start is NULL. A CASE over a dozen literals stays in generated code, where a join on a
+    date range would become a nested loop.
     """
-    position, latest = len(starts), starts[-1]
-    rank = F.when(day >= F.lit(latest), F.lit(position))
-    for position, start in reversed(list(enumerate(starts[:-1], start=1))):
-        rank = rank.when(day >= F.lit(start), F.lit(position))
-    return rank
+    latest_first = reversed(list(enumerate(starts, start=1)))
+    branches = " ".join(f"WHEN `{day}` >= {_sql_literal(start)} THEN {n}" for n, start in latest_first)
+    return F.expr(f"CASE {branches} END")
 
 
 def by_rank(rank: Column, values: Sequence, type_name: str) -> Column:

@@ -37,13 +37,13 @@ PATTERN_SEPARATOR = "  --AND-- "
 ARROW = " -> "
 
 
-def interval_bin_rank(days: Column) -> Column:
-    """1-based position in :data:`INTERVAL_BINS`, NULL outside all of them."""
-    rank = F.lit(None).cast("int")
-    for position, (_, first, last) in enumerate(INTERVAL_BINS, start=1):
-        inside = days >= first if last is None else days.between(first, last)
-        rank = F.when(inside, F.lit(position)).otherwise(rank)
-    return rank
+def interval_bin_rank(days: str) -> Column:
+    """1-based position in :data:`INTERVAL_BINS` of the column ``days``, NULL outside all of them."""
+    branches = " ".join(
+        f"WHEN `{days}` >= {first}" + (f" AND `{days}` <= {last}" if last else "") + f" THEN {n}"
+        for n, (_, first, last) in enumerate(INTERVAL_BINS, start=1)
+    )
+    return F.expr(f"CASE {branches} END")
 
 
 def campaign_stage(campaign: Column) -> Column:

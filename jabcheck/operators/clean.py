@@ -48,7 +48,7 @@ def campaign_label(study: Study, rank: str = "campaign_rank"):
 
 
 def rank_of_campaign(study: Study, day: str = "vax_date"):
-    return campaign_rank(F.col(day), study.campaign_starts)
+    return campaign_rank(day, study.campaign_starts)
 
 
 def with_campaign(events: DataFrame, study: Study) -> DataFrame:

@@ -58,7 +58,7 @@ def dose_gaps(days: DataFrame) -> DataFrame:
     gaps = days.withColumns(previous).where(F.col("prev_date").isNotNull())
     days_between = F.datediff("vax_date", "prev_date")
     return gaps.withColumn("interval_days", days_between).withColumn(
-        "interval_bin_rank", interval_bin_rank(F.col("interval_days"))
+        "interval_bin_rank", interval_bin_rank("interval_days")
     )
 
 

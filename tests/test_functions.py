@@ -59,7 +59,7 @@ def test_age(spark):
 
 def test_campaign_borders(spark):
     study = covid_study()
-    labels = by_rank(campaign_rank(F.col("d"), study.campaign_starts), study.campaign_labels, "string")
+    labels = by_rank(campaign_rank("d", study.campaign_starts), study.campaign_labels, "string")
     cases = {
         "1899-12-31": None,
         "1900-01-01": "Pre-2020-04-23",
@@ -76,7 +76,7 @@ def test_campaign_borders(spark):
 
 def test_interval_bins(spark):
     edges = [0, 1, 6, 7, 13, 14, 20, 21, 29, 30, 89, 90, 112, 113, 179, 180, 10_000]
-    got = values(spark, interval_bin_rank(F.col("x")), [(x,) for x in edges], "x INT")
+    got = values(spark, interval_bin_rank("x"), [(x,) for x in edges], "x INT")
     expected = [
         next((n for n, (_, a, b) in enumerate(INTERVAL_BINS, 1) if x >= a and (b is None or x <= b)), None)
         for x in edges
