@@ -109,7 +109,8 @@ LONG = """long AS (
 GAPS = f"""kept AS (
   SELECT * FROM flagged WHERE campaign_rank > 1 AND NOT flag_same_day_multiple),
 lagged AS (
-  SELECT *, lag(vax_date) OVER w AS prev_date, lag(product) OVER w AS prev_product, lag(campaign) OVER w AS prev_campaign
+  SELECT *, lag(vax_date) OVER w AS prev_date, lag(product) OVER w AS prev_product,
+    lag(campaign) OVER w AS prev_campaign
   FROM kept WINDOW w AS (PARTITION BY patient_id ORDER BY vax_date)),
 staged AS (
   SELECT *, date_diff('day', prev_date, vax_date)::INT AS interval_days,
@@ -598,7 +599,8 @@ FROM agreed GROUP BY campaign"""
     )
     return {
         "flu_source_summary": _sql(
-            f"""SELECT patient_id, campaign, source, count(*) AS n_vax, sum(n)::BIGINT AS n_vax_including_exact_duplicates,
+            f"""SELECT patient_id, campaign, source, count(*) AS n_vax,
+  sum(n)::BIGINT AS n_vax_including_exact_duplicates,
   {dates("true")} AS vax_dates
 FROM (SELECT patient_id, campaign, source, vax_date, {_age("born", "vax_date")} AS age, count(*) AS n
       FROM flu_c LEFT JOIN persons USING (patient_id) GROUP BY ALL)

@@ -106,7 +106,9 @@ def source_table(counts: DataFrame, study: Study) -> DataFrame:
 
 def upset_table(counts: DataFrame, study: Study) -> DataFrame:
     """Counts behind a set-intersection chart: one row per campaign and presence pattern."""
-    return ordered(counts, F.col("campaign_rank").asc_nulls_last(), *SOURCES).select(campaign_label(study).alias("campaign"), *SOURCES, "n")
+    return ordered(counts, F.col("campaign_rank").asc_nulls_last(), *SOURCES).select(
+        campaign_label(study).alias("campaign"), *SOURCES, "n"
+    )
 
 
 def _match_name(days: int, other: str) -> str:

@@ -77,7 +77,8 @@ def loops(events, periods):
         for before, now in zip(days, days[1:], strict=False):
             length = (now - before).days
             name = next(n for n, a, b in INTERVAL_BINS if length >= a and (b is None or length <= b))
-            gaps.append((p, campaign_of(before, STUDY), campaign_of(now, STUDY), by_day[p, before][0], by_day[p, now][0], name))
+            campaigns = campaign_of(before, STUDY), campaign_of(now, STUDY)
+            gaps.append((p, *campaigns, by_day[p, before][0], by_day[p, now][0], name))
     return flags, active, gaps
 
 

@@ -74,9 +74,9 @@ def test_same_day_invariants(events):
     flagged = flags.flag_events(events, STUDY, "age", "death_date")
     assert flagged.count() == 15
     broken = flagged.where(
-        (F.col("flag_same_day_multiple") != (F.col("flag_same_day_same_product") | F.col("flag_same_day_mixed_product")))
-        | (F.col("flag_same_day_same_product") & F.col("flag_same_day_mixed_product"))
-        | (F.col("flag_unapproved_product") & F.col("flag_product_before_approval").isNotNull())
+        "flag_same_day_multiple <> (flag_same_day_same_product OR flag_same_day_mixed_product)"
+        " OR (flag_same_day_same_product AND flag_same_day_mixed_product)"
+        " OR (flag_unapproved_product AND flag_product_before_approval IS NOT NULL)"
     )
     assert broken.count() == 0
 

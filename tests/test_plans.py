@@ -71,3 +71,35 @@ def test_staged_table_is_read_without_a_shuffle(spark):
         assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
         assert {r.n for r in counted.collect()} == {20}
     assert name not in [d.name for d in spark.catalog.listDatabases()]
+
+
+def test_a_frequent_code_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from jabcheck.operators.extract import with_code
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        noise = F.xxhash64("id")
+        code = F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(noise, F.lit(50_000)))
+        events = spark.range(0, 400_000, 1, 8).select(noise.alias("patient_id"), code.alias("code"))
+        found = with_code(events, "code", spark.range(0, 50_000, 2).union(spark.range(7, 8)).toDF("code"))
+        expected = events.where((F.col("code") == 7) | (F.col("code") % 2 == 0)).count()
+        execution = found._jdf.queryExecution()
+        assert execution.toRdd().count() == expected
+        assert "SortMergeJoin(skew=true)" in execution.executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
