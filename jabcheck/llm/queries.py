@@ -79,7 +79,7 @@ ORACLE = {
     "op9_lines": r"""
         WITH l AS (
           SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-            unnest(range(len(string_split(text, chr(10))))) AS at FROM documents),
+            unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
         k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
         p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
         c AS (
@@ -88,7 +88,7 @@ ORACLE = {
             AND count(DISTINCT doc_id) > 0.02 * any_value(pages)),
         r AS (
           SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(c.key) AS INTEGER) AS n_dropped,
-            string_agg(CASE WHEN c.key IS NULL THEN line END, chr(10) ORDER BY at) AS kept
+            string_agg(CASE WHEN c.key IS NULL THEN line END, chr(10) ORDER BY place) AS kept
           FROM k LEFT JOIN c USING (source, key) GROUP BY doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
           CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
