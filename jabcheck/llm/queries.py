@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.llm import bpe, exact, linededup, packing, warc
+from jabcheck.llm import bpe, exact, fingerprint, linededup, packing, quality, warc
 from jabcheck.llm.common import table
 
 #: The tokenizer file; the variable names another place.
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archive(table(spark, sf_dir, "pages"))
     page = r"<urn:page:(-?\d+)>"
@@ -51,12 +55,18 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op4_warc": op4_warc,
     "op6_exact": op6_exact,
     "op8_packing": op8_packing,
     "op9_lines": op9_lines,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLE = {
