@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +17,20 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as they may not have it."""
+    context = spark.sparkContext
+    if not any("jabcheck-" in f for f in context.listFiles):
+        top = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp()) / f"jabcheck-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.llm import bpe, exact, fingerprint, linededup, packing, quality, warc
+from jabcheck.llm import bpe, exact, fingerprint, linededup, neardup, packing, quality, warc
 from jabcheck.llm.common import table
 
 #: The tokenizer file; the variable names another place.
@@ -40,6 +40,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = F.sha2(exact.normalised(docs["text"]), 256)
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op4_warc": op4_warc,
+    "op5_jaccard": op5_jaccard,
     "op6_exact": op6_exact,
     "op8_packing": op8_packing,
     "op9_lines": op9_lines,
