@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.llm import bpe, exact, fingerprint, linededup, neardup, packing, quality, warc
+from jabcheck.llm import bpe, exact, fingerprint, linededup, neardup, packing, quality, substrings, warc
 from jabcheck.llm.common import table
 
 #: The tokenizer file; the variable names another place.
@@ -28,6 +28,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archive(table(spark, sf_dir, "pages"))
     page = r"<urn:page:(-?\d+)>"
@@ -66,6 +71,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op4_warc": op4_warc,
     "op5_jaccard": op5_jaccard,
     "op6_exact": op6_exact,
