@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.llm import bpe, exact, fingerprint, linededup, neardup, packing, quality, substrings, warc
+from jabcheck.llm import bpe, exact, fingerprint, language, linededup, neardup, packing, quality, substrings, warc
 from jabcheck.llm.common import table
 
 #: The tokenizer file; the variable names another place.
@@ -55,6 +55,10 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, {"text_sha256": digest})
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_jaccard": op5_jaccard,
     "op6_exact": op6_exact,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_lines": op9_lines,
     "op10_fingerprint": op10_fingerprint,
