@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from jabcheck.llm.common import staged, text_blocks
 from jabcheck.llm.graph import components
@@ -100,11 +101,17 @@ def shape_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return _mixed((sums[ends] - sums[starts]) * _GOLD + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
-def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """``id, shape, prefixes``: a digest of the set of shingles, and a prefix in each tree."""
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("id"), docs["text"].alias("text"))
+def _signed(docs: DataFrame, words: int, trees: int, depth: int, carry: bool) -> DataFrame:
+    """``row, id, size, shape, prefixes``: a digest of the set of shingles, and a prefix in each tree.
+
+    ``row`` is a number of its own for each row; once written it stays. With ``carry`` there
+    is ``doc``, a struct of all columns.
+    """
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("id"), docs["text"].alias("text"), *([F.struct(*docs.columns).alias("doc")] if carry else []))
+    more = f", doc {rows.schema['doc'].dataType.simpleString()}" if carry else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
         for block in text_blocks(batches, "text", 1_000_000):
             values, ends = shingles(block.column("text").to_pylist(), words)
             signs = signatures(values, ends, trees * depth).reshape(len(ends), trees, depth).astype(np.uint64)
@@ -115,11 +122,11 @@ def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(ends) + 1, dtype=np.int32) * trees), pa.array(prefix.view(np.int64).ravel())
             )
-            yield pa.RecordBatch.from_pydict(
-                {"id": block.column("id"), "size": pa.array(size), "shape": pa.array(shape), "prefixes": lists}
-            )
+            columns = {"row": number + np.arange(len(size)), "id": block.column("id"), "size": size, "shape": shape, "prefixes": lists}
+            number += len(size)
+            yield pa.RecordBatch.from_pydict(columns | ({"doc": block.column("doc")} if carry else {}))
 
-    return rows.mapInArrow(run, "id bigint, size bigint, shape bigint, prefixes array<bigint>")
+    return rows.mapInArrow(run, f"row bigint, id bigint, size bigint, shape bigint, prefixes array<bigint>{more}")
 
 
 def _linked(values: list[np.ndarray], other: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -219,13 +226,14 @@ def near_duplicates(
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id, class_id, n_links, class_size, copies`` for each row of ``docs``.
+    """``doc_id, class_id, n_links, class_size, copies, kept`` for each row of ``docs``.
 
     Two texts are linked when the Jaccard similarity of their sets of word shingles is at
     least ``similarity``. Texts with the same set are copies: they count as one text, the
     one with the smallest ``doc_id``, and share its links; ``copies`` is their number.
     ``n_links`` counts linked texts that are not copies, ``class_id`` is the smallest
-    ``doc_id`` that can be reached over links and copies, ``class_size`` the rows of it. Texts
+    ``doc_id`` that can be reached over links and copies, ``class_size`` the rows of it, and
+    ``kept`` marks one row of each class, one with the smallest id. Texts
     without a word (NULL and empty ones too) have no links and no copies. A NULL ``doc_id``
     takes part in nothing and is its own row with a NULL class. Repeated ids with one text are
     copies; each text of a repeated id has its own row. Ids are whole numbers; extra columns
@@ -236,12 +244,25 @@ def near_duplicates(
     prefix, and their components are groups in which every two texts are verified exactly, in
     blocks. So a large group is many tasks, and only counts and spanning links leave them.
     """
+    _, found = _classified(docs, words, similarity, trees, deepest, recall, block, carry=False)
+    return found.drop("row")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` marks as kept, with all their columns."""
+    signed, found = _classified(docs, words, similarity, TREES, DEEPEST, RECALL, BLOCK, carry=True)
+    return signed.select("row", "doc").join(found.filter("kept").select("row"), "row").select("doc.*")
+
+
+def _classified(
+    docs: DataFrame, words: int, similarity: float, trees: int, deepest: int, recall: float, block: int, carry: bool
+) -> tuple[DataFrame, DataFrame]:
     depth = depth_for(recall, similarity, trees, deepest)
-    signed = staged(_signed(docs, words, trees, depth))
+    signed = staged(_signed(docs, words, trees, depth, carry))
     known = signed.filter("id is not null and size > 0")
     shapes = staged(
         known.groupBy("shape").agg(
-            F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("prefixes").alias("prefixes")
+            F.min("id").alias("rep"), F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("prefixes").alias("prefixes")
         )
     )
     leaves = shapes.select("shape", F.posexplode("prefixes").alias("tree", "prefix"))
@@ -261,21 +282,29 @@ def near_duplicates(
         shapes.drop("prefixes", "size")
         .join(links, "shape", "left")
         .join(reached.withColumnRenamed("node", "shape"), "shape", "left")
-        .select("shape", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "shape").alias("root"))
+        .select("shape", "rep", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "shape").alias("root"))
     )
-    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("rep").alias("class"))
-    classes = classes.join(sizes, "root").select("shape", "copies", "links", "class", "class_size")
+    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best"))
+    classes = classes.join(sizes, "root").select("shape", "copies", "links", "best", "class_size")
     single = signed.filter("id is null or size = 0").select(
+        "row",
         F.col("id").alias("doc_id"),
         F.col("id").alias("class_id"),
         F.lit(0).cast("bigint").alias("n_links"),
         F.lit(1).cast("bigint").alias("class_size"),
         F.lit(1).cast("bigint").alias("copies"),
+        F.lit(True).alias("kept"),
     )
-    found = known.select("id", "shape").join(classes, "shape").select(
-        F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("links").alias("n_links"), "class_size", "copies"
+    found = known.select("row", "id", "shape").join(classes, "shape").select(
+        "row",
+        F.col("id").alias("doc_id"),
+        F.col("best.id").alias("class_id"),
+        F.col("links").alias("n_links"),
+        "class_size",
+        "copies",
+        (F.col("row") == F.col("best.row")).alias("kept"),
     )
-    return found.unionByName(single)
+    return signed, found.unionByName(single)
 
 
 def _sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:

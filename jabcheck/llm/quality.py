@@ -142,21 +142,26 @@ def fit(
     return Trees(base, *map(np.stack, zip(*out)))
 
 
-def _featured(docs: DataFrame) -> DataFrame:
+def _featured(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id, learn, x`` and, if asked, ``row`` with all columns of ``docs``."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), learned_from(5).alias("learn"), docs["text"].alias("text"))
+    if carry:
+        rows = docs.select(*[docs[c].alias(c) for c in ("doc_id", "text")], learned_from(5).alias("learn"), F.struct(*docs.columns).alias("row"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    more = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
             values = np.array([features(t) for t in block.column("text").to_pylist()], np.float32)
             flat = pa.array(values.ravel())
-            yield pa.RecordBatch.from_pydict({
+            columns = {
                 "doc_id": block.column("doc_id"),
                 "learn": block.column("learn"),
                 "x": pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)), flat),
-            })
+            }
+            yield pa.RecordBatch.from_pydict(columns | ({"row": block.column("row")} if carry else {}))
 
-    return rows.mapInArrow(run, f"doc_id {kind}, learn boolean, x array<float>")
+    return rows.mapInArrow(run, f"doc_id {kind}, learn boolean, x array<float>{more}")
 
 
 def learned(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -190,20 +195,30 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     columns are ignored.
     """
     featured = staged(_featured(docs))
-    trees = learned(featured, labels, sample)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "learn": batch.column("learn"), "score": trees.score(x)}
-            )
-
-    kind = featured.schema["doc_id"].dataType.simpleString()
-    scored = featured.mapInArrow(run, f"doc_id {kind}, learn boolean, score double")
+    scored = _scored(featured, learned(featured, labels, sample))
     return scored.select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
+    featured = staged(_featured(docs, carry=True))
+    scored = _scored(featured, learned(featured, labels, sample))
+    return scored.filter(F.col("score") >= threshold).select("row.*")
+
+
+def _scored(featured: DataFrame, trees: Trees) -> DataFrame:
+    """``featured`` with ``score`` in the place of ``x``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)
+            rest = {c: batch.column(c) for c in batch.schema.names if c != "x"}
+            yield pa.RecordBatch.from_pydict(rest | {"score": trees.score(x)})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in featured.schema if f.name != "x")
+    return featured.mapInArrow(run, f"{kinds}, score double")

@@ -82,15 +82,16 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     return bucket[own[first]].view(np.int64), own[first], at[first], at[last]
 
 
-def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+def _texts(docs: DataFrame) -> DataFrame:
     """All rows by order of id as a table that is dealt by its key, so later joins don't move texts.
 
-    The key is the id and a number that tells rows of one id apart. A NULL id comes last.
+    The key is the id and a number that tells rows of one id apart. A NULL id comes last. ``rest`` has the columns but the text.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("d"),
         F.coalesce(docs["text"], F.lit("")).cast("binary").alias("raw"),
+        F.struct(*[docs[c].alias(c) for c in docs.columns if c != "text"]).alias("rest"),
     )
     if rows.groupBy("d").count().filter("count > 1").head(1):
         rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("raw"), F.length("raw"))))
@@ -106,7 +107,7 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
         .option("compression", "zstd")
         .saveAsTable(name)
     )
-    return spark.table(name), name
+    return spark.table(name)
 
 
 def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -256,15 +257,15 @@ def _repeats_apart(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept, rest`` for each row.
 
     Texts are UTF-8 bytes; NULL is empty. Each byte is removed that lies in a string of
     ``length`` bytes which also starts earlier: in a row of smaller ``doc_id``, or earlier in
     the same row; overlapping counts, and matches never cross rows. Strings are judged on the
-    input. ``n_spans`` counts runs of removed bytes, ``kept`` holds the others (BINARY). Rows
+    input. ``n_spans`` counts runs of removed bytes, ``kept`` holds the others (BINARY), and
+    ``rest`` the input's columns but the text. Rows
     without an id come after all others; rows of one id are ordered by a hash of their text,
-    and of rows equal in id and text one is kept. Ids are whole numbers; extra columns are
-    ignored. ``gram`` is a multiple of eight below ``length``.
+    and of rows equal in id and text one is kept. Ids are whole numbers. ``gram`` is a multiple of eight below ``length``.
 
     Every string is represented by one of the initial buckets that begin in it, about one
     offset in forty. Buckets that occur once are done. The rest get the bytes of their
@@ -272,7 +273,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     bucket keeps several contexts, they are refined to full depth, many buckets in a task.
     A crowded bucket is dealt out string by string instead, so no task holds it.
     """
-    texts, _ = _texts(docs)
+    return _cut(docs, length, gram, as_text=False)
+
+
+def _cut(docs: DataFrame, length: int, gram: int, as_text: bool) -> DataFrame:
+    texts = _texts(docs)
     firsts = texts.groupBy("h").agg(F.min(F.struct("d", "k")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     copies = staged(
         texts.select("d", "k", "h").join(firsts.select("h", "f"), "h").filter("d <> f.d or k <> f.k").select("d", "k", F.lit(True).alias("copy"))
@@ -299,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spans = whole.unionByName(_repeats_together(open_.filter(F.col("n") <= CROWDED), length))
     spans = spans.unionByName(_repeats_apart(open_.filter(F.col("n") > CROWDED), length))
     lists = spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    rows = texts.select("d", "k", "raw").join(lists, ["d", "k"], "left").join(copies, ["d", "k"], "left").select("d", "raw", "spans", "copy")
+    rows = texts.select("d", "k", "raw", "rest").join(lists, ["d", "k"], "left").join(copies, ["d", "k"], "left").select("d", "raw", "rest", "spans", "copy")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "raw"):
@@ -317,10 +322,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 gone.append(int(out.sum()))
                 runs.append(int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()))
                 kept.append(raw if not gone[-1] else np.frombuffer(raw, np.uint8)[~out].tobytes())
+            if as_text:
+                kept = [k.decode("utf-8", "ignore") for k in kept]
             numbers = {"d": block.column("d"), "n_bytes": size, "n_removed": gone, "n_spans": runs}
             yield pa.RecordBatch.from_pydict(
-                {n: pa.array(v, pa.int64()) for n, v in numbers.items()} | {"kept": pa.array(kept, pa.binary())}
+                {n: pa.array(v, pa.int64()) for n, v in numbers.items()} | {"kept": pa.array(kept, pa.string() if as_text else pa.binary()), "rest": block.column("rest")}
             )
 
-    out = rows.mapInArrow(run, "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.select(F.when(F.col("d") < 2**63 - 1, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    rest = rows.schema["rest"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}, rest {rest}")
+    return out.select(
+        F.when(F.col("d") < 2**63 - 1, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "rest"
+    )
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated strings cut out of ``text``.
+
+    Characters of which a part was cut go whole; NULL texts become empty.
+    """
+    cut = _cut(docs, length, gram, as_text=True)
+    return cut.select(*[F.col("kept").alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
