@@ -28,13 +28,17 @@ def _parser() -> argparse.ArgumentParser:
     job("design-covid", "out")
     flu = job("extract-flu", "records", "out")
     flu.add_argument("--study-dates", help="JSON file written by design-flu")
-    flu.add_argument("--snomed-codelist", help="CSV with a code column")
-    flu.add_argument("--drug-codelist", help="CSV with a code column")
+    flu.add_argument("--snomed-codelist", help="CSV of codes")
+    flu.add_argument("--drug-codelist", help="CSV of codes")
+    flu.add_argument("--code-column", default="code", help="column of the codes in both")
     report_of_flu = job("report-flu", "extracts", "out")
     job("upset", "counts", "out")
     job("extract-covid", "records", "out")
     report_of_covid = job("report-covid", "extracts", "out")
+    report_of_covid.add_argument("--staging", required=True, help="shared folder for intermediate tables")
+    report_of_covid.add_argument("--buckets", type=int, help="buckets of the staged tables")
     report_of_covid.add_argument("--inject-faults", action="store_true")
+    report_of_covid.add_argument("--seed", type=int, default=0, help="of the injected faults")
     for report in (report_of_flu, report_of_covid):
         report.add_argument("--threshold", type=int, help="disclosure rounding precision, 0 for none")
     return parser
@@ -60,6 +64,7 @@ def main(argv: list[str] | None = None) -> None:
             flu,
             snomed_codelist=args.snomed_codelist,
             drug_codelist=args.drug_codelist,
+            code_column=args.code_column,
         )
     elif args.job == "report-flu":
         report_flu(spark, args.extracts, args.out, flu)
@@ -68,7 +73,16 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "extract-covid":
         extract_covid(spark, args.records, args.out)
     else:
-        report_covid(spark, args.extracts, args.out, covid, inject_faults=args.inject_faults)
+        report_covid(
+            spark,
+            args.extracts,
+            args.out,
+            covid,
+            staging_folder=args.staging,
+            buckets=args.buckets,
+            inject_faults=args.inject_faults,
+            seed=args.seed,
+        )
 
 
 if __name__ == "__main__":

@@ -81,8 +81,8 @@ VAX = """vax AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 PERIODS = """periods AS (
   SELECT o_custkey AS patient_id, o_orderdate::DATE AS first_day,
-         CASE WHEN o_orderpriority <> '5-LOW' THEN (o_orderdate::DATE + 180)::DATE END AS last_day
-  FROM orders WHERE o_orderstatus = 'P')"""
+         CASE WHEN o_orderkey % 1000 <> 0 THEN (o_orderdate::DATE + (o_orderkey % 60)::INT)::DATE END AS last_day
+  FROM orders)"""
 EVENTS = f"""events_ AS (
   SELECT v.*, coalesce(p.label, 'UNMAPPED') AS product, coalesce(p.product_rank, {COVID.unmapped_rank}) AS product_rank,
          cc.campaign, cc.campaign_rank, a.day AS approval_date
@@ -140,9 +140,8 @@ ACTIVE = """active AS (
 FLU_RAW = """flu AS (
   SELECT o_custkey AS patient_id, o_orderdate::DATE AS vax_date, 'table' AS source FROM orders
   UNION ALL
-  SELECT o_custkey, l_shipdate::DATE, CASE l_returnflag WHEN 'A' THEN 'drug' ELSE 'snomed' END
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_linestatus = 'F' AND l_returnflag IN ('A', 'R'))"""
+  SELECT o_custkey, l_shipdate::DATE, CASE l_returnflag WHEN 'R' THEN 'snomed' ELSE 'drug' END
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 FLU_CAMPAIGN = f"""flu_c AS (
   SELECT flu.*, fc.campaign, fc.campaign_rank FROM flu {_on_campaign("flu.vax_date", "fc")})"""
 PRESENCE = """presence AS (
@@ -265,7 +264,6 @@ def _pick(position: str, names: list[str]) -> str:
 
 
 RAW = [raw for _, raw in COVID.products]
-APPROVED = [raw for label, raw in COVID.products if label in COVID.approvals]
 UNAPPROVED = [raw for label, raw in COVID.products if label not in COVID.approvals]
 
 KEYED = f"""keyed AS (
@@ -282,16 +280,6 @@ def _reaged(source: str, target: str, order: str, columns: str) -> str:
         WINDOW w AS (PARTITION BY patient_id ORDER BY vax_date, {order})))"""
 
 
-def _baseline(source: str, target: str) -> str:
-    days = (COVID.end - COVID.start).days
-    return f"""{target}_drawn AS (
-  SELECT row_key, patient_id, age,
-    ({_date(COVID.start)} + {_below("row_key", "baseline_date", 0, days)})::DATE AS vax_date,
-    {_pick(f"(({_draw('row_key', 'baseline_product')}) % {len(APPROVED)} + 1)", APPROVED)} AS vax_product
-  FROM {source}),
-{_reaged(f"{target}_drawn", target, "row_key", "row_key, patient_id, vax_date, vax_product")}"""
-
-
 def _expanded(source: str, target: str) -> str:
     return f"""{target}_persons AS (
   SELECT patient_id, row_number() OVER (ORDER BY {_draw("patient_id", "expand_patient")}, patient_id) AS place
@@ -390,7 +378,6 @@ def _injection() -> dict[str, str]:
     columns = "row_key, patient_id, vax_date, vax_product, age"
     faulted = f"{columns}, fault, copy_no"
     return {
-        "baseline_clean": _sql(f"SELECT {columns} FROM done", *base, _baseline("keyed", "done")),
         "age_shift": _sql(
             f"SELECT {columns} FROM done",
             *base,
@@ -405,40 +392,22 @@ def _injection() -> dict[str, str]:
             f"SELECT {faulted} FROM done",
             *base,
             *dims,
-            _baseline("keyed", "fresh"),
-            _expanded("fresh", "more"),
+            _expanded("keyed", "more"),
             _faulted("more", "bad"),
             _moved("bad", "done"),
         ),
     }
 
 
-def _calendar() -> str:
-    rows = [
-        (
-            "NULL::INT" if c.year is None else str(c.year),
-            _text(c.label),
-            _date(c.start),
-            _date(c.early_milestone),
-            _date(c.primary_milestone),
-            _date(c.age_date),
-        )
-        for c in FLU.campaigns
-    ]
-    columns = "year, campaign_label, campaign_start_date, early_milestone_date, primary_milestone_date, age_date"
-    finals = f"""finals AS (
-  SELECT *, (lead(campaign_start_date, 1, {_date(FLU.calendar_close)}) OVER (ORDER BY campaign_start_date) - 1)::DATE
-    AS final_milestone_date FROM cal),
-seen AS (SELECT campaign, count(*) AS n_records FROM flu_c GROUP BY campaign)"""
-    days = ", ".join(
-        f"(date_diff('day', campaign_start_date, {kind}_milestone_date) + 1)::INT AS {kind}_milestone_days"
-        for kind in ("early", "primary", "final")
-    )
+def _windows() -> str:
+    """Records of each campaign up to its early and primary milestones and in all, from the calendar's dates."""
+    rows = [(_text(c.label), _date(c.start), _date(c.early_milestone), _date(c.primary_milestone)) for c in FLU.campaigns]
     return _sql(
-        f"SELECT finals.*, {days}, n_records FROM finals LEFT JOIN seen ON campaign = campaign_label",
+        """SELECT campaign, source, count(*) FILTER (WHERE vax_date <= early) AS n_to_early,
+  count(*) FILTER (WHERE vax_date <= main) AS n_to_primary, count(*) AS n_records
+FROM flu_c JOIN cal ON campaign = label GROUP BY campaign, source""",
         *_FLU,
-        _values(rows, "cal", columns),
-        finals,
+        _values(rows, "cal", "label, first_day, early, main"),
     )
 
 
@@ -476,14 +445,15 @@ LEFT JOIN (SELECT campaign, count(*) AS denom_records_group, count(DISTINCT pati
         "table5_campaign_transition": (["campaign_transition_type", "interval_bin"], counts + groups + totals_),
         "table6_product_transition": (["product_transition_type", "interval_bin"], counts + groups + totals_),
     }
-    return tables | {f"{name}_rounded": _rounded(tables[name], *shape) for name, shape in shapes.items()}
+    reported = {f"report_{name}": sql for name, sql in tables.items()}
+    return tables | reported | {f"{name}_rounded": _rounded(tables[name], *shape) for name, shape in shapes.items()}
 
 
 def _records() -> dict[str, str]:
     same_day = "flag_same_day_multiple, flag_same_day_same_product, flag_same_day_mixed_product"
     keys = "l_orderkey, l_linenumber"
     return {
-        "campaign_calendar": _calendar(),
+        "campaign_windows": _windows(),
         "extract_events": _sql(
             f"""SELECT v.patient_id, v.vax_date, v.raw AS vax_product, {_age("born", "v.vax_date")} AS age, death_date
 FROM vax v LEFT JOIN persons USING (patient_id) WHERE l_linestatus = '{standin.DISEASE}'""",
@@ -548,8 +518,11 @@ FROM (SELECT patient_id, vax_date, sum(n)::BIGINT AS total_records_day, count(*)
             *_EVENTS,
         ),
         "same_day_flags": _sql(
-            f"""SELECT patient_id, vax_date, product AS vax_product, total_records_day, n_products_day, {same_day}
-FROM flagged""",
+            f"""SELECT patient_id, vax_date, product AS vax_product, total_records_day, n_products_day, product_pattern, {same_day}
+FROM flagged JOIN (
+  SELECT patient_id, vax_date, string_agg(n || 'x ' || product, '  --AND-- ' ORDER BY product_rank) AS product_pattern
+  FROM (SELECT patient_id, vax_date, product, product_rank, count(*) AS n FROM events_ GROUP BY ALL)
+  GROUP BY patient_id, vax_date) USING (patient_id, vax_date)""",
             *_FLAGGED,
         ),
         "flags_long": _sql(
@@ -625,6 +598,17 @@ FROM (SELECT *, {_tenth("share")} AS perc_source FROM (
             UPSET,
         ),
         "upset_counts": _sql('SELECT campaign, "table", drug, snomed, n FROM upset', *_PRESENCE, UPSET),
+        "report_upset_counts": _sql('SELECT campaign, "table", drug, snomed, n FROM upset', *_PRESENCE, UPSET),
+        "files_round_trip": _sql(
+            """SELECT n.patient_id, n.campaign, n.source, c.n FROM (
+  SELECT DISTINCT patient_id, campaign, source FROM flu_c) n
+JOIN presence p ON p.patient_id = n.patient_id AND p.campaign IS NOT DISTINCT FROM n.campaign
+JOIN upset c ON c.campaign IS NOT DISTINCT FROM p.campaign AND c."table" = p."table" AND c.drug = p.drug
+  AND c.snomed = p.snomed
+WHERE n.patient_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+            *_PRESENCE,
+            UPSET,
+        ),
         "upset_intersections": _sql(
             """SELECT campaign, source_combination AS combination, n,
   row_number() OVER (PARTITION BY campaign ORDER BY n DESC, source_combination)::INT AS rank FROM upset""",

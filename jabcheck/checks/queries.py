@@ -13,8 +13,11 @@ from jabcheck.functions.labels import SOURCES
 from jabcheck.functions.rounding import round_midpoint
 from jabcheck.operators import clean, crosssource, extract, flags, intervals, perturb, registration, summaries, upset
 from jabcheck.operators.counts import fold_rows, unroll_rows
-from jabcheck.operators.staging import checkpointed
+from jabcheck.operators.staging import session_staging
 from jabcheck.plans import design
+from jabcheck.plans.covid import flagged_with_active, report_tables
+from jabcheck.sources.readers import read_codelist, read_source_counts
+from jabcheck.sources.writers import write_csv
 from jabcheck.study import Study
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,15 +32,22 @@ def _with_campaign(rows: DataFrame, study: Study, *columns: str) -> DataFrame:
 # --- settings, extraction, cleaning
 
 
-def campaign_calendar(spark, sf_dir):
-    seen = (
-        standin.flu_records(spark, sf_dir)
-        .groupBy(clean.rank_of_campaign(FLU).alias("campaign_rank"))
-        .agg(F.count(F.lit(1)).alias("n_records"))
-        .select(clean.campaign_label(FLU).alias("campaign_label"), "n_records")
+def campaign_windows(spark, sf_dir):
+    """Records of each campaign and source up to the milestones of the calendar."""
+    calendar = design.calendar(spark, FLU).select("campaign_label", "early_milestone_date", "primary_milestone_date")
+    records = standin.flu_records(spark, sf_dir).withColumn("campaign_rank", clean.rank_of_campaign(FLU))
+    labelled = records.withColumn("campaign_label", clean.campaign_label(FLU))
+    counted = labelled.groupBy("campaign_label", "source", "vax_date").agg(F.count(F.lit(1)).alias("n"))
+    up_to = lambda day: F.coalesce(F.sum(F.when(F.col("vax_date") <= F.col(day), F.col("n"))), F.lit(0))
+    return (
+        counted.join(calendar, "campaign_label")
+        .groupBy(F.col("campaign_label").alias("campaign"), "source")
+        .agg(
+            up_to("early_milestone_date").alias("n_to_early"),
+            up_to("primary_milestone_date").alias("n_to_primary"),
+            F.sum("n").alias("n_records"),
+        )
     )
-    table = design.calendar(spark, FLU).drop("age_threshold", "clinical_priority")
-    return table.join(seen, "campaign_label", "left")
 
 
 def extract_events(spark, sf_dir):
@@ -123,7 +133,7 @@ def same_day_pattern(spark, sf_dir):
 def same_day_flags(spark, sf_dir):
     same_day = [f for f in flags.FLAGS if f.startswith("flag_same_day")]
     return flags.flag_events(standin.vax(spark, sf_dir), COVID).select(
-        "patient_id", "vax_date", "vax_product", "total_records_day", "n_products_day", *same_day
+        "patient_id", "vax_date", "vax_product", "total_records_day", "n_products_day", "product_pattern", *same_day
     )
 
 
@@ -142,6 +152,10 @@ def _gaps(spark, sf_dir):
     return intervals.dose_gaps(intervals.single_record_days(standin.vax(spark, sf_dir), COVID))
 
 
+def _counted_gaps(spark, sf_dir):
+    return intervals.fold_gaps(_gaps(spark, sf_dir))
+
+
 def interval_bins(spark, sf_dir):
     return _gaps(spark, sf_dir).select(
         "patient_id", "vax_date", "interval_days", intervals.interval_bin().alias("interval_bin"), "interval_bin_rank"
@@ -164,8 +178,20 @@ def _decided(spark, sf_dir):
 
 
 def active_on_date(spark, sf_dir):
-    active = _decided(spark, sf_dir).where("active")
-    return registration.unroll_active(active).select("patient_id", "vax_date", "vax_product")
+    """The same by a semi join, written apart from the running maximum of ``active_flag_any``.
+
+    A join of days with the periods around them: fine where a patient has few periods.
+    """
+    folded = fold_rows(standin.vax(spark, sf_dir), "patient_id", "vax_date", "vax_product")
+    alive = extract.with_death(folded, standin.deaths(spark, sf_dir)).where("death_date IS NULL OR death_date >= vax_date")
+    spans = registration.registration_spans(standin.registrations(spark, sf_dir)).withColumnRenamed("vax_date", "_from")
+    within = (
+        (alive["patient_id"] == spans["patient_id"])
+        & (F.col("_from") <= F.col("vax_date"))
+        & (F.col("vax_date") <= F.col("registered_until"))
+    )
+    active = alive.join(spans, within, "left_semi").drop("death_date")
+    return unroll_rows(active).select("patient_id", "vax_date", "vax_product")
 
 
 def active_flag_any(spark, sf_dir):
@@ -208,15 +234,15 @@ def table3_product_flags(spark, sf_dir):
 
 
 def table4_interval_context(spark, sf_dir):
-    return summaries.interval_contexts(_gaps(spark, sf_dir), COVID)
+    return summaries.interval_contexts(_counted_gaps(spark, sf_dir), COVID)
 
 
 def table5_campaign_transition(spark, sf_dir):
-    return summaries.campaign_transitions(_gaps(spark, sf_dir), COVID)
+    return summaries.campaign_transitions(_counted_gaps(spark, sf_dir), COVID)
 
 
 def table6_product_transition(spark, sf_dir):
-    return summaries.product_transitions(_gaps(spark, sf_dir), COVID)
+    return summaries.product_transitions(_counted_gaps(spark, sf_dir), COVID)
 
 
 SUMMARY_TABLES: dict[str, Query] = {
@@ -229,6 +255,30 @@ SUMMARY_TABLES: dict[str, Query] = {
 }
 
 
+REPORTED = {
+    "table1_overall_flags": "count_overall_noninterval_flags",
+    "table2_campaign_flags": "count_campaign_noninterval_flags",
+    "table3_product_flags": "count_product_noninterval_flags",
+    "table4_interval_context": "count_interval_context",
+    "table5_campaign_transition": "count_interval_campaign_transition",
+    "table6_product_transition": "count_interval_product_transition",
+}
+
+
+def _reported(file: str) -> Query:
+    """A table as the report job makes it, from the staged patient-days."""
+
+    def query(spark, sf_dir):
+        stage = session_staging(spark)
+        events = extract.with_death(
+            fold_rows(standin.vax(spark, sf_dir), "patient_id", "vax_date", "vax_product"), standin.deaths(spark, sf_dir)
+        )
+        flagged = flagged_with_active(unroll_rows(events), standin.registrations(spark, sf_dir), COVID)
+        return report_tables(stage.by_patient(flagged), COVID, stage)[file]
+
+    return query
+
+
 def _rounded(query: Query) -> Query:
     return lambda spark, sf_dir: summaries.rounded(query(spark, sf_dir), COVID.threshold)
 
@@ -242,7 +292,7 @@ def flu_source_summary(spark, sf_dir):
         "age", age_on(F.col("date_of_birth"), F.col("vax_date"))
     )
     return _with_campaign(
-        crosssource.source_summary(unroll_rows(aged), FLU),
+        crosssource.source_summary(aged, FLU),
         FLU,
         "source",
         "n_vax",
@@ -288,6 +338,33 @@ def upset_counts(spark, sf_dir):
     return crosssource.upset_table(_combination_counts(spark, sf_dir), FLU)
 
 
+def report_upset_counts(spark, sf_dir):
+    """The counts as the report job makes them, from the people counted for date agreement."""
+    people = crosssource.agreement_counts(crosssource.date_agreement(standin.flu_records(spark, sf_dir), FLU))
+    return crosssource.upset_table(crosssource.round_counts(people, FLU), FLU)
+
+
+def files_round_trip(spark, sf_dir):
+    """A codelist and the released counts, written as files, read back and joined with records."""
+    folder = session_staging(spark).new_path()
+    listed = standin.urgent_patients(spark, sf_dir).select(F.col("patient_id").cast("string").alias("person"))
+    listed.write.csv(f"{folder}/codes", header=True)
+    write_csv(upset_counts(spark, sf_dir), f"{folder}/counts")
+    codes = read_codelist(spark, f"{folder}/codes", "person")
+    counts = read_source_counts(spark, f"{folder}/counts")
+    sources = flu_union_sources(spark, sf_dir)
+    chosen = extract.with_code(sources.withColumn("person", F.col("patient_id").cast("string")), "person", codes)
+    presence = source_combination_person(spark, sf_dir).select(
+        F.col("patient_id").alias("_id"), F.col("campaign").alias("_campaign"), *SOURCES
+    )
+    both = (F.col("patient_id") == F.col("_id")) & F.col("campaign").eqNullSafe(F.col("_campaign"))
+    same = F.col("p.campaign").eqNullSafe(F.col("c.campaign"))
+    for source in SOURCES:
+        same &= F.col(f"p.{source}") == F.col(f"c.{source}")
+    found = chosen.join(presence, both).alias("p").join(counts.alias("c"), same)
+    return found.select("p.patient_id", "p.campaign", "p.source", "c.n")
+
+
 def upset_intersections(spark, sf_dir):
     return upset.intersections(upset_counts(spark, sf_dir))
 
@@ -318,12 +395,8 @@ def table_date_agreement(spark, sf_dir):
 # --- fault injection
 
 
-def baseline_clean(spark, sf_dir):
-    return perturb.clean_baseline(standin.keyed_vax(spark, sf_dir), COVID)
-
-
 def age_shift(spark, sf_dir):
-    return perturb.recompute_age(standin.keyed_vax(spark, sf_dir), ["row_key"])
+    return perturb.recompute_age(standin.keyed_vax(spark, sf_dir), ["row_key"], session_staging(spark))
 
 
 def inject_expand(spark, sf_dir):
@@ -335,17 +408,18 @@ def inject_faults(spark, sf_dir):
 
 
 def inject_intervals(spark, sf_dir):
-    return perturb.inject_intervals(checkpointed(inject_faults(spark, sf_dir)))
+    stage = session_staging(spark)
+    return perturb.inject_intervals(stage.store(inject_faults(spark, sf_dir)), stage)
 
 
 def inject_all(spark, sf_dir):
-    return perturb.perturb(standin.keyed_vax(spark, sf_dir), COVID)
+    return perturb.perturb(standin.keyed_vax(spark, sf_dir), COVID, session_staging(spark))
 
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        campaign_calendar,
+        campaign_windows,
         extract_events,
         codelist_semi_join,
         population_filter,
@@ -372,13 +446,14 @@ QUERIES: dict[str, Query] = {
         source_combination_person,
         table_flu_sources,
         upset_counts,
+        report_upset_counts,
+        files_round_trip,
         upset_intersections,
         upset_set_sizes,
         upset_uncount,
         date_agreement_person,
         date_agreement_bandjoin,
         table_date_agreement,
-        baseline_clean,
         age_shift,
         inject_expand,
         inject_faults,
@@ -389,3 +464,4 @@ QUERIES: dict[str, Query] = {
 for _name, _query in SUMMARY_TABLES.items():
     QUERIES[_name] = _query
     QUERIES[f"{_name}_rounded"] = _rounded(_query)
+    QUERIES[f"report_{_name}"] = _reported(REPORTED[_name])

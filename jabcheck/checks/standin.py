@@ -23,6 +23,8 @@ N_APPROVED = 20
 FIRST_APPROVAL = date(1995, 12, 2)
 APPROVAL_GAP = 45
 MIN_AGE = 12
+PERIOD_DAYS = 60
+OPEN_PERIOD_EVERY = 1000
 DISEASE = "F"
 CODED_TYPES = ("PROMO", "SMALL")
 
@@ -102,16 +104,13 @@ def deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("o_orderdate").cast("date")
-    end = F.when(F.col("o_orderpriority") != "5-LOW", F.date_add(start, 180))
-    return (
-        _table(spark, sf_dir, "orders")
-        .where(F.col("o_orderstatus") == "P")
-        .select(
-            F.col("o_custkey").alias("patient_id"),
-            start.alias("registration_start_date"),
-            end.alias("deregistration_date"),
-        )
+    """Every order starts a period of a few weeks; every thousandth order's is open."""
+    start, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    end = F.when(key % OPEN_PERIOD_EVERY != 0, F.date_add(start, (key % PERIOD_DAYS).cast("int")))
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("patient_id"),
+        start.alias("registration_start_date"),
+        end.alias("deregistration_date"),
     )
 
 
@@ -164,17 +163,23 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def urgent_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients with an urgent order: a list to look records up in."""
+    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    return orders.select(F.col("o_custkey").alias("patient_id")).distinct()
+
+
 def flu_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three flu record sources as (patient_id, date)."""
     table = _table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("date")
     )
-    lines = _lines(spark, sf_dir).where(F.col("l_linestatus") == "F")
+    lines = _lines(spark, sf_dir)
     coded = {
-        name: lines.where(F.col("l_returnflag") == flag).select(
+        name: lines.where(F.col("l_returnflag").isin(*flags)).select(
             "patient_id", F.col("l_shipdate").cast("date").alias("date")
         )
-        for name, flag in (("drug", "A"), ("snomed", "R"))
+        for name, flags in (("drug", ("A", "N")), ("snomed", ("R",)))
     }
     return {"table": table, **coded}
 

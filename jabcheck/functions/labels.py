@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,20 +48,21 @@ def interval_bin_rank(days: str) -> Column:
     return F.expr(f"CASE {branches} END")
 
 
-def campaign_stage(campaign: Column) -> Column:
-    return F.when(campaign.isin(*PRIMARY_CAMPAIGNS), F.lit(PRIMARY)).when(
-        campaign.rlike(BOOSTER_PATTERN), F.lit(BOOSTER)
-    )
+def campaign_stage(campaign: str) -> str | None:
+    """The stage that a campaign belongs to, from its label."""
+    if campaign in PRIMARY_CAMPAIGNS:
+        return PRIMARY
+    return BOOSTER if re.search(BOOSTER_PATTERN, campaign) else None
 
 
-def interval_context(previous: Column, current: Column) -> Column:
-    """Where two consecutive doses sit relative to each other, from their campaign labels."""
-    stages = F.concat_ws(">", campaign_stage(previous), campaign_stage(current))
-    between = F.when(previous == current, F.lit(WITHIN_BOOSTER)).otherwise(F.lit(BETWEEN_BOOSTERS))
+def interval_context(stage_before: Column, stage: Column, same_campaign: Column) -> Column:
+    """Where two consecutive doses sit relative to each other, from the stages of their campaigns."""
+    from_primary, boosters = stage_before == PRIMARY, (stage_before == BOOSTER) & (stage == BOOSTER)
     return (
-        F.when(stages == f"{PRIMARY}>{PRIMARY}", F.lit(WITHIN_PRIMARY))
-        .when(stages == f"{PRIMARY}>{BOOSTER}", F.lit(PRIMARY_TO_BOOSTER))
-        .when(stages == f"{BOOSTER}>{BOOSTER}", between)
+        F.when(from_primary & (stage == PRIMARY), WITHIN_PRIMARY)
+        .when(from_primary & (stage == BOOSTER), PRIMARY_TO_BOOSTER)
+        .when(boosters & same_campaign, WITHIN_BOOSTER)
+        .when(boosters, BETWEEN_BOOSTERS)
     )
 
 

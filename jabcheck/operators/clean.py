@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jabcheck.functions.dates import by_rank, campaign_rank
+from jabcheck.sources.writers import write_csv
 from jabcheck.study import UNMAPPED, Study
 
 
@@ -65,9 +66,12 @@ def unmapped_products(events: DataFrame, study: Study) -> DataFrame:
     )
 
 
-def require_mapped(events: DataFrame, study: Study, show: int = 50) -> None:
-    """Stop with the unknown names (at most ``show`` of them) if there are any."""
-    names = [row.vax_product_raw for row in unmapped_products(events, study).limit(show).collect()]
-    if names:
-        listed = "\n".join("NA" if name is None else name for name in names)
-        raise UnmappedProductsError(f"{UNMAPPED} product names found:\n{listed}")
+def require_mapped(events: DataFrame, study: Study, path: str) -> None:
+    """Stop if there are unknown names; all of them are written to ``path``, a CSV."""
+    unknown = unmapped_products(events, study).cache()
+    number = unknown.count()
+    if number:
+        write_csv(unknown.orderBy(F.col("vax_product_raw").asc_nulls_last()), path)
+    unknown.unpersist()
+    if number:
+        raise UnmappedProductsError(f"{number} {UNMAPPED} product names found, listed in {path}")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: copies that one row may unroll to in place
+#: copies that are unrolled from one array
 CHUNK = 100_000
 
 
@@ -23,18 +23,12 @@ def fold_rows(records: DataFrame, *columns: str) -> DataFrame:
 def unroll_rows(rows: DataFrame, n: str = "n_records") -> DataFrame:
     """Each row ``n`` times, without the column ``n``; rows with ``n < 1`` vanish.
 
-    A row with more than :data:`CHUNK` copies is first cut into chunks that are spread over
-    the cluster, so a single huge count neither builds a huge array nor stays in one task.
+    A count is cut into chunks of :data:`CHUNK`, mostly one, and each chunk is unrolled by
+    itself, so a huge count never builds a huge array. The input is read once.
     """
     kept = [c for c in rows.columns if c != n]
-    count, one = F.col(n), F.lit(1).cast("long")
-    few = rows.where(count.between(1, CHUNK)).select(*kept, F.explode(F.array_repeat(F.lit(True), count.cast("int"))))
-    last_chunk = F.floor((count - 1) / F.lit(CHUNK)).cast("long")
-    spread = (
-        rows.where(count > CHUNK)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-        .repartition(*kept, "_chunk")
-    )
-    size = F.least(F.lit(CHUNK).cast("long"), count - F.col("_chunk") * CHUNK)
-    many = spread.select(*kept, F.explode(F.sequence(one, size)))
-    return few.select(*kept).unionByName(many.select(*kept))
+    count, first = F.col(n), F.lit(0).cast("long")
+    chunks = F.sequence(first, F.floor((count - 1) / F.lit(CHUNK)).cast("long"))
+    cut = rows.where(count >= 1).select(*kept, n, F.explode(chunks).alias("_chunk"))
+    size = F.least(F.lit(CHUNK).cast("long"), count - F.col("_chunk") * CHUNK).cast("int")
+    return cut.select(*kept, F.explode(F.array_repeat(F.lit(True), size)).alias("_copy")).select(*kept)

@@ -37,11 +37,13 @@ def source_summary(records: DataFrame, study: Study) -> DataFrame:
     """Per source, patient and campaign: doses, records and the sorted distinct dates.
 
     Exact duplicates (same date and age) are one dose. They are counted away before the
-    dates are listed, so a list has at most one entry per day of its campaign.
+    dates are listed, so a list has at most one entry per day of its campaign. Records that
+    are folded already carry their number as ``n_records``.
     """
+    number = F.sum("n_records") if "n_records" in records.columns else F.count(F.lit(1))
     return (
         records.groupBy("source", "patient_id", "vax_date", "age")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(number.alias("n"))
         .withColumn("campaign_rank", rank_of_campaign(study))
         .groupBy("source", *PERSON)
         .agg(

@@ -44,18 +44,23 @@ def population(
     exists = patients_with_any(*frames)
     if min_age is None:
         return exists
-    old_enough = patients.where(age_on(F.col("date_of_birth"), F.lit(on)) >= min_age)
+    old_enough = _one_each(patients, "date_of_birth").where(age_on(F.col("date_of_birth"), F.lit(on)) >= min_age)
     return exists.join(old_enough.select("patient_id"), "patient_id", "left_semi")
 
 
+def _one_each(table: DataFrame, day: str) -> DataFrame:
+    """One row per patient, with the earliest ``day``, so that no join multiplies events."""
+    return table.groupBy("patient_id").agg(F.min(day).alias(day))
+
+
 def with_person(folded: DataFrame, patients: DataFrame) -> DataFrame:
     """Folded events beside their patient's date of birth, NULL where not recorded."""
-    return folded.join(patients.select("patient_id", "date_of_birth"), "patient_id", "left")
+    return folded.join(_one_each(patients, "date_of_birth"), "patient_id", "left")
 
 
 def with_death(folded: DataFrame, deaths: DataFrame) -> DataFrame:
     """Folded rows beside their patient's date of death, NULL where none is recorded."""
-    return folded.join(deaths.select("patient_id", F.col("date").alias("death_date")), "patient_id", "left")
+    return folded.join(_one_each(deaths, "date").withColumnRenamed("date", "death_date"), "patient_id", "left")
 
 
 def covid_events(vaccinations: DataFrame, patients: DataFrame, deaths: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def flu_events(events: DataFrame, patients: DataFrame, *, min_age: int, on: date
     A patient with a row here has an event in one of the three sources by definition, so
     membership comes down to the age rule, checked on the joined date of birth.
     """
-    eligible = patients.where(age_on(F.col("date_of_birth"), F.lit(on)) >= min_age)
+    eligible = _one_each(patients, "date_of_birth").where(age_on(F.col("date_of_birth"), F.lit(on)) >= min_age)
     names = {"date": "vax_date"}
     if "product_name" in events.columns:
         names["product_name"] = "vax_product"

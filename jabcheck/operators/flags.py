@@ -101,14 +101,29 @@ def flagged_days(events: DataFrame, study: Study) -> DataFrame:
     return flag_days(by_patient(day_products(events, study)), study)
 
 
+def pattern_text(listed: Column, study: Study) -> Column:
+    """Text such as ``2x a  --AND-- 1x b`` from counted products of a day in level order."""
+    label = lambda rank: by_rank(rank, study.product_labels, "string")
+    entry = lambda e: F.concat(e["n_records"].cast("string"), F.lit("x "), label(e["product_rank"]))
+    return F.array_join(F.transform(listed, entry), PATTERN_SEPARATOR)
+
+
+def _merged_entry(done: Column, entry: Column) -> Column:
+    """Add a counted product to a sorted list in which the last one may be the same product."""
+    last = F.try_element_at(done, F.lit(-1))
+    both = F.struct(entry["product_rank"].alias("product_rank"), (last["n_records"] + entry["n_records"]).alias("n_records"))
+    return F.when(
+        last["product_rank"] == entry["product_rank"],
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both)),
+    ).otherwise(F.concat(done, F.array(entry)))
+
+
 def same_day_patterns(events: DataFrame, study: Study) -> DataFrame:
     """Per patient-day: totals, the pattern text such as ``2x a  --AND-- 1x b``, and the flags.
 
     Products are listed in level order. The second grouping starts from counted products,
     so its list has at most one entry per product.
     """
-    label = lambda rank: by_rank(rank, study.product_labels, "string")
-    entry = lambda e: F.concat(e["n_records"].cast("string"), F.lit("x "), label(e["product_rank"]))
     listed = F.array_sort(F.collect_list(F.struct("product_rank", "n_records")))
     per_day = (
         day_products(events, study)
@@ -123,7 +138,7 @@ def same_day_patterns(events: DataFrame, study: Study) -> DataFrame:
         *DAY,
         "total_records_day",
         "n_products_day",
-        F.array_join(F.transform("_listed", entry), PATTERN_SEPARATOR).alias("product_pattern"),
+        pattern_text(F.col("_listed"), study).alias("product_pattern"),
         *_named(same_day_flags(F.col("total_records_day"), F.col("n_products_day") > 1)),
     )
 
@@ -135,8 +150,15 @@ def flag_events(events: DataFrame, study: Study, *extra: str) -> DataFrame:
     makes two records copies of each other, so they must not tell every record apart.
     """
     days = flag_days(by_patient(day_products(events, study, *extra)), study)
-    products = F.size(F.collect_set("product_rank").over(W.partitionBy(*DAY))).cast("long")
-    labelled = days.withColumn("n_products_day", products).select(
+    day = W.partitionBy(*DAY)
+    counted = F.collect_list(F.struct("product_rank", "n_records")).over(day)
+    per_product = F.aggregate(
+        F.array_sort(counted),
+        F.array().cast("array<struct<product_rank:int,n_records:bigint>>"),
+        _merged_entry,
+    )
+    listed = days.withColumn("_listed", per_product).withColumn("n_products_day", F.size("_listed").cast("long"))
+    labelled = listed.select(
         *DAY,
         *extra,
         product_label(study).alias("vax_product"),
@@ -144,6 +166,7 @@ def flag_events(events: DataFrame, study: Study, *extra: str) -> DataFrame:
         approval_date(study).alias("approval_date"),
         "total_records_day",
         "n_products_day",
+        pattern_text(F.col("_listed"), study).alias("product_pattern"),
         *FLAGS,
         "n_records",
     )

@@ -62,8 +62,21 @@ def dose_gaps(days: DataFrame) -> DataFrame:
     )
 
 
+def stage_of(study: Study, rank: str = "campaign_rank"):
+    """The stage of a campaign, looked up by rank; labels are matched once, when planning."""
+    return by_rank(F.col(rank), [campaign_stage(label) for label in study.campaign_labels], "string")
+
+
 def context_of(study: Study):
-    return interval_context(campaign_label(study, "prev_campaign_rank"), campaign_label(study))
+    same = F.col("prev_campaign_rank") == F.col("campaign_rank")
+    return interval_context(stage_of(study, "prev_campaign_rank"), stage_of(study), same)
+
+
+def fold_gaps(gaps: DataFrame) -> DataFrame:
+    """Gaps of a patient that no table tells apart, counted as ``n``."""
+    return gaps.groupBy(
+        "patient_id", "prev_campaign_rank", "campaign_rank", "prev_product_rank", "product_rank", "interval_bin_rank"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def describe_gaps(gaps: DataFrame, study: Study) -> DataFrame:
@@ -78,8 +91,8 @@ def describe_gaps(gaps: DataFrame, study: Study) -> DataFrame:
         product_now.alias("vax_product"),
         before.alias("prev_campaign"),
         now.alias("campaign"),
-        campaign_stage(before).alias("prev_campaign_stage"),
-        campaign_stage(now).alias("campaign_stage"),
+        stage_of(study, "prev_campaign_rank").alias("prev_campaign_stage"),
+        stage_of(study).alias("campaign_stage"),
         "interval_days",
         interval_bin().alias("interval_bin"),
         context_of(study).alias("interval_context"),

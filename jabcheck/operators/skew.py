@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: a key with more than 1/HOT_SHARE of all rows is hot; so fewer than HOT_SHARE keys can be
-HOT_SHARE = 1000
+from jabcheck.operators.staging import Staging
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Give every row the columns of ``facts``, which has one row per key.
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], stage: Staging) -> DataFrame:
+    """Give every row the columns of ``facts``, which has one row per key; NULL keys match too.
 
-    Facts are aggregates of the rows themselves, so every row has its facts.
-    ``facts[weight]`` is the number of ``rows`` with that key (it is not returned). Rows of
-    hot keys meet their facts by broadcast and are never shuffled; by the definition of
-    hot there are fewer than :data:`HOT_SHARE` such keys, whatever the size of the data.
-    All other rows take an ordinary shuffle join. Adaptive execution would not do this: it
-    splits a join of two plain shuffles only, and here one side is an aggregate.
+    Facts are aggregates of the rows, so every row has its facts. They are stored first:
+    the join is then one of two plain shuffles, of which adaptive execution splits any
+    partition that is too large, whichever key made it so. Spark broadcasts facts that it
+    measures to be small.
     """
-    total = facts.agg(F.sum(weight)).scalar()
-    hot = facts.where(F.col(weight) * HOT_SHARE > total).drop(weight)
-    in_place = rows.join(F.broadcast(hot), keys)
-    shuffled = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.drop(weight), keys)
-    return in_place.unionByName(shuffled)
+    stored = stage.store(facts.withColumnsRenamed({k: f"_key_{k}" for k in keys}))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(stored, same, "left").drop(*[f"_key_{k}" for k in keys])

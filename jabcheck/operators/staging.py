@@ -1,48 +1,79 @@
-"""Cutting lineage between the steps of a long job."""
+"""Tables stored between the steps of a long job, in a folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_SESSIONS: dict[str, Staging] = {}
 
-def staging_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none, such as a local test, gets a temporary folder.
+class Staging:
+    """A fresh folder for the intermediate tables of one job; ``remove`` deletes it.
+
+    ``folder`` defaults to the one that ``spark.checkpoint.dir`` names. It must be shared:
+    a folder of one machine would lose tables with an executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="jabcheck-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
 
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> None:
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("name a shared folder for intermediate tables: --staging, or spark.checkpoint.dir")
+        self.spark = spark
+        self.path = f"{folder.rstrip('/')}/jabcheck-{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._databases: list[str] = []
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` computed once and stored reliably, so what follows starts from files."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(staging_dir(frame.sparkSession))
-    return frame.checkpoint()
+    def new_path(self) -> str:
+        return f"{self.path}/{uuid.uuid4().hex}"
 
+    def store(self, frame: DataFrame) -> DataFrame:
+        """``frame`` written once as Parquet; what follows starts from the files."""
+        path = self.new_path()
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
-@contextmanager
-def staged_by_patient(frame: DataFrame) -> Iterator[DataFrame]:
-    """``frame`` as a table in the shared folder, bucketed by patient, for one ``with`` block.
+    def by_patient(self, frame: DataFrame) -> DataFrame:
+        """``frame`` as a table bucketed by patient, read without a shuffle by patient."""
+        database = f"staging_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE DATABASE {database} LOCATION '{self.path}/{database}'")
+        self._databases.append(database)
+        frame.write.bucketBy(self.buckets, "patient_id").sortBy("patient_id").saveAsTable(f"{database}.rows")
+        return self.spark.table(f"{database}.rows")
 
-    Windows and groupings by patient read it without a shuffle. The table is dropped,
-    with its files, at the end of the block.
-    """
-    spark = frame.sparkSession
-    database = f"staging_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{staging_dir(spark).rstrip('/')}/{database}'")
+    def remove(self) -> None:
+        while self._databases:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self._databases.pop()} CASCADE")
+        self._delete_files()
+
+    def _delete_files(self) -> None:
+        jvm = SparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+@contextmanager
+def staging(spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> Iterator[Staging]:
+    """A :class:`Staging` for one ``with`` block."""
+    stage = Staging(spark, folder, buckets)
     try:
-        frame.write.bucketBy(buckets, "patient_id").sortBy("patient_id", "vax_date").saveAsTable(f"{database}.rows")
-        yield spark.table(f"{database}.rows")
+        yield stage
     finally:
-        spark.sql(f"DROP DATABASE {database} CASCADE")
+        stage.remove()
+
+
+def session_staging(spark: SparkSession) -> Staging:
+    """One :class:`Staging` for all results of an application that are still to be read.
+
+    Its files are deleted when Python ends.
+    """
+    key = spark.sparkContext.applicationId
+    if key not in _SESSIONS:
+        _SESSIONS[key] = Staging(spark)
+        atexit.register(_SESSIONS[key]._delete_files)
+    return _SESSIONS[key]

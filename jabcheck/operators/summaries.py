@@ -127,12 +127,15 @@ def campaign_flags(flagged: DataFrame, study: Study) -> DataFrame:
 
 
 def _interval_table(gaps: DataFrame, keys: list[str], name: str, label: Column) -> DataFrame:
-    """Counts per group and interval bin, beside those of the group and of the whole table."""
+    """Counts per group and interval bin, beside those of the group and of the whole table.
+
+    ``gaps`` are counted: each stands for ``n`` intervals.
+    """
     by_group = W.partitionBy("patient_id", *keys).orderBy("interval_bin_rank")
     by_person = W.partitionBy("patient_id").orderBy(*keys, "interval_bin_rank")
     marked = (
         gaps.groupBy("patient_id", *keys, "interval_bin_rank")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("_first_in_group", F.row_number().over(by_group) == 1)
         .withColumn("_first", F.row_number().over(by_person) == 1)
     )
@@ -159,7 +162,7 @@ def _interval_table(gaps: DataFrame, keys: list[str], name: str, label: Column)
 
 
 def interval_contexts(gaps: DataFrame, study: Study) -> DataFrame:
-    """Table 4: interval context by interval bin."""
+    """Table 4: interval context by interval bin, from counted gaps as the next two."""
     with_context = gaps.withColumn("interval_context", context_of(study))
     return _interval_table(with_context, ["interval_context"], "interval_context", F.col("interval_context"))
 

@@ -9,7 +9,7 @@ from jabcheck.operators import extract, flags, intervals, summaries
 from jabcheck.operators.clean import require_mapped
 from jabcheck.operators.perturb import perturb, with_row_key
 from jabcheck.operators.registration import add_active
-from jabcheck.operators.staging import checkpointed, staged_by_patient
+from jabcheck.operators.staging import Staging, staging
 from jabcheck.sources import schemas
 from jabcheck.sources.readers import read_table
 from jabcheck.sources.writers import write_csv, write_extract
@@ -29,10 +29,13 @@ def extract_covid(spark: SparkSession, records: str, out: str) -> None:
     write_extract(extract.covid_registrations(periods, members), f"{out}/registrations")
 
 
-def report_tables(flagged: DataFrame, study: Study) -> dict[str, DataFrame]:
-    """The six tables by file name, from flagged patient-days that carry ``active``."""
+def report_tables(flagged: DataFrame, study: Study, stage: Staging) -> dict[str, DataFrame]:
+    """The six tables by file name, from flagged patient-days that carry ``active``.
+
+    Gaps between doses are found in one pass and stored, folded, for three of the tables.
+    """
     single = intervals.after_first_campaign(flagged.where(F.col("total_records_day") == 1), study)
-    gaps = intervals.dose_gaps(single)
+    gaps = stage.by_patient(intervals.fold_gaps(intervals.dose_gaps(single)))
     return {
         "count_overall_noninterval_flags": summaries.overall_flags(flagged),
         "count_campaign_noninterval_flags": summaries.campaign_flags(flagged, study),
@@ -49,22 +52,31 @@ def flagged_with_active(events: DataFrame, registrations: DataFrame, study: Stud
 
 
 def report_covid(
-    spark: SparkSession, extracts: str, out: str, study: Study, *, inject_faults: bool = False
+    spark: SparkSession,
+    extracts: str,
+    out: str,
+    study: Study,
+    *,
+    staging_folder: str | None = None,
+    buckets: int | None = None,
+    inject_faults: bool = False,
+    seed: int = 0,
 ) -> None:
     """Write every summary table, each as counted and disclosure-rounded.
 
     Events are folded to flagged patient-days once and stored by patient; the six tables
-    then read that without a shuffle by patient.
+    then read that without a shuffle by patient. Intermediate tables live in a fresh folder
+    below ``staging_folder`` that is deleted at the end.
     """
     events = read_table(spark, f"{extracts}/vaccinations", schemas.COVID_EVENTS)
     registrations = read_table(spark, f"{extracts}/registrations", schemas.COVID_REGISTRATIONS)
-    if inject_faults:
-        # the keys must not change between the passes over the table
-        events = perturb(checkpointed(with_row_key(events)), study)
-    with staged_by_patient(flagged_with_active(events, registrations, study)) as flagged:
+    with staging(spark, staging_folder, buckets) as stage:
+        if inject_faults:
+            events = perturb(stage.store(with_row_key(events)), study, stage, seed)
+        flagged = stage.by_patient(flagged_with_active(events, registrations, study))
         if not flagged.where(F.col("product_rank") == study.unmapped_rank).isEmpty():
-            require_mapped(events, study)
-        for name, table in report_tables(flagged, study).items():
+            require_mapped(events, study, f"{out}/unmapped_products.csv")
+        for name, table in report_tables(flagged, study, stage).items():
             table.cache()
             write_csv(table, f"{out}/{name}_unrounded.csv")
             write_csv(summaries.rounded(table, study.threshold), f"{out}/{name}.csv")

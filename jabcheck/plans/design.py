@@ -70,5 +70,5 @@ def study_dates(spark: SparkSession, study: Study) -> DataFrame:
 
 def publish_design(spark: SparkSession, study: Study, out: str, name: str) -> None:
     """Write the dates and the calendar as JSON under ``out``."""
-    write_json(study_dates(spark, study), f"{out}/study_dates_{name}.json")
+    write_json(study_dates(spark, study), f"{out}/study_dates_{name}.json", single=True)
     write_json(calendar(spark, study).orderBy("campaign_start_date"), f"{out}/campaign_info_{name}.json")

@@ -19,14 +19,15 @@ def extract_flu(
     *,
     snomed_codelist: str | None = None,
     drug_codelist: str | None = None,
+    code_column: str = "code",
 ) -> None:
     """Write one event table per source: vaccinations, coded events and medications.
 
     Without a codelist file the published codes are used.
     """
     patients = read_table(spark, f"{records}/patients", schemas.PATIENTS)
-    snomed = read_codelist(spark, snomed_codelist) if snomed_codelist else codes_frame(spark, FLU_SNOMED_CODES)
-    drugs = read_codelist(spark, drug_codelist) if drug_codelist else codes_frame(spark, FLU_DMD_CODES)
+    snomed = read_codelist(spark, snomed_codelist, code_column) if snomed_codelist else codes_frame(spark, FLU_SNOMED_CODES)
+    drugs = read_codelist(spark, drug_codelist, code_column) if drug_codelist else codes_frame(spark, FLU_DMD_CODES)
     sources = {
         "flu_vaccinations_table": extract.with_disease(
             read_table(spark, f"{records}/vaccinations", schemas.VACCINATIONS), FLU_DISEASE

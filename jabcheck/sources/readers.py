@@ -7,6 +7,7 @@ from dataclasses import replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jabcheck.sources import schemas
 from jabcheck.study import Study
@@ -14,14 +15,40 @@ from jabcheck.study import Study
 NA = "NA"
 
 
+class SchemaError(ValueError):
+    """An input file does not have the columns, types or values that a job needs."""
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """A Parquet table with the columns of ``schema``; a missing one or another type raises.
+
+    Columns are found by name, and others are not read.
+    """
+    wanted = StructType.fromDDL(schema)
+    found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema}
+    wrong = [
+        f"{f.name} {f.dataType.simpleString()} (is {found.get(f.name, 'missing')})"
+        for f in wanted
+        if found.get(f.name) != f.dataType.simpleString()
+    ]
+    if wrong:
+        raise SchemaError(f"{path} lacks columns: {', '.join(wrong)}")
+    return spark.read.schema(wanted).parquet(path)
+
+
+def _read_named(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
+    """Columns of a CSV by name, as text; a missing one or a malformed row raises."""
+    rows = spark.read.csv(path, header=True, escape='"', mode="FAILFAST", enforceSchema=False, **options)
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise SchemaError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(*[f"`{c}`" for c in columns])
 
 
 def read_codelist(spark: SparkSession, path: str, column: str = "code") -> DataFrame:
-    """Distinct codes of a codelist CSV. Codes stay text: they have up to 18 digits."""
-    listed = spark.read.csv(path, header=True, schema=schemas.CODELIST, escape='"', enforceSchema=False)
-    return listed.select(F.col(column).alias("code")).where(F.col("code").isNotNull()).distinct()
+    """Distinct codes of any column of a CSV. Codes stay text: they have up to 18 digits."""
+    listed = _read_named(spark, path, [column])
+    return listed.select(F.col(f"`{column}`").alias("code")).where(F.col("code").isNotNull()).distinct()
 
 
 def codes_frame(spark: SparkSession, codes) -> DataFrame:
@@ -31,12 +58,18 @@ def codes_frame(spark: SparkSession, codes) -> DataFrame:
 
 def read_study_dates(spark: SparkSession, path: str, study: Study) -> Study:
     """``study`` with the three dates found in a JSON file (one object, any layout)."""
-    row = spark.read.json(path, schema=schemas.STUDY_DATES, multiLine=True).first()
-    if row is None:
-        raise ValueError(f"no study dates in {path}")
+    row = spark.read.json(path, schema=schemas.STUDY_DATES, multiLine=True, mode="FAILFAST").first()
+    missing = [name for name, value in row.asDict().items() if value is None] if row else ["any date"]
+    if missing:
+        raise SchemaError(f"{path} has no {', '.join(missing)}")
     return replace(study, first_possible=row.firstpossiblevax_date, start=row.start_date, end=row.end_date)
 
 
 def read_source_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Released counts per campaign and source combination (CSV, ``NA`` for missing)."""
-    return spark.read.csv(path, header=True, schema=schemas.SOURCE_COUNTS, nullValue=NA, escape='"')
+    """Released counts per campaign and source combination (CSV, ``NA`` for missing).
+
+    Columns are found by name; a cell that is not of its column's type raises when read.
+    """
+    wanted = StructType.fromDDL(schemas.SOURCE_COUNTS)
+    rows = _read_named(spark, path, wanted.names, nullValue=NA)
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])

@@ -18,5 +18,4 @@ FLU_CODED = "patient_id BIGINT, vax_date DATE, age INT"
 
 # released counts and codelists
 SOURCE_COUNTS = "campaign STRING, `table` BOOLEAN, drug BOOLEAN, snomed BOOLEAN, n BIGINT"
-CODELIST = "code STRING, term STRING"
 STUDY_DATES = "firstpossiblevax_date DATE, start_date DATE, end_date DATE"

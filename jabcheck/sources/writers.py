@@ -30,6 +30,13 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue=NA, escape='"')
 
 
-def write_json(table: DataFrame, path: str) -> None:
-    """Write a dimension table as one file of JSON lines; missing fields are left out."""
-    table.coalesce(1).write.mode("overwrite").json(path)
+def write_json(table: DataFrame, path: str, *, single: bool = False) -> None:
+    """Write a dimension table as one JSON document; missing fields are left out.
+
+    The document is an array with an object for each row in the order they come in, or with
+    ``single`` the object of the only row. Only for constants of a study: one task holds it.
+    """
+    row = F.struct(*[f"`{c}`" for c in table.columns])
+    document = F.first(row) if single else F.collect_list(row)
+    lines = table.coalesce(1).agg(F.to_json(document, {"pretty": "true"}).alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -9,6 +9,7 @@ from conftest import rows_of
 
 from jabcheck.functions.labels import INTERVAL_BINS
 from jabcheck.operators import crosssource
+from jabcheck.operators.staging import session_staging
 from jabcheck.plans.covid import flagged_with_active, report_tables
 from jabcheck.sources import schemas
 from jabcheck.study import UNMAPPED, covid_study, flu_study
@@ -108,7 +109,7 @@ def test_covid_tables(spark, records):
         spark.createDataFrame(periods, schemas.COVID_REGISTRATIONS),
         STUDY,
     ).cache()
-    tables = {name: rows_of(table) for name, table in report_tables(flagged, STUDY).items()}
+    tables = {name: rows_of(table) for name, table in report_tables(flagged, STUDY, session_staging(spark)).items()}
     totals = (len(flags), len({f[0] for f in flags}))
 
     overall = counted(flags, lambda f: f[3])

@@ -4,6 +4,7 @@ from fixtures import RAW, covid_events, covid_registrations
 from pyspark.sql import functions as F
 
 from jabcheck.operators import clean, extract, flags, intervals, registration, summaries
+from jabcheck.operators.staging import session_staging
 from jabcheck.plans.covid import flagged_with_active, report_tables
 from jabcheck.study import covid_study
 
@@ -111,7 +112,7 @@ def test_intervals_are_the_same_from_flagged_days(events, flagged):
 
 
 def test_interval_tables_share_totals(flagged):
-    tables = report_tables(flagged, STUDY)
+    tables = report_tables(flagged, STUDY, session_staging(flagged.sparkSession))
     for name in ("context", "campaign_transition", "product_transition"):
         table = tables[f"count_interval_{name}"]
         rows = table.collect()
@@ -168,19 +169,17 @@ def test_active_equals_join_with_every_period(spark, small_dir):
     assert sorted_rows(semi) == sorted_rows(registration.active_events(events, periods))
 
 
-def test_unmapped_products_stop_the_job(spark, events):
-    clean.require_mapped(events, STUDY)
-    bad = events.unionByName(
-        spark.createDataFrame(
-            [(9, day("2021-05-01"), "TEST_PRODUCT", 1, None), (9, day("2021-05-01"), None, 1, None)], events.schema
-        )
-    )
-    with pytest.raises(clean.UnmappedProductsError, match="TEST_PRODUCT"):
-        clean.require_mapped(bad, STUDY)
-    assert sorted(r.vax_product_raw or "" for r in clean.unmapped_products(bad, STUDY).collect()) == [
-        "",
-        "TEST_PRODUCT",
-    ]
+def test_every_unmapped_product_is_listed(spark, events, tmp_path):
+    path = f"{tmp_path}/unmapped.csv"
+    clean.require_mapped(events, STUDY, path)
+    assert not (tmp_path / "unmapped.csv").exists()
+    names = [f"TEST_{i:02d}" for i in range(79)] + [None]
+    rows = [(9, day("2021-05-01"), name, 1, None) for name in names for _ in range(2)]
+    bad = events.unionByName(spark.createDataFrame(rows, events.schema))
+    with pytest.raises(clean.UnmappedProductsError, match="80 .*unmapped.csv"):
+        clean.require_mapped(bad, STUDY, path)
+    listed = spark.read.csv(path, header=True, nullValue="NA", schema="name STRING, n BIGINT").collect()
+    assert [(r.name, r.n) for r in listed] == [(name, 2) for name in names]
 
 
 def test_double_space_is_part_of_a_name(spark):

@@ -3,7 +3,11 @@
 import csv
 import glob
 import json
+import os
+import subprocess
+import sys
 from dataclasses import replace
+from datetime import timedelta
 
 import pytest
 from conftest import day, rows_of
@@ -15,7 +19,7 @@ from jabcheck.plans.covid import extract_covid, report_covid
 from jabcheck.plans.design import publish_design
 from jabcheck.plans.flu import extract_flu, report_flu, upset_data
 from jabcheck.sources import schemas
-from jabcheck.sources.readers import read_codelist, read_study_dates
+from jabcheck.sources.readers import SchemaError, read_codelist, read_source_counts, read_study_dates, read_table
 from jabcheck.sources.writers import write_csv
 from jabcheck.study import FLU_DMD_CODES, FLU_SNOMED_CODES, covid_study, flu_study
 
@@ -27,9 +31,10 @@ def csv_rows(path):
 
 
 def json_rows(path):
-    (part,) = glob.glob(f"{path}/part-*.json")
+    (part,) = glob.glob(f"{path}/part-*")
     with open(part) as handle:
-        return [json.loads(line) for line in handle]
+        found = json.load(handle)
+    return found if isinstance(found, list) else [found]
 
 
 @pytest.fixture(scope="module")
@@ -128,8 +133,9 @@ def test_report_covid(spark, covid_files, tmp_path):
 
 def test_report_covid_with_injected_faults(spark, tmp_path):
     study = covid_study()
-    raw = [name for _, name in study.products]
-    rows = [(i % 60, day("2021-01-01"), raw[i % 44], 50, None) for i in range(400)]
+    approved = [name for label, name in study.products if label in study.approvals]
+    days = [day("2021-01-01") + timedelta(days=7 * (i // 60) + i % 60) for i in range(400)]
+    rows = [(i % 60, d, approved[i % len(approved)], 50, None) for i, d in enumerate(days)]
     spark.createDataFrame(rows, schemas.COVID_EVENTS).write.parquet(f"{tmp_path}/in/vaccinations")
     covid_registrations(spark).write.parquet(f"{tmp_path}/in/registrations")
     report_covid(spark, f"{tmp_path}/in", f"{tmp_path}/out", study, inject_faults=True)
@@ -142,8 +148,10 @@ def test_report_covid_with_injected_faults(spark, tmp_path):
 def test_unmapped_products_leave_no_staging(spark, covid_files, tmp_path):
     study = covid_study()
     fewer = replace(study, products=study.products[1:], approvals={})
-    with pytest.raises(UnmappedProductsError, match="Comirnaty 30micrograms"):
-        report_covid(spark, covid_files, str(tmp_path), fewer)
+    with pytest.raises(UnmappedProductsError, match="1 .*unmapped_products.csv"):
+        report_covid(spark, covid_files, str(tmp_path / "out"), fewer, staging_folder=str(tmp_path / "staging"))
+    assert csv_rows(tmp_path / "out/unmapped_products.csv")[1][0].find("Comirnaty 30micrograms") > 0
+    assert not list((tmp_path / "staging").iterdir())
     assert not [d.name for d in spark.catalog.listDatabases() if d.name.startswith("staging_")]
 
 
@@ -189,10 +197,72 @@ def test_csv_text(spark, tmp_path):
 
 
 def test_command_line(spark, covid_files, tmp_path, monkeypatch):
-    cli.main(["report-covid", "--extracts", covid_files, "--out", str(tmp_path), "--threshold", "4"])
+    staging = str(tmp_path / "staging")
+    cli.main(["report-covid", "--extracts", covid_files, "--out", str(tmp_path), "--staging", staging, "--threshold", "4"])
     assert len(list(tmp_path.glob("*.csv"))) == 12
     assert csv_rows(tmp_path / "count_overall_noninterval_flags.csv")[5][1:] == ["6", "2", "18", "6"]
     cli.main(["design-covid", "--out", f"{tmp_path}/design"])
     assert json_rows(tmp_path / "design/campaign_info_covid.json")[1]["final_milestone_days"] == 229
     with pytest.raises(SystemExit):
         cli.main(["report-covid"])
+
+
+def test_report_covid_starts_in_a_session_without_settings(covid_files, tmp_path):
+    (tmp_path / "conf").mkdir()
+    command = [sys.executable, "-m", "jabcheck", "report-covid", "--extracts", covid_files, "--inject-faults", "--seed", "5"]
+    paths = ["--out", f"{tmp_path}/out", "--staging", f"{tmp_path}/staging", "--buckets", "4"]
+    env = os.environ | {"SPARK_CONF_DIR": f"{tmp_path}/conf", "PYSPARK_SUBMIT_ARGS": "--conf spark.ui.enabled=false pyspark-shell"}
+    done = subprocess.run(
+        command + paths, env=env, cwd=os.path.dirname(os.path.dirname(cli.__file__)), capture_output=True, text=True, timeout=600
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 12
+    assert not list((tmp_path / "staging").iterdir())
+
+
+def test_missing_columns_and_other_types_raise(spark, tmp_path):
+    spark.createDataFrame([(1, "2020-01-01", "x")], "patient_id BIGINT, vax_date STRING, vaxproduct STRING").write.parquet(
+        f"{tmp_path}/events"
+    )
+    with pytest.raises(SchemaError, match=r"vax_date date \(is string\), vax_product string \(is missing\)"):
+        read_table(spark, f"{tmp_path}/events", "patient_id BIGINT, vax_date DATE, vax_product STRING")
+
+
+def test_study_dates_must_be_whole(spark, tmp_path):
+    file = tmp_path / "dates.json"
+    for text in ('{"firstpossiblevax_date": "2020-01-01", "start_date": "2020-02-01"}', "{}"):
+        file.write_text(text)
+        with pytest.raises(SchemaError, match="end_date"):
+            read_study_dates(spark, str(file), flu_study())
+    file.write_text('{"firstpossiblevax_date": "2020-01-01", "start_date": "soon", "end_date": "2021-01-01"}')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        read_study_dates(spark, str(file), flu_study())
+
+
+def test_any_codelist_column(spark, tmp_path):
+    file = tmp_path / "codes.csv"
+    file.write_text('id,snomed,term\n1,123456789012345678,"a, b"\n2,7,c\n3,,d\n')
+    assert sorted(r.code for r in read_codelist(spark, str(file), "snomed").collect()) == ["123456789012345678", "7"]
+    with pytest.raises(SchemaError, match="no column code"):
+        read_codelist(spark, str(file))
+
+
+def test_released_counts_are_read_by_name(spark, tmp_path):
+    file = tmp_path / "counts.csv"
+    file.write_text("campaign,snomed,drug,table,n\nA,TRUE,FALSE,FALSE,15\n")
+    assert read_source_counts(spark, str(file)).first().asDict() == {
+        "campaign": "A", "table": False, "drug": False, "snomed": True, "n": 15,
+    }
+    file.write_text("campaign,snomed,drug,table,n\nA,TRUE,FALSE,FALSE,many\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_source_counts(spark, str(file)).collect()
+
+
+def test_a_second_row_of_a_patient_adds_no_event(spark):
+    from jabcheck.operators import extract
+
+    vaccinations = spark.createDataFrame([(1, day("2021-05-05"), "x")], "patient_id BIGINT, date DATE, product_name STRING")
+    patients = spark.createDataFrame([(1, day("1990-01-01")), (1, day("1980-01-01"))], schemas.PATIENTS)
+    deaths = spark.createDataFrame([(1, day("2022-01-01")), (1, day("2021-12-01"))], schemas.DEATHS)
+    (row,) = extract.covid_events(vaccinations, patients, deaths).collect()
+    assert (row.age, row.death_date) == (41, day("2021-12-01"))

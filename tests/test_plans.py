@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from jabcheck.checks.queries import QUERIES
-from jabcheck.operators.staging import staged_by_patient
+from jabcheck.operators.staging import Staging, staging
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,43 @@ def test_no_nested_loops_and_no_python(plan_of, name):
 def test_one_shuffle_by_patient(plan_of, name, shuffles_by_patient):
     by_patient = re.findall(r"Exchange hashpartitioning\(patient_id#\d+L?, \d+\)", plan_of(name))
     assert len(by_patient) == shuffles_by_patient
+    # besides, event rows are folded by the whole key; the other exchanges join the tables or carry sums
+    folds = re.findall(r"Exchange hashpartitioning\(patient_id#\d+L?, vax_date#\d+[^)]*\)", plan_of(name))
+    assert len(folds) == 1
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_records_are_unrolled_in_one_branch(spark, adaptive):
+    from jabcheck.operators.counts import fold_rows, unroll_rows
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(10).withColumn("k", F.when(F.col("id") < 5, 1).otherwise(2))
+        huge = fold_rows(rows, "k").withColumn("n_records", F.when(F.col("k") == 1, 200_001).otherwise(1))
+        execution = unroll_rows(huge)._jdf.queryExecution()
+        assert execution.toRdd().count() == 200_002
+        assert execution.executedPlan().toString().count("Scan") <= execution.optimizedPlan().toString().count("Range") + 1
+        assert "Union" not in execution.executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_source_summary_needs_no_unroll(plan_of):
+    assert "explode" not in plan_of("flu_source_summary")
+
+
+def test_staging_leaves_nothing(spark, tmp_path):
+    with staging(spark, str(tmp_path)) as stage:
+        stage.by_patient(stage.store(spark.range(9).withColumnRenamed("id", "patient_id")))
+        assert list(tmp_path.rglob("*.parquet"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError, match="shared folder"):
+        Staging(spark)
 
 
 @pytest.mark.parametrize("name", ["table1_overall_flags", "table2_campaign_flags", "table4_interval_context"])
@@ -61,10 +99,10 @@ def test_filters_reach_the_scan(plan_of):
 
 def test_staged_table_is_read_without_a_shuffle(spark):
     from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
 
     rows = spark.range(1000).select((F.col("id") % 50).alias("patient_id"), F.current_date().alias("vax_date"), "id")
-    with staged_by_patient(rows.repartition("patient_id")) as staged:
+    with staging(spark) as stage:
+        staged = stage.by_patient(rows.repartition("patient_id"))
         name = re.search(r"staging_\w+", staged._jdf.queryExecution().analyzed().toString()).group()
         window = W.partitionBy("patient_id").orderBy("vax_date")
         counted = staged.withColumn("n", F.row_number().over(window)).groupBy("patient_id").agg(F.max("n").alias("n"))
@@ -74,8 +112,6 @@ def test_staged_table_is_read_without_a_shuffle(spark):
 
 
 def test_a_frequent_code_is_split(spark):
-    from pyspark.sql import functions as F
-
     from jabcheck.operators.extract import with_code
 
     settings = {

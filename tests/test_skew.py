@@ -10,6 +10,7 @@ from jabcheck.checks import standin
 from jabcheck.operators import crosssource, flags, intervals, perturb, registration, summaries
 from jabcheck.operators.counts import CHUNK, unroll_rows
 from jabcheck.operators.skew import join_facts
+from jabcheck.operators.staging import session_staging
 from jabcheck.study import flu_study
 
 STUDY = standin.covid_study()
@@ -86,28 +87,56 @@ def test_unroll_rows(spark):
     assert unroll_rows(counts, "n").columns == ["k"]
 
 
-def test_join_facts_equals_plain_join(spark):
+def test_join_facts_equals_plain_join_and_keeps_null_keys(spark):
     rows = spark.range(20_000).select(
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 > 0, F.col("id")).alias("k"), F.col("id").alias("v")
     )
-    facts = rows.groupBy("k").agg(F.count("*").alias("w"), F.max("v").alias("top"))
-    got = join_facts(rows, facts, ["k"], "w")
-    assert sorted_rows(got.select("k", "v", "top")) == sorted_rows(
-        rows.join(facts, "k").select("k", "v", "top")
-    )
-
-
-def test_hot_rows_are_not_shuffled(spark):
-    rows = spark.range(9_000).select(F.when(F.col("id") < 3_000, 7).otherwise(F.col("id")).alias("k"), "id")
-    facts = rows.groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("top"))
-    plan = join_facts(rows, facts, ["k"], "w")._jdf.queryExecution().executedPlan().toString()
-    in_place, shuffled = plan.split("LeftAnti")[0], plan.split("LeftAnti")[1:]
-    assert "BroadcastHashJoin" in in_place and shuffled
+    facts = rows.groupBy("k").agg(F.max("v").alias("top"))
+    got = join_facts(rows, facts, ["k"], session_staging(spark))
+    renamed = facts.withColumnRenamed("k", "k2")
+    expected = rows.join(renamed, rows["k"].eqNullSafe(renamed["k2"])).select("k", "v", "top")
+    assert sorted_rows(got.select("k", "v", "top")) == sorted_rows(expected)
+    assert got.count() == 20_000 and got.where("k IS NULL AND top IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0009, 0.33])
+def test_any_key_is_split(spark, share):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "400",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        n = 1_000_000
+        key = F.when(F.col("id") < int(n * share), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(300_000)))
+        rows = spark.range(0, n, 1, 8).select(key.alias("k"), F.col("id").alias("v"))
+        joined = join_facts(rows, rows.groupBy("k").agg(F.max("v").alias("top")), ["k"], session_staging(spark))
+        execution = joined._jdf.queryExecution()
+        assert execution.toRdd().count() == n
+        assert "skew=true" in execution.executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_ages_of_a_busy_patient(skewed):
     rows = skewed.withColumn("row_key", F.monotonically_increasing_id()).withColumn("age", F.lit(40))
-    aged = perturb.recompute_age(rows, ["row_key"])
+    aged = perturb.recompute_age(rows, ["row_key"], session_staging(skewed.sparkSession))
     assert aged.count() == 3 * COPIES
     span = aged.where("patient_id = 2").agg(F.min("age"), F.max("age")).first()
     assert span[0] == 40 and span[1] == 46
+
+
+def test_rows_without_a_patient_keep_an_age(spark):
+    rows = spark.createDataFrame(
+        [(1, None, date(2000, 1, 1), 30), (2, None, date(2002, 1, 1), 5), (3, 8, date(2001, 1, 1), 40)],
+        "row_key BIGINT, patient_id BIGINT, vax_date DATE, age INT",
+    )
+    aged = perturb.recompute_age(rows, ["row_key"], session_staging(spark))
+    assert {r.row_key: r.age for r in aged.collect()} == {1: 30, 2: 32, 3: 40}
