@@ -30,6 +30,8 @@ HEADLINE = (
     "active_flag_any",
     "flu_source_summary",
     "inject_faults",
+    "inject_intervals",
+    "age_shift",
 )
 
 

@@ -16,14 +16,13 @@ _SESSIONS: dict[str, Staging] = {}
 class Staging:
     """A fresh folder for the intermediate tables of one job; ``remove`` deletes it.
 
-    ``folder`` defaults to the one that ``spark.checkpoint.dir`` names. It must be shared:
-    a folder of one machine would lose tables with an executor.
+    ``folder`` defaults to the one that ``spark.checkpoint.dir`` names, or else to the
+    warehouse, where Spark keeps tables. It must be shared: a folder of one machine would
+    lose tables with an executor.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> None:
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("name a shared folder for intermediate tables: --staging, or spark.checkpoint.dir")
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark = spark
         self.path = f"{folder.rstrip('/')}/jabcheck-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,10 +39,15 @@ class Staging:
 
     def by_patient(self, frame: DataFrame) -> DataFrame:
         """``frame`` as a table bucketed by patient, read without a shuffle by patient."""
+        return self.bucketed(frame, "patient_id", sort=["patient_id"])
+
+    def bucketed(self, frame: DataFrame, *columns: str, sort: list[str] | None = None, **options: str) -> DataFrame:
+        """``frame`` as a table dealt by ``columns``, so grouping or joining by them moves nothing."""
         database = f"staging_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE DATABASE {database} LOCATION '{self.path}/{database}'")
         self._databases.append(database)
-        frame.write.bucketBy(self.buckets, "patient_id").sortBy("patient_id").saveAsTable(f"{database}.rows")
+        writer = frame.write.format("parquet").options(**options).bucketBy(self.buckets, *columns)
+        (writer.sortBy(*sort) if sort else writer).saveAsTable(f"{database}.rows")
         return self.spark.table(f"{database}.rows")
 
     def remove(self) -> None:

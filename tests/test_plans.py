@@ -75,10 +75,12 @@ def test_staging_leaves_nothing(spark, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
-def test_staging_needs_a_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
-    with pytest.raises(ValueError, match="shared folder"):
-        Staging(spark)
+def test_staging_falls_back_to_the_warehouse(spark, monkeypatch):
+    get = type(spark.conf).get
+    unset = lambda self, key, *default: None if key == "spark.checkpoint.dir" else get(self, key, *default)
+    monkeypatch.setattr(type(spark.conf), "get", unset)
+    assert Staging(spark).path.startswith(spark.conf.get("spark.sql.warehouse.dir"))
+
 
 
 @pytest.mark.parametrize("name", ["table1_overall_flags", "table2_campaign_flags", "table4_interval_context"])
