@@ -25,7 +25,7 @@ class Staging:
         folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark = spark
         self.path = f"{folder.rstrip('/')}/jabcheck-{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         self._databases: list[str] = []
 
     def new_path(self) -> str:
@@ -43,10 +43,11 @@ class Staging:
 
     def bucketed(self, frame: DataFrame, *columns: str, sort: list[str] | None = None, **options: str) -> DataFrame:
         """``frame`` as a table dealt by ``columns``, so grouping or joining by them moves nothing."""
+        buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         database = f"staging_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE DATABASE {database} LOCATION '{self.path}/{database}'")
         self._databases.append(database)
-        writer = frame.write.format("parquet").options(**options).bucketBy(self.buckets, *columns)
+        writer = frame.write.format("parquet").options(**options).bucketBy(buckets, *columns)
         (writer.sortBy(*sort) if sort else writer).saveAsTable(f"{database}.rows")
         return self.spark.table(f"{database}.rows")
 
