@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_SESSIONS: dict[str, Staging] = {}
+_SESSIONS: dict[tuple[str, str], Staging] = {}
 
 
 class Staging:
@@ -72,12 +72,12 @@ def staging(spark: SparkSession, folder: str | None = None, buckets: int | None
         stage.remove()
 
 
-def session_staging(spark: SparkSession) -> Staging:
-    """One :class:`Staging` for all results of an application that are still to be read.
+def session_staging(spark: SparkSession, name: str = "") -> Staging:
+    """One :class:`Staging` of that name for all results of an application still to be read.
 
     Its files are deleted when Python ends.
     """
-    key = spark.sparkContext.applicationId
+    key = spark.sparkContext.applicationId, name
     if key not in _SESSIONS:
         _SESSIONS[key] = Staging(spark)
         atexit.register(_SESSIONS[key]._delete_files)
