@@ -20,7 +20,7 @@ from jabcheck.llm.common import text_blocks
 REMEMBERED = 200_000
 
 #: The white space of Unicode, in which the vocabulary's patterns see one blank.
-WHITE = r"[\t-\r \u0085   -     　]"
+WHITE = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def byte_letters() -> list[str]:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jabcheck.operators.staging import session_staging
+
 #: The white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 
@@ -36,30 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return session_staging(spark, "llm").new_path()
 
 
 def staged(frame: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back.
 
     This cuts the lineage: what follows survives the loss of any executor, and nothing above
-    runs twice. The files stay until ``release``.
+    runs twice. The files stay until ``release`` or until Python ends.
     """
-    path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return session_staging(frame.sparkSession, "llm").store(frame)
+
+
+def bucketed(frame: DataFrame, *columns: str, **options: str) -> DataFrame:
+    """As ``staged``, dealt by ``columns``: grouping and joining by them moves nothing."""
+    return session_staging(frame.sparkSession, "llm").bucketed(frame, *columns, **options)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application staged, once its results are no longer read."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/llm-{context.applicationId}")
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    session_staging(spark, "llm").remove()
 
 
 def learned_from(folds: int) -> Column:

@@ -29,8 +29,9 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
 
     Rows are first grouped by the length of the text and its prefix hash. Only rows whose
     length and prefix occur again get a full hash (in a second read of the text) and are
-    grouped by it; the rest are alone. Groups are folded before any join, and the joins have
-    no order, so adaptive execution can split a group that holds a third of all rows.
+    grouped by it; the rest are alone. Groups are folded and stored before any join, so each
+    join is one of two plain shuffles, of which adaptive execution splits a group that holds a
+    third of all rows.
     """
     text = docs["text"]
     rows = docs.select(
@@ -41,7 +42,7 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
     ).withColumns({"size": F.length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX))})
     keys = staged(rows.groupBy("size", "prefix").count())
     lengths = keys.groupBy("size").agg(F.sum("count").alias("n")).filter("n > 1")
-    again = keys.filter("count > 1").join(lengths, "size", "left_semi").select("size", "prefix", F.lit(True).alias("again"))
+    again = staged(keys.filter("count > 1").join(lengths, "size", "left_semi").select("size", "prefix", F.lit(True).alias("again")))
     read = staged(
         rows.join(again, ["size", "prefix"], "left").select(
             "doc_id",
@@ -51,7 +52,7 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
         )
     )
     best = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = (
+    groups = staged(
         read.filter("full is not null")
         .groupBy("full")
         .agg(F.min(best).alias("best"), F.count("*").alias("group_size"))

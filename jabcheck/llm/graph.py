@@ -12,8 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``), the root being its smallest node.
 
     Each round points the larger neighbours of a node to its smallest one, then the smaller
-    ones; the number of rounds grows with the logarithm of the longest path. Each round is
-    written to the shared folder, and two numbers tell the driver when nothing changes.
+    ones; the number of rounds grows with the logarithm of the longest path. Each step is
+    written to the shared folder, so the joins are plain ones in which adaptive execution
+    splits a node with very many neighbours, and two numbers tell the driver when nothing
+    changes.
     Self-links and repeated links do no harm; NULL nodes must not occur.
     """
     links = staged(
@@ -22,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = staged(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         links = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

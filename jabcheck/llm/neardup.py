@@ -267,11 +267,14 @@ def _classified(
     )
     leaves = shapes.select("shape", F.posexplode("prefixes").alias("tree", "prefix"))
     stars = leaves.groupBy("tree", "prefix").agg(F.min("shape").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = staged(stars)  # sums are stored before a join, which then splits what is hot
     candidates = leaves.join(stars, ["tree", "prefix"]).select(F.col("shape").alias("a"), "b").filter("a <> b").distinct()
     groups = components(candidates).join(shapes.select(F.col("shape").alias("node"), "rep", "size"), "node")
+    groups = staged(groups)
     parts = groups.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
+    parts = staged(parts)
     placed = groups.join(parts, "root").select(
         "root", F.col("node").alias("shape"), "rep", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
     )
@@ -284,7 +287,7 @@ def _classified(
         .join(reached.withColumnRenamed("node", "shape"), "shape", "left")
         .select("shape", "rep", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "shape").alias("root"))
     )
-    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best"))
+    sizes = staged(classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best")))
     classes = classes.join(sizes, "root").select("shape", "copies", "links", "best", "class_size")
     single = signed.filter("id is null or size = 0").select(
         "row",

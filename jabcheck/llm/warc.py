@@ -122,7 +122,7 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         pages["url"].alias("url"),
         F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    again = (
+    again = staged(  # so the join is one of two plain shuffles, and a hot payload is split
         rows.filter(F.octet_length("payload") >= least)
         .groupBy("digest")
         .agg(F.max("page_id").alias("stored"), F.count("*").alias("n"))

@@ -303,8 +303,8 @@ def test_release_deletes_what_was_staged(spark, docs, tmp_path):
 
     from jabcheck.llm.common import staged
 
-    kept = staged(docs)
-    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
-    assert kept.count() and list(folder.glob("llm-*"))
+    (file, *_) = staged(docs).inputFiles()
+    path = Path(file.removeprefix("file://"))
+    assert path.exists() and path.is_relative_to(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
     release(spark)
-    assert not list(folder.glob("llm-*"))
+    assert not path.exists()
