@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jabcheck.llm.common import staged, text_blocks
+from jabcheck.llm.common import bucketed, staged, text_blocks
 
 #: Bytes of a repeated string.
 LENGTH = 100
 #: Bytes of the initial buckets.
 GRAM = 24
 #: Contexts a task refines together, and those of one bucket from which windows are dealt out singly.
-TOGETHER = 20_000
+TOGETHER = 10_000
 CROWDED = 4_000
 
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -99,15 +98,7 @@ def _texts(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("k", F.lit(1))
     rows = rows.withColumn("h", F.struct(F.xxhash64("raw").alias("a"), F.xxhash64("raw", F.lit(1)).alias("b"), F.length("raw").alias("n")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"llm_texts_{uuid.uuid4().hex}"
-    (
-        rows.repartition(parts, "d", "k")
-        .write.bucketBy(parts, "d", "k")
-        .format("parquet")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    return bucketed(rows.repartition(parts, "d", "k"), "d", "k", compression="zstd")
 
 
 def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -160,34 +151,32 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 16, (at >> 8) & 255, at & 255
 
 
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """Ranks of the distinct values, by one sort."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.r_[np.zeros(1, np.uint64), (ordered[1:] != ordered[:-1]).astype(np.uint64)])
+    return rank
+
+
 def refined(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """A bucket identifier of the ``length`` bytes from each start: equal for equal strings only.
 
-    Eight bytes are their own bucket. Buckets of twice the depth come from sorting offsets on
-    the pair of their bucket and that of the offset where it ends, and the new identifiers
-    serve for the next doubling; at last two buckets overlap to the full length. Only offsets
-    that some start needs are sorted.
+    Buckets of eight bytes are numbered first. Buckets of twice the depth come from sorting
+    offsets on the pair of their identifier and that of the offset where it ends, and the new
+    identifiers serve for the next doubling. At last two buckets overlap to the full length,
+    at the given starts only. ``length`` is 16 at least.
     """
-    depth, steps = 8, []
-    while 2 * depth <= length:
-        steps.append(depth)
+    depth, identifier = 8, _numbered(_words(raw))
+    high = np.uint64(32)
+    while 4 * depth <= length:
+        identifier = _numbered((identifier[:-depth] << high) | identifier[depth:])
+        depth *= 2
+    if 2 * depth < length:  # one more step, so that two buckets reach over the whole length
+        identifier = _numbered((identifier[:-depth] << high) | identifier[depth:])
         depth *= 2
-    need = [starts]  # offsets needed at each depth, from the deepest down
-    if length > depth:
-        need.append(np.unique(np.r_[starts, starts + length - depth]))
-    for step in reversed(steps):
-        need.append(np.unique(np.r_[need[-1], need[-1] + step]))
-    need.reverse()
-    at, identifier = need[0], _words(raw)[need[0]]
-    for later, step in zip(need[1:], [*steps, *([length - depth] if length > depth else [])]):
-        pair = np.stack([identifier[np.searchsorted(at, later)], identifier[np.searchsorted(at, later + step)]])
-        order = np.lexsort(pair)
-        ordered = pair[:, order]
-        new = np.r_[True, (ordered[:, 1:] != ordered[:, :-1]).any(0)]
-        identifier = np.empty(len(later), np.uint64)
-        identifier[order] = np.cumsum(new).astype(np.uint64)
-        at = later
-    return identifier
+    return _numbered((identifier[starts] << high) | identifier[starts + length - depth])
 
 
 def _laid_out(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
@@ -209,15 +198,14 @@ def _repeats_together(contexts: DataFrame, length: int) -> DataFrame:
     groups = max(1, -(-contexts.count() // TOGETHER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+        table = pa.Table.from_batches(list(batches)).sort_by([("d", "ascending"), ("k", "ascending"), ("at", "ascending")])
         raw, here, row, start = _laid_out(table, length)
         d, k = table.column("d").to_numpy()[row], table.column("k").to_numpy()[row]
-        identifier = refined(raw, here, length)
-        order = np.lexsort((start, k, d, identifier))
-        again = np.zeros(len(order), bool)
-        ordered = identifier[order]
-        again[order[1:]] = ordered[1:] == ordered[:-1]
-        at = np.flatnonzero(again)
+        identifier = refined(raw, here, length).astype(np.int64)
+        place = np.arange(len(identifier))  # in the order of the texts
+        first = np.empty(int(identifier.max()) + 1, np.int64)
+        first[identifier[::-1]] = place[::-1]
+        at = np.flatnonzero(first[identifier] < place)
         if len(at):
             new = np.r_[True, (row[at][1:] != row[at][:-1]) | (at[1:] != at[:-1] + 1)]
             first = np.flatnonzero(new)
@@ -278,7 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 def _cut(docs: DataFrame, length: int, gram: int, as_text: bool) -> DataFrame:
     texts = _texts(docs)
-    firsts = texts.groupBy("h").agg(F.min(F.struct("d", "k")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    # sums are stored before a join, which then splits what is hot
+    firsts = staged(texts.groupBy("h").agg(F.min(F.struct("d", "k")).alias("f"), F.count("*").alias("n")).filter("n > 1"))
     copies = staged(
         texts.select("d", "k", "h").join(firsts.select("h", "f"), "h").filter("d <> f.d or k <> f.k").select("d", "k", F.lit(True).alias("copy"))
     )
@@ -299,7 +288,7 @@ def _cut(docs: DataFrame, length: int, gram: int, as_text: bool) -> DataFrame:
         (F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("s"),
         (F.shiftright("at", 16) - F.col("at").bitwiseAND(F.lit(255)) + length).alias("e"),
     )
-    several = folded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    several = staged(folded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     open_ = folded.join(several, "bucket")
     spans = whole.unionByName(_repeats_together(open_.filter(F.col("n") <= CROWDED), length))
     spans = spans.unionByName(_repeats_apart(open_.filter(F.col("n") > CROWDED), length))
