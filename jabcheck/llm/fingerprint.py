@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jabcheck.llm.common import staged
+from jabcheck.llm.common import bucketed, staged
 
 #: Cells of the sketches that are tried in turn; each is three tables of a third.
-SIZES = (24, 72, 216)
+SIZES = (48, 192, 768)
 #: Rounds of peeling; in round r the pure cells of table r mod 3 give up their digest.
-ROUNDS = 24
+ROUNDS = 9
 #: Documents between two cuts of the id order, and the cuts at most.
 RUN = 2000
 MOST_RUNS = 4096
 
-CELL = "struct<n:bigint,key:bigint,chk:bigint>"
-
 
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text, in order.
@@ -49,117 +50,93 @@ def _check(key: Column) -> Column:
     return F.hash(key, F.lit(7)).bitwiseAND(F.lit(0xFFFF)).cast("bigint")
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """The cells, each with the number, the XOR of digests and the XOR of checks it holds."""
-    third = cells // 3
-    placed = F.transform(
-        keys, lambda k: F.struct(k.alias("key"), _check(k).alias("chk"), *[_place(k, t, third).alias(f"p{t}") for t in range(3)])
-    )
-
-    def cell(i: Column, table: int) -> Column:
-        return F.aggregate(
-            placed,
-            _cell(F.lit(0), F.lit(0), F.lit(0)),
-            lambda c, k: F.when(k[f"p{table}"] == i, _cell(c.n + 1, c.key.bitwiseXOR(k.key), c.chk.bitwiseXOR(k.chk))).otherwise(c),
+def _entries(key: Column, sign: Column, size: int, tables: Iterable[int] = range(3)) -> list[Column]:
+    """What a digest adds to its cells: ``sign`` to the number, itself and its check by XOR."""
+    return [
+        F.struct(
+            _place(key, t, size // 3).alias("cell"), sign.cast("int").alias("n"), key.alias("key"), _check(key).alias("chk")
         )
+        for t in tables
+    ]
 
-    def table(t: int) -> Column:
-        return F.transform(F.sequence(F.lit(t * third), F.lit(t * third + third - 1)), lambda i: cell(i, t))
-
-    return F.concat(*map(table, range(3)))
-
-
-def _cell(n: Column, key: Column, chk: Column) -> Column:
-    return F.struct(n.cast("bigint").alias("n"), key.cast("bigint").alias("key"), chk.cast("bigint").alias("chk"))
-
-
-def difference(left: Column, right: Column) -> Column:
-    """Cell by cell: what both hold cancels out."""
-    return F.zip_with(left, right, lambda a, b: _cell(a.n - b.n, a.key.bitwiseXOR(b.key), a.chk.bitwiseXOR(b.chk)))
 
+def _folded(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The cells: entries that fall together are added up, and empty cells go.
 
-def peeled(cells: Column, size: int) -> Column:
-    """``cells`` and ``found`` after peeling: all cells empty means ``found`` is the whole difference.
-
-    A cell with one digest and a matching check gives it up, and it leaves its other cells,
-    which may then hold one digest themselves. A round looks at one table only, where a
-    digest has one cell, so none is taken twice.
+    The label goes along as a text. An aggregate with a text is one that Spark sorts for, so
+    a chain of rounds holds one sort at a time and not a hash map for each round.
     """
-    third = size // 3
+    cells = rows.groupBy(*by, "cell").agg(
+        F.first("label").alias("label"),
+        F.sum("n").cast("int").alias("n"),
+        F.bit_xor("key").alias("key"),
+        F.bit_xor("chk").alias("chk"),
+    )
+    return cells.filter("n <> 0 or key <> 0 or chk <> 0")
 
-    def step(state: Column, table: int) -> Column:
-        pure = F.filter(
-            F.slice(state.cells, table * third + 1, third), lambda c: (F.abs(c.n) == 1) & (c.chk == _check(c.key))
-        )
-        pure = F.transform(
-            pure, lambda c: F.struct(c.n, c.key, c.chk, F.array(*[_place(c.key, t, third) for t in range(3)]).alias("at"))
-        )
-        return F.struct(state.cells.alias("cells"), pure.alias("pure"), state.found.alias("found"))
-
-    def taken(state: Column) -> Column:
-        left = F.transform(
-            state.cells,
-            lambda c, i: F.aggregate(
-                state.pure,
-                c,
-                lambda a, p: F.when(
-                    (p["at"][0] == i) | (p["at"][1] == i) | (p["at"][2] == i),
-                    _cell(a.n - p.n, a.key.bitwiseXOR(p.key), a.chk.bitwiseXOR(p.chk)),
-                ).otherwise(a),
-            ),
-        )
-        return F.struct(left.alias("cells"), F.concat(state.found, F.transform(state.pure, lambda p: p.key)).alias("found"))
-
-    def round_(state: Column, r: Column) -> Column:
-        found = F.when(r % 3 == 0, step(state, 0)).when(r % 3 == 1, step(state, 1)).otherwise(step(state, 2))
-        # bind the pure cells once, as they are looked at for every cell
-        return F.aggregate(
-            F.array(found),
-            state,
-            lambda s, f: F.when(F.size(f.pure) == 0, s).otherwise(taken(f)),
-        )
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_)
+def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, size: int) -> DataFrame:
+    """``by``, ``label`` and ``changes`` of each pair of arrays; NULL where cells remain after peeling.
 
+    Sketches of ``size`` cells are linear, so the digests of ``right`` are entered with a
+    minus sign and what both hold cancels out. Then cells peel: one with a single digest and a
+    matching check gives it up, and the digest leaves its other cells, which may then hold one
+    digest themselves. A round looks at one table only, where a digest has one cell, so none
+    is taken twice. The marker, cell -1, counts the digests found. Rows are grouped by pair
+    throughout, so where pairs are dealt by ``by`` nothing moves.
+    """
+    entered = F.concat(
+        F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("chk"))),
+        *[
+            F.flatten(F.transform(F.col(side), lambda k: F.array(*_entries(k, F.lit(sign), size))))
+            for side, sign in ((left, 1), (right, -1))
+        ],
+    )
+    cells = _folded(pairs.select(*by, "label", F.explode(entered).alias("x")).select(*by, "label", "x.*"), by)
+    for r in range(ROUNDS):
+        table = r % 3
+        here = (F.col("cell") >= table * (size // 3)) & (F.col("cell") < (table + 1) * (size // 3))
+        pure = here & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
+        found = F.struct(F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk"))
+        leaves = _entries(F.col("key"), -F.col("n"), size, [t for t in range(3) if t != table])
+        kept = F.array(F.struct("cell", "n", "key", "chk"))
+        rows = cells.select(*by, "label", F.explode(F.when(pure, F.array(found, *leaves)).otherwise(kept)).alias("x"))
+        cells = _folded(rows.select(*by, "label", "x.*"), by)
+    return cells.groupBy(*by).agg(
+        F.first("label").alias("label"),
+        F.when(F.max("cell") < 0, F.max(F.when(F.col("cell") == -1, F.col("n")))).cast("bigint").alias("changes")
+    )
 
-def empty(cells: Column) -> Column:
-    return F.forall(cells, lambda c: (c.n == 0) & (c.key == 0) & (c.chk == 0))
 
+def as_text(keys: Column, cells: int = SIZES[0]) -> Column:
+    """The fingerprint: the number of digests, then 18 hexadecimal letters for each cell in use.
 
-def as_text(keys: Column, cells: Column) -> Column:
-    """The fingerprint: the number of digests, then 18 hexadecimal letters a cell."""
-    part = F.transform(
-        cells,
-        lambda c: F.concat(
-            F.lpad(F.hex(c.n), 2, "0"), F.lpad(F.hex(c.key), 12, "0"), F.lpad(F.hex(c.chk), 4, "0")
-        ),
+    A cell is its number, the count, the XOR of digests and the XOR of checks.
+    """
+    entries = F.flatten(F.transform(keys, lambda k: F.array(*_entries(k, F.lit(1), cells))))
+    order = F.array_sort(entries)
+    start = F.struct(
+        F.lit("").alias("text"),
+        F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk")).alias("open"),
     )
-    return F.lower(F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(part, "")))
 
+    def written(c: Column) -> Column:
+        return F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.lpad(F.hex(c.n), 2, "0"), F.lpad(F.hex(c.key), 12, "0"), F.lpad(F.hex(c.chk), 4, "0"))
 
-def compared(frame: DataFrame, left: str, right: str, out: str) -> DataFrame:
-    """Add ``out``, the share of digests that two arrays of digests have in common.
-
-    The sketches subtract and peel. If cells remain, the next size is tried, and after the
-    last the arrays themselves are subtracted. Two empty texts are alike.
-    """
-    got = F.lit(None).cast("bigint")
-    frame = frame.withColumn("_changes", got)
-    for size in SIZES:
-        a, b = ("sketch_" + left, "sketch_" + right) if size == SIZES[0] else (None, None)
-        left_cells = F.col(a) if a else sketch(F.col(left), size)
-        right_cells = F.col(b) if b else sketch(F.col(right), size)
-        tried = F.when(F.col("_changes").isNull(), peeled(difference(left_cells, right_cells), size))
-        frame = frame.withColumn("_peeled", tried).withColumn(
-            "_changes",
-            F.coalesce("_changes", F.when(empty(F.col("_peeled.cells")), F.size("_peeled.found").cast("bigint"))),
+    def step(a: Column, x: Column) -> Column:
+        joined = F.struct(
+            a.open.cell.alias("cell"),
+            (a.open.n + x.n).alias("n"),
+            a.open.key.bitwiseXOR(x.key).alias("key"),
+            a.open.chk.bitwiseXOR(x.chk).alias("chk"),
         )
-    exact = F.size(F.array_except(left, right)) + F.size(F.array_except(right, left))
-    frame = frame.withColumn("_changes", F.coalesce("_changes", exact.cast("bigint")))
-    both = F.size(left) + F.size(right)
-    near = F.when(both == 0, 1.0).otherwise((both - F.col("_changes")) / (both + F.col("_changes")))
-    return frame.withColumn(out, near.cast("double")).drop("_peeled", "_changes")
+        closed = F.when(a.open.cell < 0, a.text).otherwise(F.concat(a.text, written(a.open)))
+        return F.when(x.cell == a.open.cell, F.struct(a.text.alias("text"), joined.alias("open"))).otherwise(
+            F.struct(closed.alias("text"), x.alias("open"))
+        )
+
+    body = F.aggregate(order, start, step, lambda a: F.when(a.open.cell < 0, a.text).otherwise(F.concat(a.text, written(a.open))))
+    return F.lower(F.concat(F.size(keys).cast("string"), F.lit(":"), body))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -204,9 +181,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     return (
         rows.withColumn("keys", digests(F.col("text")))
         .withColumn("to", F.explode(F.filter(sent, lambda x: x.run.isNotNull())))
-        .withColumns({"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order)})
+        .withColumns({"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order), "place": F.row_number().over(order)})
         .filter(~F.col("to.guest"))
-        .select("doc_id", "text", "keys", "next_text", "next_keys")
+        .select("to.run", "place", "doc_id", "text", "keys", "next_text", "next_keys")
     )
 
 
@@ -216,32 +193,69 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``. The edited text has its last quarter replaced by the start of the next
     document. A fingerprint is a function of the text alone; equal texts have equal ones.
-    Likeness is the shared share of paragraph digests, found by subtracting sketches. NULL
-    texts count as empty; two empty texts have likeness 1. Extra columns are ignored.
+    Likeness is the share of paragraph digests in common, ``(all - changes) / (all + changes)``.
+    The changes come from subtracting sketches; pairs that do not peel try the next size, and
+    after the last the arrays themselves are subtracted. NULL texts count as empty; two empty
+    texts have likeness 1. Extra columns are ignored.
     """
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    rows = with_next(docs).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "keys", "next_keys", edited.alias("edited")
-    )
+    rows = with_next(docs).select("run", "place", "doc_id", n.cast("bigint").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
     rows = rows.select(
+        "run",
+        "place",
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
         "keys",
         "next_keys",
+        F.sha2("edited", 256).alias("edited_sha256"),
         digests(F.col("edited")).alias("edited_keys"),
     )
-    rows = rows.withColumns({f"sketch_{k}": sketch(F.col(k), SIZES[0]) for k in ("keys", "edited_keys", "next_keys")})
-    rows = compared(rows, "keys", "edited_keys", "near_edited")
-    rows = compared(rows, "keys", "next_keys", "near_next")
+    # runs stay where the window dealt them, so tries read pairs without moving them
+    rows = bucketed(rows, "run")
+    by = ("run", "place", "which")
+    pairs = rows.select(
+        "run",
+        "place",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("which"), F.lit("edited").alias("label"), F.col("keys").alias("left"), F.col("edited_keys").alias("right")),
+                F.struct(F.lit(1).alias("which"), F.lit("next").alias("label"), F.col("keys").alias("left"), F.col("next_keys").alias("right")),
+            )
+        ).alias("x"),
+    ).select("run", "place", "x.*")
+    tried = [staged(differences(pairs, by, "left", "right", SIZES[0]))]
+    for size in SIZES[1:]:
+        again = pairs.join(_by_run(tried[-1]), "run").filter(_found(F.col("place"), F.col("which")) < 0).drop("found")
+        tried.append(staged(differences(again, by, "left", "right", size)))
+    solved = reduce(DataFrame.unionByName, tried).filter("changes is not null")
+    rows = rows.join(_by_run(solved), "run", "left")
+
+    def near(other: str, which: int) -> Column:
+        exact = F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
+        both, change = F.size("keys") + F.size(other), F.coalesce(_found(F.col("place"), F.lit(which)), exact)
+        return F.when(both == 0, 1.0).otherwise((both - change) / (both + change)).cast("double")
+
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("keys"), F.col("sketch_keys")).alias("fingerprint"),
-        as_text(F.col("edited_keys"), F.col("sketch_edited_keys")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
+        as_text(F.col("keys")).alias("fingerprint"),
+        as_text(F.col("edited_keys")).alias("edited_fingerprint"),
+        near("edited_keys", 0).alias("near_edited"),
+        near("next_keys", 1).alias("near_next"),
     )
+
+
+def _by_run(tried: DataFrame) -> DataFrame:
+    """``run, found``: the changes of a run's pairs by number, -1 where cells remain.
+
+    A run has about ``RUN`` rows, so a map is short, and pairs meet it where they lie.
+    """
+    entry = F.struct((F.col("place") * 2 + F.col("which")).alias("pair"), F.coalesce("changes", F.lit(-1)).alias("changes"))
+    return tried.groupBy("run").agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+
+
+def _found(place: Column, which: Column) -> Column:
+    return F.try_element_at("found", place * 2 + which)
