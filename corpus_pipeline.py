@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jabcheck.llm import linededup, neardup, packing, quality, substrings
-from jabcheck.llm.common import ship, staged, table
+from jabcheck.llm.common import release, ship, staged, storing, table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,34 +27,51 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are boilerplate of their source."""
-    ship(spark)
     return _measured(linededup.dedup_lines(docs), docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the smallest id."""
-    ship(spark)
     return neardup.one_of_each(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that an earlier document has."""
-    ship(spark)
     return _measured(substrings.without_repeats(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts in batches of similar length."""
-    ship(spark)
     return packing.pack(docs)
 
 
+def _stage(number: int, function: Stage) -> Stage:
+    """``function`` as a stage: first, what the stage before has stored for itself is deleted.
+
+    The result of that stage has been written by then, as a stage reads files only.
+    """
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        release(spark, f"stage-{number - 1}")
+        with storing(f"stage-{number}"):
+            return function(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("quality", good_documents),
-    ("lines", without_boilerplate),
-    ("near_duplicates", without_near_duplicates),
-    ("repeated_passages", without_repeated_passages),
-    ("packing", packed),
+    (name, _stage(number, function))
+    for number, (name, function) in enumerate(
+        (
+            ("quality", good_documents),
+            ("lines", without_boilerplate),
+            ("near_duplicates", without_near_duplicates),
+            ("repeated_passages", without_repeated_passages),
+            ("packing", packed),
+        )
+    )
 ]
 
 #: SQL expresses neither the classifier nor the forest; the stages are tested by brute force.
@@ -59,5 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage; the others are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        result = stage(spark, docs, sf_dir)
+        with storing("pipeline"):
+            docs = staged(result)
     return STAGES[-1][1](spark, docs, sf_dir)

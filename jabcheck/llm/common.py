@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.operators.staging import session_staging
+from jabcheck.operators.staging import Staging, session_staging
 
 #: The white space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -36,9 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The staging folder in use, by name.
+_PART = ["llm"]
+
+
+@contextmanager
+def storing(part: str) -> Iterator[None]:
+    """Operators called in the block stage their tables apart, so ``release`` can delete just these."""
+    _PART.append(part)
+    try:
+        yield
+    finally:
+        _PART.pop()
+
+
+def _staging(spark: SparkSession) -> Staging:
+    return session_staging(spark, _PART[-1])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``, which all executors share."""
-    return session_staging(spark, "llm").new_path()
+    return _staging(spark).new_path()
 
 
 def staged(frame: DataFrame) -> DataFrame:
@@ -47,17 +66,17 @@ def staged(frame: DataFrame) -> DataFrame:
     This cuts the lineage: what follows survives the loss of any executor, and nothing above
     runs twice. The files stay until ``release`` or until Python ends.
     """
-    return session_staging(frame.sparkSession, "llm").store(frame)
+    return _staging(frame.sparkSession).store(frame)
 
 
 def bucketed(frame: DataFrame, *columns: str, **options: str) -> DataFrame:
     """As ``staged``, dealt by ``columns``: grouping and joining by them moves nothing."""
-    return session_staging(frame.sparkSession, "llm").bucketed(frame, *columns, **options)
+    return _staging(frame.sparkSession).bucketed(frame, *columns, **options)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this application staged, once its results are no longer read."""
-    session_staging(spark, "llm").remove()
+def release(spark: SparkSession, part: str = "llm") -> None:
+    """Delete what this application staged in that part, once results over it are no longer read."""
+    session_staging(spark, part).remove()
 
 
 def learned_from(folds: int) -> Column:
