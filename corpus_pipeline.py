@@ -26,8 +26,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are boilerplate of their source."""
-    return _measured(linededup.dedup_lines(docs), docs.columns)
+    """Texts without the lines that are boilerplate of their source; copies count as one page."""
+    return _measured(linededup.dedup_lines(docs, once=True), docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,16 +13,20 @@ RATIO = 0.02
 LEAST_PAGES = 5
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False
+) -> DataFrame:
     """The rows of ``docs`` without boilerplate lines, with ``n_lines`` and ``n_dropped``.
 
     Lines end at a line feed and are compared without white space around them. Empty lines
     are never dropped. A line is boilerplate where the pages of its host that contain it are
     at least ``least_pages`` and more than ``ratio`` of the host's pages; a line that repeats
     within a page counts once there. All rows of a host count as pages, copies and empty ones
-    too. A NULL host is a host of its own. A NULL text has no lines and stays NULL. Rows that
-    share id and host lose the same lines. All columns of ``docs`` are kept; existing
-    ``n_lines`` and ``n_dropped`` are replaced.
+    too; with ``once``, all rows of a host with one text count as one page, for the line and
+    in the total, so the lines of a text are not boilerplate because it has copies. A NULL
+    host is a host of its own. A NULL text has no lines and stays NULL. Rows that share id and
+    host lose the same lines. All columns of ``docs`` are kept; existing ``n_lines`` and
+    ``n_dropped`` are replaced.
 
     Pages are counted by (host, line hash) with map-side sums, so a line on a third of all
     pages is a few rows. Only boilerplate lines are joined back, on their hash, and come to a
@@ -33,6 +37,7 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
         docs.select(
             F.col("doc_id").alias("id"),
             F.col(host).alias("host"),
+            *([_page().alias("page")] if once else []),
             F.explode(
                 F.array_distinct(
                     F.transform(F.split("text", "\n"), lambda x: _key(x))
@@ -42,8 +47,11 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
         .filter("key.size > 0")
     )
     lines = staged(lines)
-    pages = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
-    common = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    counted, held = lines, docs.select(F.col(host).alias("host"), *([_page().alias("page")] if once else []))
+    if once:
+        counted, held = lines.select("host", "key", "page").distinct(), held.distinct()
+    pages = held.groupBy("host").agg(F.count("*").alias("pages"))
+    common = counted.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     common = common.alias("c").join(pages.alias("p"), F.col("c.host").eqNullSafe(F.col("p.host")))
     common = staged(common.filter(F.col("n") > ratio * F.col("pages")).select("c.host", "key"))
     met = lines.alias("l").join(
@@ -72,7 +80,15 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     )
 
 
+def _page() -> Column:
+    """What texts are compared by: two hashes and the length."""
+    return _hashed(F.col("text"))
+
+
 def _key(line: Column) -> Column:
     """What lines are compared by: two hashes and the length of the trimmed line."""
-    line = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return _hashed(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
+
+
+def _hashed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("hash"), F.hash(line).alias("other"), F.length(line).alias("size"))
