@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from jabcheck.llm.common import bucketed, staged
 
 #: Cells of the sketches that are tried in turn; each is three tables of a third.
-SIZES = (48, 192, 768)
+SIZES = (48, 192, 768, 3072)
 #: Rounds of peeling; in round r the pure cells of table r mod 3 give up their digest.
 ROUNDS = 9
 #: Documents between two cuts of the id order, and the cuts at most.
@@ -20,20 +20,21 @@ RUN = 2000
 MOST_RUNS = 4096
 
 
+#: Where a paragraph ends: after a line feed, after the end of a sentence, and after a word by its
+#: last two letters, about one word in five, so texts without sentences are cut as well.
+_ODD = r"acegikmoqsuwyACEGIKMOQSUWY13579\u0100-\uffff"
+_LAST = r"dhlptxDHLPTX048\u03b1-\u03b4\u0430-\u0433\u05d0-\u05d4\u0621-\u0628"
+ENDS = rf"(?<=\n|[.!?]\s|[\u3002\uff01\uff1f]|[{_ODD}][{_LAST}]\s)"
+
+
 def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text, in order.
+    """The paragraphs of a text, in order; together they are the text.
 
-    A paragraph ends at a line feed but has at least ``size / 2`` and at most ``size``
-    characters, where ``size`` grows with the text (16 below 512 characters, then four times
-    that for four times the length). So any text has at most about 64 paragraphs.
+    Where one ends depends on the few characters before that place, whatever the length of the
+    text and the distance from its start. So what two texts share is cut alike in both, and
+    longer texts have more paragraphs.
     """
-    n = F.length(text)
-    found = F.lit(None).cast("array<string>")
-    for power in reversed(range(11)):
-        size = 16 * 4**power
-        cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{{size // 2},{size}}}?\n|.{{1,{size}}}"), F.lit(0))
-        found = F.when(n < 512 * 4**power, cut).otherwise(found) if power < 10 else cut
-    return found
+    return F.filter(F.split(text, ENDS), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
@@ -109,7 +110,7 @@ def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, size
 
 
 def as_text(keys: Column, cells: int = SIZES[0]) -> Column:
-    """The fingerprint: the number of digests, then 18 hexadecimal letters for each cell in use.
+    """The fingerprint: the number of digests, then 22 hexadecimal letters for each cell in use.
 
     A cell is its number, the count, the XOR of digests and the XOR of checks.
     """
@@ -121,7 +122,7 @@ def as_text(keys: Column, cells: int = SIZES[0]) -> Column:
     )
 
     def written(c: Column) -> Column:
-        return F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.lpad(F.hex(c.n), 2, "0"), F.lpad(F.hex(c.key), 12, "0"), F.lpad(F.hex(c.chk), 4, "0"))
+        return F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.lpad(F.hex(c.n), 6, "0"), F.lpad(F.hex(c.key), 12, "0"), F.lpad(F.hex(c.chk), 4, "0"))
 
     def step(a: Column, x: Column) -> Column:
         joined = F.struct(

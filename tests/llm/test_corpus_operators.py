@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -186,6 +187,38 @@ def test_fingerprints(spark, docs, rows):
     assert by_text[5] == by_text[6] and len(by_text[5]) == 1
 
 
+def test_likeness_follows_the_words_in_common(spark):
+    """Edits that change a text's length, and shifts: likeness is near that of the words, counted here."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+
+    def prose(chars, stops):
+        out = ""
+        while len(out) < chars:
+            out += word() + (rng.choice([" "] * 7 + [". "]) if stops else " ")
+        return out[:chars]
+
+    texts = []
+    for stops in (True, False):
+        for chars in (526, 2220, 9946, 40_000):
+            text = prose(chars, stops)
+            texts += [text, "word", prose(300, stops) + text, text]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    like = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        if len(text) < 500:
+            continue
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        most = 0.2 if len(text) > 2000 else 0.3  # short texts have few paragraphs
+        assert abs(got[i].near_edited - like(text, edited)) < most, i
+        assert abs(got[i].near_next - like(text, after)) < most, i
+    keys = spark.createDataFrame([(t,) for t in texts[:12:4]], "text STRING").select(F.size(fingerprint.digests(F.col("text"))).alias("n"))
+    few, more, most = sorted(r.n for r in keys.collect())
+    assert 3 * few < more and 3 * more < most
+
+
 def test_order_over_many_runs(spark, docs, monkeypatch):
     monkeypatch.setattr(fingerprint, "RUN", 3)
     got = fingerprint.with_next(docs)
