@@ -1,6 +1,5 @@
 import os
 import sys
-from datetime import date
 
 import pytest
 from pyspark.sql import SparkSession
@@ -30,15 +29,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small_dir():
     return "/root/testdata/sf0.001"
-
-
-def day(text):
-    return None if text is None else date.fromisoformat(text)
-
-
-def rows_of(frame):
-    return [tuple(r) for r in frame.collect()]
-
-
-def sorted_rows(frame):
-    return sorted(rows_of(frame), key=repr)

@@ -1,13 +1,32 @@
-"""Small event tables with answers worked out by hand."""
+"""Helpers of the tests, and small event tables with answers worked out by hand."""
 
-from conftest import day
+from datetime import date
 
+from jabcheck.functions.draws import MODULUS
 from jabcheck.sources import schemas
 from jabcheck.study import covid_study
 
 RAW = dict(covid_study().products)
 
 
+def day(text):
+    return None if text is None else date.fromisoformat(text)
+
+
+def rows_of(frame):
+    return [tuple(r) for r in frame.collect()]
+
+
+def sorted_rows(frame):
+    return sorted(rows_of(frame), key=repr)
+
+
+def py_draw(key, salt):
+    h = (key % MODULUS * 48271 + (key >> 31) % MODULUS * 16807 + salt * 69621 + 1) % MODULUS
+    h = (h * h + salt * 16807 + 11) % MODULUS
+    return (h * 48271 + 7) % MODULUS
+
+
 def covid_events(spark):
     death = {4: "2021-09-05"}
     rows = [

@@ -5,7 +5,7 @@ from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
-from conftest import rows_of
+from fixtures import rows_of
 
 from jabcheck.functions.labels import INTERVAL_BINS
 from jabcheck.operators import crosssource

@@ -1,6 +1,5 @@
 import pytest
-from conftest import day, rows_of, sorted_rows
-from fixtures import RAW, covid_events, covid_registrations
+from fixtures import RAW, covid_events, covid_registrations, day, rows_of, sorted_rows
 from pyspark.sql import functions as F
 
 from jabcheck.operators import clean, extract, flags, intervals, registration, summaries

@@ -1,6 +1,5 @@
 import pytest
-from conftest import rows_of, sorted_rows
-from fixtures import flu_extracts
+from fixtures import day, flu_extracts, rows_of, sorted_rows
 
 from jabcheck.operators import crosssource, upset
 from jabcheck.operators.clean import campaign_label
@@ -76,7 +75,6 @@ def test_agreement_invariants(spark, small_dir):
 
 
 def test_days_before_the_calendar_form_their_own_campaign(spark):
-    from conftest import day
 
     rows = [(1, day("1899-12-01"), 5, "table"), (1, day("1899-12-05"), 5, "drug")]
     records = spark.createDataFrame(rows, "patient_id BIGINT, vax_date DATE, age INT, source STRING")

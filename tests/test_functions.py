@@ -1,7 +1,7 @@
 from datetime import date, timedelta
 
 import pytest
-from conftest import day
+from fixtures import day, py_draw
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -114,12 +114,6 @@ def test_product_list_matches_published_sizes():
     assert [c.label for c in autumn_campaigns(2020, 2021)] == ["Pre-2020", "Autumn 2020", "Autumn 2021"]
 
 
-def py_draw(key, salt):
-    h = (key % MODULUS * 48271 + (key >> 31) % MODULUS * 16807 + salt * 69621 + 1) % MODULUS
-    h = (h * h + salt * 16807 + 11) % MODULUS
-    return (h * 48271 + 7) % MODULUS
-
-
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=50))
 def test_draws_match_plain_arithmetic(spark, keys):

@@ -10,8 +10,7 @@ from dataclasses import replace
 from datetime import timedelta
 
 import pytest
-from conftest import day, rows_of
-from fixtures import RAW, covid_events, covid_registrations, flu_extracts
+from fixtures import RAW, covid_events, covid_registrations, day, flu_extracts, rows_of
 
 from jabcheck import __main__ as cli
 from jabcheck.operators.clean import UnmappedProductsError

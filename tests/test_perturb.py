@@ -23,7 +23,7 @@ def faulty(spark, clean_rows):
 
 @pytest.mark.parametrize("n", [1, 7, 40, 1000, 70_000])
 def test_classes_have_exact_sizes_and_follow_the_draw(spark, n):
-    from test_functions import py_draw
+    from fixtures import py_draw
 
     sizes = [at_least(0.02, 10), at_least(0.1, 5), share(0.3)]
     got = exact_classes(spark.range(n).repartition(5), "id", 11, sizes, "c").collect()

@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from conftest import rows_of, sorted_rows
+from fixtures import rows_of, sorted_rows
 from pyspark.sql import functions as F
 
 from jabcheck.checks import standin
