@@ -1,8 +1,13 @@
-"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs."""
+"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
+
+A sketch is linear: entering a digest adds it to three cells, so the sketch of one version minus
+that of another holds just the digests in which they differ. Peeling then takes the digests out
+of the cells that hold a single one.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,20 +16,22 @@ from pyspark.sql.window import Window
 
 from jabcheck.llm.common import bucketed, staged
 
-#: Cells of the sketches that are tried in turn; each is three tables of a third.
-SIZES = (48, 192, 768, 3072)
+#: A published fingerprint has 2 to the power of this cells in each of its three tables.
+PUBLISHED = 3
+#: A sketch that is subtracted has at least so many cells in each of its three tables.
+LEAST = 16
 #: Rounds of peeling; in round r the pure cells of table r mod 3 give up their digest.
-ROUNDS = 9
-#: Documents between two cuts of the id order, and the cuts at most.
+ROUNDS = 6
+#: Documents of a run, which is a range of the id order sorted by one task.
 RUN = 2000
-MOST_RUNS = 4096
-
+#: Levels of the difference estimate; level j sees one digest in 8 to the power of j.
+LEVELS = 4
 
 #: Where a paragraph ends: after a line feed, after the end of a sentence, and after a word by its
 #: last two letters, about one word in five, so texts without sentences are cut as well.
 _ODD = r"acegikmoqsuwyACEGIKMOQSUWY13579\u0100-\uffff"
 _LAST = r"dhlptxDHLPTX048\u03b1-\u03b4\u0430-\u0433\u05d0-\u05d4\u0621-\u0628"
-ENDS = rf"(?<=\n|[.!?]\s|[\u3002\uff01\uff1f]|[{_ODD}][{_LAST}]\s)"
+ENDS = rf"(?<=[\s\u3002\uff01\uff1f])(?<=\n|[.!?]\s|[\u3002\uff01\uff1f]|[{_ODD}][{_LAST}]\s)"
 
 
 def paragraphs(text: Column) -> Column:
@@ -39,153 +46,199 @@ def paragraphs(text: Column) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct 48-bit digests of the paragraphs."""
-    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 48) - 1))))
+    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit(KEY))))
 
 
-def _place(key: Column, table: int, third: int) -> Column:
-    """The cell of ``table`` that a digest falls in."""
-    return F.lit(table * third) + F.pmod(F.xxhash64(key, F.lit(table)), F.lit(third)).cast("int")
+#: Bits of a digest; a word is a digest with a check of 16 bits above it.
+KEY = (1 << 48) - 1
 
 
-def _check(key: Column) -> Column:
-    return F.hash(key, F.lit(7)).bitwiseAND(F.lit(0xFFFF)).cast("bigint")
+def _word(key: Column) -> Column:
+    """A digest and its check, 16 bits of a second hash, in one number."""
+    return key.bitwiseOR(F.shiftleft(F.hash(key, F.lit(7)).cast("bigint"), 48))
 
 
-def _entries(key: Column, sign: Column, size: int, tables: Iterable[int] = range(3)) -> list[Column]:
-    """What a digest adds to its cells: ``sign`` to the number, itself and its check by XOR."""
-    return [
-        F.struct(
-            _place(key, t, size // 3).alias("cell"), sign.cast("int").alias("n"), key.alias("key"), _check(key).alias("chk")
-        )
-        for t in tables
-    ]
+# --- how far two sets differ, before their sketches are sized
 
 
-def _folded(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The cells: entries that fall together are added up, and empty cells go.
+def strata(keys: Column) -> Column:
+    """For each level the bits that an odd number of the sampled digests has set, as 64-bit words.
 
-    The label goes along as a text. An aggregate with a text is one that Spark sorts for, so
-    a chain of rounds holds one sort at a time and not a hash map for each round.
+    Words of two sets combine by XOR to those of their difference.
     """
-    cells = rows.groupBy(*by, "cell").agg(
-        F.first("label").alias("label"),
-        F.sum("n").cast("int").alias("n"),
-        F.bit_xor("key").alias("key"),
-        F.bit_xor("chk").alias("chk"),
-    )
-    return cells.filter("n <> 0 or key <> 0 or chk <> 0")
 
+    def word(level: int) -> Column:
+        sampled = keys
+        if level:
+            sampled = F.filter(keys, lambda k: k.bitwiseAND(F.lit((1 << 3 * level) - 1)) == 0)
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(k, 40).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(sampled, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+    return F.array(*[word(level) for level in range(LEVELS)])
 
-def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, size: int) -> DataFrame:
-    """``by``, ``label`` and ``changes`` of each pair of arrays; NULL where cells remain after peeling.
 
-    Sketches of ``size`` cells are linear, so the digests of ``right`` are entered with a
-    minus sign and what both hold cancels out. Then cells peel: one with a single digest and a
-    matching check gives it up, and the digest leaves its other cells, which may then hold one
-    digest themselves. A round looks at one table only, where a digest has one cell, so none
-    is taken twice. The marker, cell -1, counts the digests found. Rows are grouped by pair
-    throughout, so where pairs are dealt by ``by`` nothing moves.
+def estimated(left: Column, right: Column, most: Column) -> Column:
+    """About how many digests are in one set only, from the strata of both.
+
+    The first level with few odd bits is read; where all are full it is ``most``.
     """
-    entered = F.concat(
-        F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("chk"))),
-        *[
-            F.flatten(F.transform(F.col(side), lambda k: F.array(*_entries(k, F.lit(sign), size))))
-            for side, sign in ((left, 1), (right, -1))
-        ],
-    )
-    cells = _folded(pairs.select(*by, "label", F.explode(entered).alias("x")).select(*by, "label", "x.*"), by)
-    for r in range(ROUNDS):
-        table = r % 3
-        here = (F.col("cell") >= table * (size // 3)) & (F.col("cell") < (table + 1) * (size // 3))
-        pure = here & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
-        found = F.struct(F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk"))
-        leaves = _entries(F.col("key"), -F.col("n"), size, [t for t in range(3) if t != table])
-        kept = F.array(F.struct("cell", "n", "key", "chk"))
-        rows = cells.select(*by, "label", F.explode(F.when(pure, F.array(found, *leaves)).otherwise(kept)).alias("x"))
-        cells = _folded(rows.select(*by, "label", "x.*"), by)
-    return cells.groupBy(*by).agg(
-        F.first("label").alias("label"),
-        F.when(F.max("cell") < 0, F.max(F.when(F.col("cell") == -1, F.col("n")))).cast("bigint").alias("changes")
-    )
+    guess = most.cast("double")
+    for level in reversed(range(LEVELS)):
+        odd = F.bit_count(left[level].bitwiseXOR(right[level]))
+        guess = F.when(odd <= 24, -32.0 * F.log(1 - odd / 32.0) * 8.0**level).otherwise(guess)
+    return F.least(guess, most.cast("double"))
+
 
+# --- sketches, subtracted and peeled
 
-def as_text(keys: Column, cells: int = SIZES[0]) -> Column:
-    """The fingerprint: the number of digests, then 22 hexadecimal letters for each cell in use.
 
-    A cell is its number, the count, the XOR of digests and the XOR of checks.
+def _cell(key: Column, table: Column, bits: Column, salt: int) -> Column:
+    """The number of the cell that a digest falls in: size and table in the high bits, then the place.
+
+    A table has 2 to the power of ``bits`` cells.
     """
-    entries = F.flatten(F.transform(keys, lambda k: F.array(*_entries(k, F.lit(1), cells))))
-    order = F.array_sort(entries)
-    start = F.struct(
-        F.lit("").alias("text"),
-        F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk")).alias("open"),
-    )
+    size = F.call_function("shiftleft", F.lit(1), bits)
+    place = F.hash(key, table + 3 * salt).bitwiseAND(size - 1)
+    return F.shiftleft((bits * 4 + table).cast("bigint"), 32) + place
 
-    def written(c: Column) -> Column:
-        return F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.lpad(F.hex(c.n), 6, "0"), F.lpad(F.hex(c.key), 12, "0"), F.lpad(F.hex(c.chk), 4, "0"))
 
-    def step(a: Column, x: Column) -> Column:
-        joined = F.struct(
-            a.open.cell.alias("cell"),
-            (a.open.n + x.n).alias("n"),
-            a.open.key.bitwiseXOR(x.key).alias("key"),
-            a.open.chk.bitwiseXOR(x.chk).alias("chk"),
-        )
-        closed = F.when(a.open.cell < 0, a.text).otherwise(F.concat(a.text, written(a.open)))
-        return F.when(x.cell == a.open.cell, F.struct(a.text.alias("text"), joined.alias("open"))).otherwise(
-            F.struct(closed.alias("text"), x.alias("open"))
+def _folded(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The cells: entries that fall together are added up, and empty cells go."""
+    cells = rows.groupBy(*by, "cell").agg(F.sum("n").alias("n"), F.bit_xor("word").alias("word"))
+    return cells.filter("n <> 0 or word <> 0")
+
+
+def peeled(pairs: DataFrame, by: Sequence[str], left: str, right: str, salt: int = 0, lists: bool = True) -> DataFrame:
+    """``by``, ``cell``, ``n``, ``word`` of the digests in which two arrays differ, and of cells that remain.
+
+    ``pairs`` has the binary logarithm of the cells of a table as ``bits``. A digest is entered
+    in a cell of each table: 1 is added to the number, or -1 where it comes from ``right``, and
+    its word by XOR, so what both hold cancels out. A round looks at one table, where a digest
+    has one cell: a cell with a single digest and a matching check gives it up, and the digest
+    leaves its other cells. With ``lists`` what was recovered is a row with a negative cell of
+    its own, the digest in ``word``, and ``n`` 1 where it is in ``left`` only, -1 where in
+    ``right`` only. Without, it is counted in the ``n`` of cell -1. Rows are grouped by pair
+    throughout, so where pairs are dealt by a part of ``by`` nothing moves.
+    """
+    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("keys")) for c, n in ((left, 1), (right, -1))])
+    rows = pairs.select(*by, "bits", F.explode(sides).alias("side"))
+    rows = rows.select(*by, "bits", F.col("side.n").alias("n"), F.explode("side.keys").alias("key"))
+    rows = rows.select(*by, "bits", "n", "key", F.explode(F.array(*map(F.lit, range(3)))).alias("table"))
+    n, key, table = F.col("n"), F.col("word").bitwiseAND(F.lit(KEY)), F.col("table")
+    cells = _folded(rows.select(*by, _cell(F.col("key"), table, F.col("bits"), salt).alias("cell"), "n", _word(F.col("key")).alias("word")), by)
+    bits = F.shiftright("cell", 34).cast("int")
+    keep, give = -1, -2
+    for r in range(ROUNDS):
+        number = r % 3
+        pure = (F.abs(n) == 1) & (_word(key) == F.col("word")) & (F.col("cell") == _cell(key, F.lit(number), bits, salt))
+        out = [F.lit(give), *[F.lit(t) for t in range(3) if t != number]]
+        rows = cells.select(*by, "cell", "n", "word", F.explode(F.when(pure, F.array(*out)).otherwise(F.array(F.lit(keep)))).alias("table"))
+        kept, found = table == keep, table == give
+        rows = rows.select(
+            *by,
+            F.when(kept, F.col("cell")).when(found, -1 - key if lists else F.lit(-1)).otherwise(_cell(key, table, bits, salt)).alias("cell"),
+            F.when(kept, n).when(found, n if lists else F.lit(1)).otherwise(-n).alias("n"),
+            F.when(found, key if lists else F.lit(0)).otherwise(F.col("word")).alias("word"),
         )
+        cells = _folded(rows, by)
+    return cells
+
+
+def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, lists: bool = True) -> DataFrame:
+    """``by`` and ``changes`` for each pair of arrays of distinct digests that differ, written to the shared folder.
+
+    With ``lists`` also ``left_only`` and ``right_only``, the recovered digests themselves in
+    ascending order. ``by`` must name one row. The first sketch of a pair has six to
+    twelve cells for each difference that its strata let expect; pairs that do not peel are tried
+    again with four times as many cells and other hashes, until all are solved. Pairs without
+    any difference have no row.
+    """
+    guess = estimated(strata(F.col(left)), strata(F.col(right)), F.size(left) + F.size(right))
+    bits = F.ceil(F.log2(F.greatest(guess * 2, F.lit(float(LEAST))))).cast("int")
+    pairs = pairs.select(*by, left, right)
+    recovered, n = F.col("cell") < 0, F.col("n")
+    number = F.when(recovered, F.abs("n")).otherwise(0)
+    told = [F.sum(number).alias("changes"), F.bool_or(~recovered).alias("open")]
+    if lists:
+        for name, sign in (("left_only", 1), ("right_only", -1)):
+            told.append(F.sort_array(F.collect_list(F.when(recovered & (n == sign), F.col("word")))).alias(name))
+    done, salt, todo = [], 0, pairs
+    while True:
+        cells = peeled(todo.withColumn("bits", bits + 2 * salt), by, left, right, salt, lists)
+        tried = staged(cells.groupBy(*by).agg(*told))
+        done.append(tried.filter("not open").drop("open"))
+        again = tried.filter("open").select(*by)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        salt += 1
+        same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"again.{c}")) for c in by])
+        todo = pairs.alias("p").join(again.alias("again"), same, "left_semi")
+
+
+# --- the published fingerprint
+
+
+def sketches(rows: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``by`` and, under each name of an array of digests, the text of its sketch of fixed size.
+
+    For each cell in use it has 24 hexadecimal letters: 2 for the table and place, 6 for the
+    number, 16 for the XOR of words. Where all arrays of a row are empty there is no row.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("keys")) for i, c in enumerate(names)])
+    keys = rows.select(*by, F.explode(sides).alias("x")).select(*by, "x.side", F.explode("x.keys").alias("key"))
+    keys = keys.select(*by, "side", "key", F.explode(F.array(*map(F.lit, range(3)))).alias("table"))
+    cell = _cell(F.col("key"), F.col("table"), F.lit(PUBLISHED), 0)
+    cells = _folded(keys.select(*by, "side", cell.alias("cell"), F.lit(1).alias("n"), _word(F.col("key")).alias("word")), (*by, "side"))
+    table, place = F.shiftright("cell", 32).bitwiseAND(F.lit(3)), F.col("cell").bitwiseAND(F.lit((1 << PUBLISHED) - 1))
+    letters = F.concat(
+        F.lpad(F.hex((table * (1 << PUBLISHED) + place).cast("bigint")), 2, "0"),
+        F.lpad(F.hex("n"), 6, "0"),
+        F.lpad(F.hex("word"), 16, "0"),
+    )
+    lists = [F.collect_list(F.when(F.col("side") == i, letters)) for i in range(len(names))]
+    return cells.groupBy(*by).agg(*[F.lower(F.array_join(F.sort_array(c), "")).alias(n) for c, n in zip(lists, names)])
+
 
-    body = F.aggregate(order, start, step, lambda a: F.when(a.open.cell < 0, a.text).otherwise(F.concat(a.text, written(a.open))))
-    return F.lower(F.concat(F.size(keys).cast("string"), F.lit(":"), body))
+# --- each text beside the next one
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, keys, next_text, next_keys``: each text beside that of the next id.
+    """``run, place, last, doc_id, text, next_text``: each text beside that of the next id.
 
     After the last row comes the first again, so a single row is its own next. NULL ids come
-    first; rows with one id are ordered by a hash of their text. ``keys`` are the digests.
-    NULL texts are empty.
+    first; rows with one id are ordered by a hash of their text. NULL texts are empty.
 
-    Range partitioning of the ids alone cuts the order into runs of about ``RUN`` rows. A run
-    is a window of its own; the first row of the next run is sent to it too, as a guest.
+    Range partitioning on id, hash and a row number cuts the order into runs of about ``RUN``
+    rows, so neither NULL nor a repeated id is one task's. Runs are stored as a table dealt by
+    run, with the place of each row.
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    ids = staged(rows.select("doc_id", "tie"))
-    runs = min(MOST_RUNS, -(-ids.count() // RUN) or 1)
-    starts = (
-        ids.filter("doc_id is not null")
-        .select("doc_id")
-        .repartitionByRange(runs, "doc_id")
-        .groupBy(F.spark_partition_id())
-        .agg(F.min("doc_id").alias("start"))
-        .collect()
-    )  # one id of each run, MOST_RUNS at most
-    cuts = sorted(r["start"] for r in starts)[1:]
-    first = ids.orderBy(F.col("doc_id").asc_nulls_first(), "tie").first()
-    run, before = F.lit(0), F.lit(None).cast("int")
-    if cuts:
-        passed = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id")))
-        run = F.when(F.col("doc_id").isNull(), 0).otherwise(passed)
-        before = F.when(F.col("doc_id").isin(cuts), passed - 1)
-    head = F.lit(False)
-    if first is not None:
-        head = F.col("doc_id").eqNullSafe(F.lit(first["doc_id"])) & (F.col("tie") == first["tie"])
-    last = F.when(head, len(cuts))
-    sent = F.array(
-        F.struct(run.alias("run"), F.lit(False).alias("guest")),
-        F.struct(before.alias("run"), F.lit(True).alias("guest")),
-        F.struct(last.alias("run"), F.lit(True).alias("guest")),
-    )
-    order = Window.partitionBy("to.run").orderBy("to.guest", F.col("doc_id").asc_nulls_first(), "tie")
-    return (
-        rows.withColumn("keys", digests(F.col("text")))
-        .withColumn("to", F.explode(F.filter(sent, lambda x: x.run.isNotNull())))
-        .withColumns({"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order), "place": F.row_number().over(order)})
-        .filter(~F.col("to.guest"))
-        .select("to.run", "place", "doc_id", "text", "keys", "next_text", "next_keys")
-    )
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    runs = -(-docs.count() // RUN) or 1
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
+    ranged = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.select(F.spark_partition_id().alias("run"), place.alias("place"), "doc_id", "text")
+    kept = bucketed(ranged, "run", compression="zstd")
+    ends = kept.groupBy("run").agg(F.max("place").alias("last"))
+    by_run = Window.orderBy("run")  # one short row for each run
+    after = F.coalesce(F.lead("run").over(by_run), F.min("run").over(Window.partitionBy()))
+    ends = staged(ends.select("run", "last", after.alias("after")))
+    return beside(kept.join(ends, "run"), "text", "next_text")
+
+
+def beside(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the value of ``column`` in the following row as ``name``.
+
+    That is the next row of the run, and for its last row the first of the run ``after``.
+    Rows that are dealt by run stay where they are.
+    """
+    first = rows.filter("place = 0").select(F.col("run").alias("after"), F.col(column).alias("first"))
+    ends = rows.filter("place = 0").select("run", "after").join(first, "after").select("run", "first")
+    following = F.lead(column).over(Window.partitionBy("run").orderBy("place"))
+    found = rows.withColumn("following", following).join(staged(ends), "run")
+    value = F.when(F.col("place") == F.col("last"), F.col("first")).otherwise(F.col("following"))
+    return found.withColumn(name, value).drop("following", "first")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -193,70 +246,70 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``. The edited text has its last quarter replaced by the start of the next
-    document. A fingerprint is a function of the text alone; equal texts have equal ones.
-    Likeness is the share of paragraph digests in common, ``(all - changes) / (all + changes)``.
-    The changes come from subtracting sketches; pairs that do not peel try the next size, and
-    after the last the arrays themselves are subtracted. NULL texts count as empty; two empty
-    texts have likeness 1. Extra columns are ignored.
+    document. A fingerprint is the number of digests and their sketch, a function of the text
+    alone; equal texts have equal ones. Likeness is the share of paragraph digests in common,
+    ``(all - changes) / (all + changes)``, where the changes are the digests recovered from
+    the difference of two sketches. NULL texts count as empty; two empty texts have likeness
+    1. Extra columns are ignored.
     """
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    rows = with_next(docs).select("run", "place", "doc_id", n.cast("bigint").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
-    rows = rows.select(
+    told = with_next(docs).withColumn("edited", edited).select(
         "run",
         "place",
+        "last",
+        "after",
         "doc_id",
-        "n_chars",
-        "keys",
-        "next_keys",
+        n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("edited")).alias("edited_keys"),
+        digests(F.col("text")).alias("fingerprint"),
+        digests(F.col("edited")).alias("edited_fingerprint"),
     )
-    # runs stay where the window dealt them, so tries read pairs without moving them
-    rows = bucketed(rows, "run")
-    by = ("run", "place", "which")
-    pairs = rows.select(
+    told = bucketed(told, "run", compression="zstd")
+    sets = beside(told, "fingerprint", "next_fingerprint")
+    others = ("edited_fingerprint", "next_fingerprint")
+    pairs = sets.select(
         "run",
-        "place",
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("which"), F.lit("edited").alias("label"), F.col("keys").alias("left"), F.col("edited_keys").alias("right")),
-                F.struct(F.lit(1).alias("which"), F.lit("next").alias("label"), F.col("keys").alias("left"), F.col("next_keys").alias("right")),
+                *[
+                    F.struct((F.col("place") * 2 + which).alias("pair"), F.col("fingerprint").alias("left"), F.col(other).alias("right"))
+                    for which, other in enumerate(others)
+                ]
             )
         ).alias("x"),
-    ).select("run", "place", "x.*")
-    tried = [staged(differences(pairs, by, "left", "right", SIZES[0]))]
-    for size in SIZES[1:]:
-        again = pairs.join(_by_run(tried[-1]), "run").filter(_found(F.col("place"), F.col("which")) < 0).drop("found")
-        tried.append(staged(differences(again, by, "left", "right", size)))
-    solved = reduce(DataFrame.unionByName, tried).filter("changes is not null")
-    rows = rows.join(_by_run(solved), "run", "left")
-
-    def near(other: str, which: int) -> Column:
-        exact = F.size(F.array_except("keys", other)) + F.size(F.array_except(other, "keys"))
-        both, change = F.size("keys") + F.size(other), F.coalesce(_found(F.col("place"), F.lit(which)), exact)
-        return F.when(both == 0, 1.0).otherwise((both - change) / (both + change)).cast("double")
-
-    return rows.select(
+    ).select("run", "x.*")
+    solved = differences(pairs, ("run", "pair"), "left", "right", lists=False)
+    changes = solved.select("run", F.shiftright("pair", 1).alias("place"), (F.col("pair") % 2).alias("which"), "changes")
+    changes = changes.groupBy("run", "place").agg(
+        *[F.coalesce(F.max(F.when(F.col("which") == which, F.col("changes"))), F.lit(0)).alias(other) for which, other in enumerate(others)]
+    )
+    texts = sketches(told, ("run", "place"), ("fingerprint", "edited_fingerprint"))
+    rows = sets.select(
+        "run",
+        "place",
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("keys")).alias("fingerprint"),
-        as_text(F.col("edited_keys")).alias("edited_fingerprint"),
-        near("edited_keys", 0).alias("near_edited"),
-        near("next_keys", 1).alias("near_next"),
+        F.size("fingerprint").alias("n"),
+        *[F.size(other).alias(f"n_{other}") for other in others],
     )
+    rows = rows.alias("r").join(changes.alias("c"), ["run", "place"], "left").join(texts.alias("t"), ["run", "place"], "left")
 
+    def near(other: str) -> Column:
+        total, change = F.col("n") + F.col(f"n_{other}"), F.coalesce(F.col(f"c.{other}"), F.lit(0))
+        return F.when(total == 0, 1.0).otherwise((total - change) / (total + change)).cast("double")
 
-def _by_run(tried: DataFrame) -> DataFrame:
-    """``run, found``: the changes of a run's pairs by number, -1 where cells remain.
-
-    A run has about ``RUN`` rows, so a map is short, and pairs meet it where they lie.
-    """
-    entry = F.struct((F.col("place") * 2 + F.col("which")).alias("pair"), F.coalesce("changes", F.lit(-1)).alias("changes"))
-    return tried.groupBy("run").agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
-
+    def text(name: str, n: str) -> Column:
+        return F.concat(F.col(n).cast("string"), F.lit(":"), F.coalesce(F.col(f"t.{name}"), F.lit("")))
 
-def _found(place: Column, which: Column) -> Column:
-    return F.try_element_at("found", place * 2 + which)
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        text("fingerprint", "n").alias("fingerprint"),
+        text("edited_fingerprint", "n_edited_fingerprint").alias("edited_fingerprint"),
+        near("edited_fingerprint").alias("near_edited"),
+        near("next_fingerprint").alias("near_next"),
+    )

@@ -228,14 +228,37 @@ def test_order_over_many_runs(spark, docs, monkeypatch):
     assert Counter((r.doc_id, r.text, r.next_text) for r in got.collect()) == expected
 
 
-def test_larger_sketches_when_one_is_too_small(spark):
-    arrays = [(i, i, 0, "x", list(range(i)), list(range(5, 5 + i))) for i in (0, 1, 30, 90)]
-    pairs = spark.createDataFrame(arrays, "run INT, place INT, which INT, label STRING, left ARRAY<BIGINT>, right ARRAY<BIGINT>")
-    by = ("run", "place", "which")
-    small = {r.run: r.changes for r in fingerprint.differences(pairs.withColumn("right", F.array().cast("array<bigint>")), by, "left", "right", 24).collect()}
-    assert small[0] == 0 and small[1] == 1 and small[90] is None
-    large = {r.run: r.changes for r in fingerprint.differences(pairs, by, "left", "right", 48).collect()}
-    assert large == {0: 0, 1: 2, 30: 10, 90: 10}
+def pairs_of_arrays(spark, *arrays):
+    return spark.createDataFrame([(i, *a) for i, a in enumerate(arrays)], "i INT, left ARRAY<BIGINT>, right ARRAY<BIGINT>")
+
+
+def test_recovered_digests_are_the_set_difference(spark):
+    rng = random.Random(3)
+    number = lambda: rng.randrange(1 << 48)
+    arrays = [([], []), ([number()], []), ([], [number()])]
+    for common, left, right in ((40, 0, 0), (40, 3, 2), (0, 20, 20), (300, 30, 0), (0, 500, 1), (10, 3000, 4000)):
+        same = [number() for _ in range(common)]
+        arrays.append(([number() for _ in range(left)] + same, same[::-1] + [number() for _ in range(right)]))
+    got = {r.i: r for r in fingerprint.differences(pairs_of_arrays(spark, *arrays), ["i"], "left", "right").collect()}
+    for i, (left, right) in enumerate(arrays):
+        only = sorted(set(left) - set(right)), sorted(set(right) - set(left))
+        if not any(only):
+            assert i not in got
+        else:
+            assert (got[i].left_only, got[i].right_only) == only and got[i].changes == sum(map(len, only))
+    counted = fingerprint.differences(pairs_of_arrays(spark, *arrays), ["i"], "left", "right", lists=False).collect()
+    assert {r.i: r.changes for r in counted} == {i: r.changes for i, r in got.items()}
+
+
+def test_larger_sketches_when_one_is_too_small(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "estimated", lambda left, right, most: F.lit(1.0))
+    rng = random.Random(4)
+    arrays = [([rng.randrange(1 << 48) for _ in range(n)], []) for n in (1, 30, 200, 1000)]
+    pairs = pairs_of_arrays(spark, *arrays)
+    small = fingerprint.peeled(pairs.withColumn("bits", F.lit(4)), ["i"], "left", "right").filter("cell >= 0")
+    assert small.filter("i = 3").count() and not small.filter("i = 0").count()
+    got = fingerprint.differences(pairs, ["i"], "left", "right").collect()
+    assert {r.i: r.left_only for r in got} == {i: sorted(a) for i, (a, _) in enumerate(arrays)}
 
 
 def test_fingerprints_run_no_python(docs):
