@@ -41,9 +41,11 @@ class Staging:
         """``frame`` as a table bucketed by patient, read without a shuffle by patient."""
         return self.bucketed(frame, "patient_id", sort=["patient_id"])
 
-    def bucketed(self, frame: DataFrame, *columns: str, sort: list[str] | None = None, **options: str) -> DataFrame:
+    def bucketed(
+        self, frame: DataFrame, *columns: str, sort: list[str] | None = None, buckets: int | None = None, **options: str
+    ) -> DataFrame:
         """``frame`` as a table dealt by ``columns``, so grouping or joining by them moves nothing."""
-        buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         database = f"staging_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE DATABASE {database} LOCATION '{self.path}/{database}'")
         self._databases.append(database)
