@@ -69,9 +69,9 @@ def staged(frame: DataFrame) -> DataFrame:
     return _staging(frame.sparkSession).store(frame)
 
 
-def bucketed(frame: DataFrame, *columns: str, **options: str) -> DataFrame:
+def bucketed(frame: DataFrame, *columns: str, buckets: int | None = None, **options: str) -> DataFrame:
     """As ``staged``, dealt by ``columns``: grouping and joining by them moves nothing."""
-    return _staging(frame.sparkSession).bucketed(frame, *columns, **options)
+    return _staging(frame.sparkSession).bucketed(frame, *columns, buckets=buckets, **options)
 
 
 def release(spark: SparkSession, part: str = "llm") -> None:

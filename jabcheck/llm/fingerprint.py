@@ -23,7 +23,9 @@ LEAST = 16
 #: Rounds of peeling; in round r the pure cells of table r mod 3 give up their digest.
 ROUNDS = 6
 #: Documents of a run, which is a range of the id order sorted by one task.
-RUN = 2000
+RUN = 1000
+#: Runs share buckets beyond this number, as Spark tables have 100,000 buckets at most.
+MOST_BUCKETS = 50_000
 #: Levels of the difference estimate; level j sees one digest in 8 to the power of j.
 LEVELS = 4
 
@@ -202,8 +204,8 @@ def sketches(rows: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFr
 # --- each text beside the next one
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``run, place, last, doc_id, text, next_text``: each text beside that of the next id.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``run, place, last, after, doc_id, text, next_text``, each text beside that of the next id, and the number of runs.
 
     After the last row comes the first again, so a single row is its own next. NULL ids come
     first; rows with one id are ordered by a hash of their text. NULL texts are empty.
@@ -219,12 +221,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = ranged.select(F.spark_partition_id().alias("run"), place.alias("place"), "doc_id", "text")
-    kept = bucketed(ranged, "run", compression="zstd")
+    kept = _by_run(ranged, runs)
     ends = kept.groupBy("run").agg(F.max("place").alias("last"))
     by_run = Window.orderBy("run")  # one short row for each run
     after = F.coalesce(F.lead("run").over(by_run), F.min("run").over(Window.partitionBy()))
     ends = staged(ends.select("run", "last", after.alias("after")))
-    return beside(kept.join(ends, "run"), "text", "next_text")
+    return beside(kept.join(ends, "run"), "text", "next_text"), runs
+
+
+def _by_run(rows: DataFrame, runs: int) -> DataFrame:
+    """``rows``, stored so that each run lies in one bucket."""
+    return bucketed(rows, "run", buckets=min(runs, MOST_BUCKETS), compression="zstd")
 
 
 def beside(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -255,7 +262,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    told = with_next(docs).withColumn("edited", edited).select(
+    rows, runs = with_next(docs)
+    told = rows.withColumn("edited", edited).select(
         "run",
         "place",
         "last",
@@ -266,7 +274,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("text")).alias("fingerprint"),
         digests(F.col("edited")).alias("edited_fingerprint"),
     )
-    told = bucketed(told, "run", compression="zstd")
+    told = _by_run(told, runs)
     sets = beside(told, "fingerprint", "next_fingerprint")
     others = ("edited_fingerprint", "next_fingerprint")
     pairs = sets.select(

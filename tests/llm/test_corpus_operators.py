@@ -221,7 +221,7 @@ def test_likeness_follows_the_words_in_common(spark):
 
 def test_order_over_many_runs(spark, docs, monkeypatch):
     monkeypatch.setattr(fingerprint, "RUN", 3)
-    got = fingerprint.with_next(docs)
+    got, _ = fingerprint.with_next(docs)
     order = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = [(r.doc_id, r.text or "") for r in order.collect()]
     expected = Counter((d, t, texts[(i + 1) % len(texts)][1]) for i, (d, t) in enumerate(texts))
