@@ -99,7 +99,7 @@ def _cell(key: Column, table: Column, bits: Column, salt: int) -> Column:
 
     A table has 2 to the power of ``bits`` cells.
     """
-    size = F.call_function("shiftleft", F.lit(1), bits)
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
     place = F.hash(key, table + 3 * salt).bitwiseAND(size - 1)
     return F.shiftleft((bits * 4 + table).cast("bigint"), 32) + place
 
@@ -128,7 +128,7 @@ def peeled(pairs: DataFrame, by: Sequence[str], left: str, right: str, salt: int
     rows = rows.select(*by, "bits", "n", "key", F.explode(F.array(*map(F.lit, range(3)))).alias("table"))
     n, key, table = F.col("n"), F.col("word").bitwiseAND(F.lit(KEY)), F.col("table")
     cells = _folded(rows.select(*by, _cell(F.col("key"), table, F.col("bits"), salt).alias("cell"), "n", _word(F.col("key")).alias("word")), by)
-    bits = F.shiftright("cell", 34).cast("int")
+    bits = F.shiftright("cell", 34).bitwiseAND(F.lit(31)).cast("int")
     keep, give = -1, -2
     for r in range(ROUNDS):
         number = r % 3
