@@ -56,8 +56,11 @@ KEY = (1 << 48) - 1
 
 
 def _word(key: Column) -> Column:
-    """A digest and its check, 16 bits of a second hash, in one number."""
-    return key.bitwiseOR(F.shiftleft(F.hash(key, F.lit(7)).cast("bigint"), 48))
+    """A digest and its check, 16 bits of a second hash, in one number.
+
+    The hashes of digests have 64 bits, in which no two digests are equal for every table.
+    """
+    return key.bitwiseOR(F.shiftleft(F.xxhash64(key, F.lit(7)), 48))
 
 
 # --- how far two sets differ, before their sketches are sized
@@ -100,7 +103,7 @@ def _cell(key: Column, table: Column, bits: Column, salt: int) -> Column:
     A table has 2 to the power of ``bits`` cells.
     """
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
-    place = F.hash(key, table + 3 * salt).bitwiseAND(size - 1)
+    place = F.xxhash64(key, table + 3 * salt).bitwiseAND(size - 1)
     return F.shiftleft((bits * 4 + table).cast("bigint"), 32) + place
 
 

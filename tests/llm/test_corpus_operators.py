@@ -250,6 +250,15 @@ def test_recovered_digests_are_the_set_difference(spark):
     assert {r.i: r.changes for r in counted} == {i: r.changes for i, r in got.items()}
 
 
+def test_digests_that_share_a_short_hash(spark):
+    """Two digests with one 32-bit hash must still part company in some table."""
+    numbers = spark.range(200_000).select(F.xxhash64("id").bitwiseAND(F.lit(fingerprint.KEY)).alias("k"))
+    twins = numbers.groupBy(F.hash("k")).agg(F.collect_list("k").alias("k")).filter("size(k) > 1").limit(5).collect()
+    assert twins
+    got = fingerprint.differences(pairs_of_arrays(spark, *[(r.k, []) for r in twins]), ["i"], "left", "right").collect()
+    assert sorted(r.left_only for r in got) == sorted(sorted(r.k) for r in twins)
+
+
 def test_larger_sketches_when_one_is_too_small(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "estimated", lambda left, right, most: F.lit(1.0))
     rng = random.Random(4)
