@@ -7,11 +7,27 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jabcheck.llm import bpe, exact, fingerprint, language, linededup, neardup, packing, quality, substrings, warc
+from jabcheck.llm import (
+    alignment,
+    bpe,
+    exact,
+    fingerprint,
+    language,
+    linededup,
+    mixing,
+    neardup,
+    negatives,
+    packing,
+    quality,
+    substrings,
+    warc,
+)
 from jabcheck.llm.common import table
 
 #: The tokenizer file; the variable names another place.
 TOKENIZER = "word_bpe_49k.json"
+#: The vocabularies that are aligned.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -72,6 +88,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -83,6 +114,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lines": op9_lines,
     "op10_fingerprint": op10_fingerprint,
+    "op11_alignment": op11_alignment,
+    "op12_mixing": op12_mixing,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE = {
@@ -119,4 +153,24 @@ ORACLE = {
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
           CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
         FROM documents LEFT JOIN r USING (doc_id)""",
+    "op13_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+            CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+          SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+            CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+          FROM p JOIN s USING (anchor_id)
+          WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
