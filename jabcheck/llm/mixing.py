@@ -181,12 +181,13 @@ def mixture(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataF
         "number",
         shuffled(F.col("j") % F.col("blocks"), "blocks", F.xxhash64(F.lit(seed), "number", turn)).alias("block"),
     )
+    slots = staged(slots)  # its size is known then, so it is broadcast only where it is small
     begin, end = F.col("start"), F.col("start") + F.col("size")
     last = F.floor((end - 1) / BLOCK)
     pieces = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(begin / BLOCK), last)))
     low, high = F.greatest(begin, F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
     pieces = pieces.select("doc_id", "number", "start", "block", (low - begin).alias("first"), (high - low).alias("words"))
-    mix = slots.join(pieces, ["number", "block"])
+    mix = slots.join(staged(pieces), ["number", "block"])
     return mix.select("shard", "slot", "number", "block", "doc_id", "start", "first", "words"), rows, sources
 
 
