@@ -33,11 +33,14 @@ def _parser() -> argparse.ArgumentParser:
     flu.add_argument("--code-column", default="code", help="column of the codes in both")
     report_of_flu = job("report-flu", "extracts", "out")
     job("upset", "counts", "out")
-    job("extract-covid", "records", "out")
+    job("extract-covid", "records", "out").add_argument(
+        "--clustered", action="store_true", help="lay events out by month and patient"
+    )
     report_of_covid = job("report-covid", "extracts", "out")
     report_of_covid.add_argument("--staging", required=True, help="shared folder for intermediate tables")
     report_of_covid.add_argument("--buckets", type=int, help="buckets of the staged tables")
     report_of_covid.add_argument("--inject-faults", action="store_true")
+    report_of_covid.add_argument("--as-set", action="store_true", help="publish single files, all or none")
     report_of_covid.add_argument("--seed", type=int, default=0, help="of the injected faults")
     for report in (report_of_flu, report_of_covid):
         report.add_argument("--threshold", type=int, help="disclosure rounding precision, 0 for none")
@@ -71,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "upset":
         upset_data(spark, args.counts, args.out)
     elif args.job == "extract-covid":
-        extract_covid(spark, args.records, args.out)
+        extract_covid(spark, args.records, args.out, clustered=args.clustered)
     else:
         report_covid(
             spark,
@@ -82,6 +85,7 @@ def main(argv: list[str] | None = None) -> None:
             buckets=args.buckets,
             inject_faults=args.inject_faults,
             seed=args.seed,
+            as_set=args.as_set,
         )
 
 

@@ -6,6 +6,7 @@ Runs on the raw tables. Each query is a list of named views followed by a SELECT
 from __future__ import annotations
 
 from jabcheck.checks import standin
+from jabcheck.checks.queries import CLUSTERED_CAMPAIGN
 from jabcheck.functions.draws import HIGH_MULTIPLIER, MODULUS, MULTIPLIER, SALT_STEP
 from jabcheck.functions.labels import INTERVAL_BINS
 from jabcheck.operators.perturb import (
@@ -18,6 +19,7 @@ from jabcheck.operators.perturb import (
     OPEN_BIN_LAST_DAY,
     SALTS,
 )
+from jabcheck.sources.layout import campaign_days
 from jabcheck.study import Study
 
 COVID, FLU = standin.covid_study(), standin.flu_study()
@@ -652,4 +654,22 @@ FROM (SELECT *, CASE WHEN denom = 0 THEN 'NaN'::DOUBLE ELSE 100 * n::DOUBLE / de
     }
 
 
-ORACLE: dict[str, str] = _records() | _tables() | _sources() | _injection()
+def _kept() -> dict[str, str]:
+    """Tables by deltas and by bitmaps must equal those counted at once; one campaign, those days."""
+    tables = _tables()
+    first, last = campaign_days(COVID, CLUSTERED_CAMPAIGN)
+    return {
+        "upkeep_campaign_flags": tables["table2_campaign_flags"],
+        "upkeep_interval_context": tables["table4_interval_context"],
+        "bitmap_overall_flags": tables["table1_overall_flags"],
+        "bitmap_campaign_flags": tables["table2_campaign_flags"],
+        "bitmap_product_flags": tables["table3_product_flags"],
+        "clustered_extract": _sql(
+            f"""SELECT patient_id, vax_date, raw AS vax_product FROM vax
+WHERE vax_date BETWEEN {_date(first)} AND {_date(last)}""",
+            VAX,
+        ),
+    }
+
+
+ORACLE: dict[str, str] = _records() | _tables() | _sources() | _injection() | _kept()

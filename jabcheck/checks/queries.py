@@ -11,11 +11,24 @@ from jabcheck.checks import standin
 from jabcheck.functions.dates import age_on
 from jabcheck.functions.labels import SOURCES
 from jabcheck.functions.rounding import round_midpoint
-from jabcheck.operators import clean, crosssource, extract, flags, intervals, perturb, registration, summaries, upset
+from jabcheck.operators import (
+    clean,
+    crosssource,
+    distincts,
+    extract,
+    flags,
+    intervals,
+    perturb,
+    registration,
+    summaries,
+    upkeep,
+    upset,
+)
 from jabcheck.operators.counts import fold_rows, unroll_rows
 from jabcheck.operators.staging import session_staging
 from jabcheck.plans import design
 from jabcheck.plans.covid import flagged_with_active, report_tables
+from jabcheck.sources.layout import read_campaign, write_clustered
 from jabcheck.sources.readers import read_codelist, read_source_counts
 from jabcheck.sources.writers import write_csv
 from jabcheck.study import Study
@@ -23,6 +36,8 @@ from jabcheck.study import Study
 Query = Callable[[SparkSession, str], DataFrame]
 COVID, FLU = standin.covid_study(), standin.flu_study()
 KEY = ["l_orderkey", "l_linenumber"]
+#: The campaign that is read from the clustered extract, by rank.
+CLUSTERED_CAMPAIGN = 6
 
 
 def _with_campaign(rows: DataFrame, study: Study, *columns: str) -> DataFrame:
@@ -344,6 +359,49 @@ def report_upset_counts(spark, sf_dir):
     return crosssource.upset_table(crosssource.round_counts(people, FLU), FLU)
 
 
+def clustered_extract(spark, sf_dir):
+    """Events written by month and patient, and those of one campaign read back."""
+    path = session_staging(spark).new_path()
+    write_clustered(standin.vax(spark, sf_dir).select("patient_id", "vax_date", "vax_product"), path)
+    return read_campaign(spark, path, "patient_id BIGINT, vax_date DATE, vax_product STRING", COVID, CLUSTERED_CAMPAIGN)
+
+
+def _kept_up(spark, sf_dir) -> upkeep.State:
+    """Records of even orders as a first extract, those of odd ones as its delta."""
+    stage, registrations = session_staging(spark), standin.registrations(spark, sf_dir)
+    events = extract.with_death(standin.vax(spark, sf_dir), standin.deaths(spark, sf_dir))
+    even = F.col("l_orderkey") % 2 == 0
+    state = upkeep.first_state(events.where(even), registrations, COVID, stage)
+    return upkeep.with_delta(state, events.where(~even), registrations, COVID, stage)
+
+
+def upkeep_campaign_flags(spark, sf_dir):
+    return summaries.campaign_flags(_kept_up(spark, sf_dir).days, COVID)
+
+
+def upkeep_interval_context(spark, sf_dir):
+    return summaries.interval_contexts(_kept_up(spark, sf_dir).gaps, COVID)
+
+
+def _bitmaps(spark, sf_dir) -> DataFrame:
+    stage = session_staging(spark)
+    days = extract.with_death(flags.day_products(standin.vax(spark, sf_dir), COVID), standin.deaths(spark, sf_dir))
+    flagged = flags.flag_days(registration.add_active(days, standin.registrations(spark, sf_dir)), COVID)
+    return stage.store(distincts.flag_bitmaps(stage.by_patient(flagged), stage))
+
+
+def bitmap_overall_flags(spark, sf_dir):
+    return distincts.overall_flags(_bitmaps(spark, sf_dir))
+
+
+def bitmap_campaign_flags(spark, sf_dir):
+    return distincts.campaign_flags(_bitmaps(spark, sf_dir), COVID)
+
+
+def bitmap_product_flags(spark, sf_dir):
+    return distincts.product_flags(_bitmaps(spark, sf_dir), COVID)
+
+
 def files_round_trip(spark, sf_dir):
     """A codelist and the released counts, written as files, read back and joined with records."""
     folder = session_staging(spark).new_path()
@@ -448,6 +506,12 @@ QUERIES: dict[str, Query] = {
         upset_counts,
         report_upset_counts,
         files_round_trip,
+        clustered_extract,
+        upkeep_campaign_flags,
+        upkeep_interval_context,
+        bitmap_overall_flags,
+        bitmap_campaign_flags,
+        bitmap_product_flags,
         upset_intersections,
         upset_set_sizes,
         upset_uncount,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,18 @@ from jabcheck.operators.perturb import perturb, with_row_key
 from jabcheck.operators.registration import add_active
 from jabcheck.operators.staging import Staging, staging
 from jabcheck.sources import schemas
+from jabcheck.sources.layout import write_clustered
+from jabcheck.sources.publish import publish
 from jabcheck.sources.readers import read_table
 from jabcheck.sources.writers import write_csv, write_extract
 from jabcheck.study import COVID_DISEASE, Study
 
 
-def extract_covid(spark: SparkSession, records: str, out: str) -> None:
-    """Read health-record tables under ``records``; write the event and registration tables."""
+def extract_covid(spark: SparkSession, records: str, out: str, *, clustered: bool = False) -> None:
+    """Read health-record tables under ``records``; write the event and registration tables.
+
+    With ``clustered`` events are laid out by month and patient.
+    """
     patients = read_table(spark, f"{records}/patients", schemas.PATIENTS)
     deaths = read_table(spark, f"{records}/ons_deaths", schemas.DEATHS)
     periods = read_table(spark, f"{records}/practice_registrations", schemas.PRACTICE_REGISTRATIONS)
@@ -25,7 +32,8 @@ def extract_covid(spark: SparkSession, records: str, out: str) -> None:
         read_table(spark, f"{records}/vaccinations", schemas.VACCINATIONS), COVID_DISEASE
     )
     members = extract.population([vaccinations], patients)
-    write_extract(extract.covid_events(vaccinations, patients, deaths), f"{out}/vaccinations")
+    write = write_clustered if clustered else write_extract
+    write(extract.covid_events(vaccinations, patients, deaths), f"{out}/vaccinations")
     write_extract(extract.covid_registrations(periods, members), f"{out}/registrations")
 
 
@@ -61,9 +69,13 @@ def report_covid(
     buckets: int | None = None,
     inject_faults: bool = False,
     seed: int = 0,
+    as_set: bool = False,
 ) -> None:
     """Write every summary table, each as counted and disclosure-rounded.
 
+    With ``as_set`` they are published as one set of single files: ``out``, which then holds
+    nothing else, keeps the old set until the last table is there.
+
     Events are folded to flagged patient-days once and stored by patient; the six tables
     then read that without a shuffle by patient. Intermediate tables live in a fresh folder
     below ``staging_folder`` that is deleted at the end.
@@ -75,9 +87,19 @@ def report_covid(
             events = perturb(stage.store(with_row_key(events)), study, stage, seed)
         flagged = stage.by_patient(flagged_with_active(events, registrations, study))
         if not flagged.where(F.col("product_rank") == study.unmapped_rank).isEmpty():
-            require_mapped(events, study, f"{out}/unmapped_products.csv")
-        for name, table in report_tables(flagged, study, stage).items():
-            table.cache()
-            write_csv(table, f"{out}/{name}_unrounded.csv")
-            write_csv(summaries.rounded(table, study.threshold), f"{out}/{name}.csv")
-            table.unpersist()
+            require_mapped(events, study, f"{out}.unmapped_products.csv" if as_set else f"{out}/unmapped_products.csv")
+        tables = _with_rounded(report_tables(flagged, study, stage), study)
+        if as_set:
+            publish(spark, tables, out)
+        else:
+            for name, table in tables:
+                write_csv(table, f"{out}/{name}.csv")
+
+
+def _with_rounded(tables: dict[str, DataFrame], study: Study) -> Iterator[tuple[str, DataFrame]]:
+    """Each table as counted and rounded; it is held while both are written."""
+    for name, table in tables.items():
+        table.cache()
+        yield f"{name}_unrounded", table
+        yield name, summaries.rounded(table, study.threshold)
+        table.unpersist()

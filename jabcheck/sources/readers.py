@@ -33,7 +33,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     ]
     if wrong:
         raise SchemaError(f"{path} lacks columns: {', '.join(wrong)}")
-    return spark.read.schema(wanted).parquet(path)
+    return spark.read.schema(wanted).parquet(path).select(*[f"`{c}`" for c in wanted.names])
 
 
 def _read_named(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
