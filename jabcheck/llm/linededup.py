@@ -57,22 +57,18 @@ def dedup_lines(
     met = lines.alias("l").join(
         common.alias("c"), (F.col("l.key") == F.col("c.key")) & F.col("l.host").eqNullSafe(F.col("c.host"))
     )
-    drop = met.groupBy("l.id", "l.host").agg(F.collect_set("l.key").alias("drop"))
-    joined = docs.join(
-        drop.select(F.col("id").alias("_id"), F.col("host").alias("_host"), "drop"),
-        docs["doc_id"].eqNullSafe(F.col("_id")) & docs[host].eqNullSafe(F.col("_host")),
-        "left",
-    )
+    drop = met.groupBy(F.col("l.id").alias("id"), F.col("l.host").alias("host")).agg(F.collect_set("l.key").alias("drop"))
+    joined = docs.join(drop, docs["doc_id"].eqNullSafe(drop["id"]) & docs[host].eqNullSafe(drop["host"]), "left")
     split = F.split(docs["text"], "\n")
     keep = F.filter(
-        split, lambda x: ~F.array_contains(F.col("drop"), _key(x))
+        split, lambda x: ~F.array_contains(drop["drop"], _key(x))
     )
-    kept = F.when(F.col("drop").isNull(), split).otherwise(keep)
+    kept = F.when(drop["drop"].isNull(), split).otherwise(keep)
     return joined.select(
         *[
-            F.when(F.col("drop").isNull(), docs["text"]).otherwise(F.array_join(keep, "\n")).alias("text")
+            F.when(drop["drop"].isNull(), docs["text"]).otherwise(F.array_join(keep, "\n")).alias("text")
             if c == "text"
-            else docs[c]
+            else docs[f"`{c}`"]
             for c in docs.columns
         ],
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),

@@ -38,7 +38,7 @@ def docs(spark, rows):
     from pyspark.sql import functions as F
 
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    clash = ("id", "key", "row", "d", "k", "raw", "run", "size", "full", "norm", "n", "x", "learn", "copies", "host", "count")
+    clash = ("id", "key", "row", "d", "k", "raw", "run", "size", "full", "norm", "n", "x", "learn", "copies", "host", "count", "drop", "_id", "_host", "page", "pages")
     return frame.withColumns({c: F.lit(c) for c in clash})
 
 
