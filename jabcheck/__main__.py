@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from jabcheck.plans.covid import extract_covid, report_covid
 from jabcheck.plans.design import publish_design
 from jabcheck.plans.flu import extract_flu, report_flu, upset_data
+from jabcheck.sources.extracts import FORMATS, PARQUET
 from jabcheck.sources.readers import read_study_dates
 from jabcheck.study import covid_study, flu_study
 
@@ -33,15 +34,16 @@ def _parser() -> argparse.ArgumentParser:
     flu.add_argument("--code-column", default="code", help="column of the codes in both")
     report_of_flu = job("report-flu", "extracts", "out")
     job("upset", "counts", "out")
-    job("extract-covid", "records", "out").add_argument(
-        "--clustered", action="store_true", help="lay events out by month and patient"
-    )
+    covid = job("extract-covid", "records", "out")
+    covid.add_argument("--clustered", action="store_true", help="lay events out by month and patient")
     report_of_covid = job("report-covid", "extracts", "out")
     report_of_covid.add_argument("--staging", required=True, help="shared folder for intermediate tables")
     report_of_covid.add_argument("--buckets", type=int, help="buckets of the staged tables")
     report_of_covid.add_argument("--inject-faults", action="store_true")
     report_of_covid.add_argument("--as-set", action="store_true", help="publish single files, all or none")
     report_of_covid.add_argument("--seed", type=int, default=0, help="of the injected faults")
+    for command in (flu, report_of_flu, covid, report_of_covid):
+        command.add_argument("--format", default=PARQUET, choices=FORMATS, help="of the extracts")
     for report in (report_of_flu, report_of_covid):
         report.add_argument("--threshold", type=int, help="disclosure rounding precision, 0 for none")
     return parser
@@ -68,13 +70,14 @@ def main(argv: list[str] | None = None) -> None:
             snomed_codelist=args.snomed_codelist,
             drug_codelist=args.drug_codelist,
             code_column=args.code_column,
+            file_format=args.format,
         )
     elif args.job == "report-flu":
-        report_flu(spark, args.extracts, args.out, flu)
+        report_flu(spark, args.extracts, args.out, flu, file_format=args.format)
     elif args.job == "upset":
         upset_data(spark, args.counts, args.out)
     elif args.job == "extract-covid":
-        extract_covid(spark, args.records, args.out, clustered=args.clustered)
+        extract_covid(spark, args.records, args.out, clustered=args.clustered, file_format=args.format)
     else:
         report_covid(
             spark,
@@ -86,6 +89,7 @@ def main(argv: list[str] | None = None) -> None:
             inject_faults=args.inject_faults,
             seed=args.seed,
             as_set=args.as_set,
+            file_format=args.format,
         )
 
 

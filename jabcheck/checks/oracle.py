@@ -6,7 +6,7 @@ Runs on the raw tables. Each query is a list of named views followed by a SELECT
 from __future__ import annotations
 
 from jabcheck.checks import standin
-from jabcheck.checks.queries import CLUSTERED_CAMPAIGN
+from jabcheck.checks.queries import AGREE_WITHIN, CLUSTERED_CAMPAIGN, FOUR_SOURCES
 from jabcheck.functions.draws import HIGH_MULTIPLIER, MODULUS, MULTIPLIER, SALT_STEP
 from jabcheck.functions.labels import INTERVAL_BINS
 from jabcheck.operators.perturb import (
@@ -672,4 +672,70 @@ WHERE vax_date BETWEEN {_date(first)} AND {_date(last)}""",
     }
 
 
-ORACLE: dict[str, str] = _records() | _tables() | _sources() | _injection() | _kept()
+def _source_sets() -> dict[str, str]:
+    """Four sources: every set by testing each person, every pair by pairing up dates."""
+    bits = ", ".join(f"({_text(name)}, {1 << bit})" for bit, name in enumerate(FOUR_SOURCES))
+    names = ", ".join(f"CASE WHEN s & {1 << bit} > 0 THEN {_text(name)} END" for bit, name in enumerate(FOUR_SOURCES))
+    records = f"""four AS (
+  SELECT o_custkey AS patient_id, o_orderdate::DATE AS vax_date, 'table' AS source FROM orders
+  UNION ALL
+  SELECT o_custkey, l_shipdate::DATE, CASE l_returnflag WHEN 'A' THEN 'drug' WHEN 'N' THEN 'pharmacy' ELSE 'snomed' END
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'N', 'R'))"""
+    labelled = f"four_c AS (SELECT four.*, campaign FROM four {_on_campaign('vax_date', 'fc')})"
+    people = f"""people AS (
+  SELECT patient_id, campaign, bit_or(bit) AS sources
+  FROM four_c JOIN (VALUES {bits}) b(source, bit) USING (source) GROUP BY patient_id, campaign)"""
+    exact = f"exact AS (SELECT campaign, sources, {_midpoint('count(*)', 10)} AS n FROM people GROUP BY campaign, sources)"
+    sets = f"""SELECT campaign, CASE WHEN s = 0 THEN 'any' ELSE concat_ws(' + ', {names}) END AS source_set,
+  bit_count(s)::INT AS n_sources, coalesce(sum(n) FILTER (WHERE sources = s), 0)::BIGINT AS n_exclusive,
+  sum(n) FILTER (WHERE sources & s = s)::BIGINT AS n_inclusive, sum(n)::BIGINT AS n_people
+FROM exact CROSS JOIN (SELECT unnest(range({1 << len(FOUR_SOURCES)}))::BIGINT AS s)
+GROUP BY campaign, s HAVING count(*) FILTER (WHERE sources & s = s) > 0"""
+    closest = """closest AS (
+  SELECT a.patient_id, a.campaign, a.source AS first_source, b.source AS second_source,
+    min(abs(a.vax_date - b.vax_date)) AS days
+  FROM four_c a JOIN four_c b ON a.patient_id = b.patient_id AND a.campaign IS NOT DISTINCT FROM b.campaign
+  GROUP BY ALL)"""
+    pairs = ", ".join(
+        f"({_text(a)}, {_text(b)})" for i, a in enumerate(FOUR_SOURCES) for b in FOUR_SOURCES[i + 1 :]
+    )
+    within = ", ".join(f"({days})" for days in AGREE_WITHIN)
+    agreed = f"""SELECT c.campaign, p.first_source, p.second_source, w.within_days::INT AS within_days,
+  {_midpoint("count(*) FILTER (WHERE x.days <= w.within_days)", 10)} AS n, {_midpoint("count(x.days)", 10)} AS denom
+FROM (SELECT DISTINCT campaign FROM four_c) c CROSS JOIN (VALUES {pairs}) p(first_source, second_source)
+CROSS JOIN (VALUES {within}) w(within_days)
+LEFT JOIN closest x ON x.campaign IS NOT DISTINCT FROM c.campaign AND x.first_source = p.first_source
+  AND x.second_source = p.second_source
+GROUP BY c.campaign, p.first_source, p.second_source, w.within_days"""
+    return {
+        "source_set_intersections": _sql(sets, FC, records, labelled, people, exact),
+        "source_pair_agreement": _sql(agreed, FC, records, labelled, closest),
+    }
+
+
+def _in_sql() -> dict[str, str]:
+    """What the study's SQL functions must give, without them."""
+    first, last = campaign_days(COVID, CLUSTERED_CAMPAIGN)
+    age = _age("born", "vax_date")
+    return {
+        "arrow_extract": _sql(
+            f"SELECT patient_id, vax_date FROM vax WHERE vax_date BETWEEN {_date(first)} AND {_date(last)}", VAX
+        ),
+        "sql_dose_intervals": _sql(
+            "SELECT patient_id, prev_date, vax_date, interval_bin, interval_context FROM gaps", *_GAPS
+        ),
+        "sql_campaign_ages": _sql(
+            f"""SELECT campaign_rank, campaign, from_day AS first_day, (to_day - 1)::DATE AS last_day,
+  ({age}) // 10 AS decade, {_midpoint("count(*)", 10)} AS n
+FROM vax JOIN persons USING (patient_id) {_on_campaign("vax_date")}
+WHERE campaign LIKE 'Autumn%' OR campaign LIKE 'Spring%' GROUP BY ALL""",
+            CC,
+            PERSONS,
+            VAX,
+        ),
+    }
+
+
+ORACLE: dict[str, str] = (
+    _records() | _tables() | _sources() | _injection() | _kept() | _source_sets() | _in_sql()
+)

@@ -11,6 +11,7 @@ from jabcheck.checks import standin
 from jabcheck.functions.dates import age_on
 from jabcheck.functions.labels import SOURCES
 from jabcheck.functions.rounding import round_midpoint
+from jabcheck.functions.sqlfunctions import register_functions
 from jabcheck.operators import (
     clean,
     crosssource,
@@ -20,6 +21,7 @@ from jabcheck.operators import (
     intervals,
     perturb,
     registration,
+    sourcesets,
     summaries,
     upkeep,
     upset,
@@ -28,7 +30,8 @@ from jabcheck.operators.counts import fold_rows, unroll_rows
 from jabcheck.operators.staging import session_staging
 from jabcheck.plans import design
 from jabcheck.plans.covid import flagged_with_active, report_tables
-from jabcheck.sources.layout import read_campaign, write_clustered
+from jabcheck.sources.arrowfiles import read_arrow, write_arrow
+from jabcheck.sources.layout import campaign_days, read_campaign, write_clustered
 from jabcheck.sources.readers import read_codelist, read_source_counts
 from jabcheck.sources.writers import write_csv
 from jabcheck.study import Study
@@ -36,6 +39,8 @@ from jabcheck.study import Study
 Query = Callable[[SparkSession, str], DataFrame]
 COVID, FLU = standin.covid_study(), standin.flu_study()
 KEY = ["l_orderkey", "l_linenumber"]
+#: Four record sources, and the days within which two of them agree.
+FOUR_SOURCES, AGREE_WITHIN = ("table", "drug", "pharmacy", "snomed"), (0, 7)
 #: The campaign that is read from the clustered extract, by rank.
 CLUSTERED_CAMPAIGN = 6
 
@@ -402,6 +407,56 @@ def bitmap_product_flags(spark, sf_dir):
     return distincts.product_flags(_bitmaps(spark, sf_dir), COVID)
 
 
+def arrow_extract(spark, sf_dir):
+    """Events written as Arrow files, and patients and days of one campaign read back."""
+    path = session_staging(spark).new_path()
+    write_arrow(standin.vax(spark, sf_dir), path, batch_rows="4096")
+    first, last = campaign_days(COVID, CLUSTERED_CAMPAIGN)
+    events = read_arrow(spark, path, "patient_id BIGINT, vax_date DATE", split_bytes="1000000")
+    return events.where((F.col("vax_date") >= F.lit(first)) & (F.col("vax_date") <= F.lit(last)))
+
+
+def sql_dose_intervals(spark, sf_dir):
+    """Dose intervals in plain SQL with the study's functions."""
+    register_functions(spark, COVID)
+    return spark.sql(
+        """WITH days AS (
+  SELECT patient_id, vax_date, campaign_on(vax_date) AS campaign FROM {vax} WHERE vax_date >= :first
+  GROUP BY patient_id, vax_date HAVING count(*) = 1),
+gaps AS (
+  SELECT *, lag(vax_date) OVER by_day AS prev_date, lag(campaign) OVER by_day AS prev_campaign
+  FROM days WINDOW by_day AS (PARTITION BY patient_id ORDER BY vax_date))
+SELECT patient_id, prev_date, vax_date, interval_bin(datediff(vax_date, prev_date)) AS interval_bin,
+  interval_context(campaign_stage(prev_campaign), campaign_stage(campaign), prev_campaign = campaign) AS interval_context
+FROM gaps WHERE prev_date IS NOT NULL""",
+        args={"first": COVID.campaign_starts[1]},
+        vax=standin.vax(spark, sf_dir),
+    )
+
+
+def sql_campaign_ages(spark, sf_dir):
+    """Records of booster campaigns by decade of age, rounded, in plain SQL with the study's functions."""
+    register_functions(spark, COVID)
+    return spark.sql(
+        """WITH days AS (SELECT patient_id, vax_date, count(*) AS n FROM {vax} GROUP BY patient_id, vax_date),
+ages AS (
+  SELECT campaign_on(vax_date) AS campaign, age_on(date_of_birth, vax_date) DIV 10 AS decade, sum(n) AS n
+  FROM days JOIN {patients} USING (patient_id) GROUP BY ALL)
+SELECT campaign_rank, campaign, first_day, last_day, decade, roundmid_any(n, 10) AS n
+FROM campaign_calendar('booster') JOIN ages USING (campaign)""",
+        vax=standin.vax(spark, sf_dir),
+        patients=standin.patients(spark, sf_dir),
+    )
+
+
+def source_set_intersections(spark, sf_dir):
+    return sourcesets.intersection_table(standin.four_source_records(spark, sf_dir), FOUR_SOURCES, FLU)
+
+
+def source_pair_agreement(spark, sf_dir):
+    return sourcesets.pair_agreement(standin.four_source_records(spark, sf_dir), FOUR_SOURCES, FLU, AGREE_WITHIN)
+
+
 def files_round_trip(spark, sf_dir):
     """A codelist and the released counts, written as files, read back and joined with records."""
     folder = session_staging(spark).new_path()
@@ -507,6 +562,11 @@ QUERIES: dict[str, Query] = {
         report_upset_counts,
         files_round_trip,
         clustered_extract,
+        arrow_extract,
+        sql_dose_intervals,
+        sql_campaign_ages,
+        source_set_intersections,
+        source_pair_agreement,
         upkeep_campaign_flags,
         upkeep_interval_context,
         bitmap_overall_flags,

@@ -186,11 +186,24 @@ def flu_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def flu_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all three sources: patient_id, vax_date, source."""
-    named = [
-        frame.select("patient_id", F.col("date").alias("vax_date"), F.lit(name).alias("source"))
-        for name, frame in flu_sources(spark, sf_dir).items()
-    ]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return _orders_and_lines(spark, sf_dir, {"A": "drug", "N": "drug", "R": "snomed"})
+
+
+def four_source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of four sources: orders, and lines by each of their flags."""
+    return _orders_and_lines(spark, sf_dir, {"A": "drug", "N": "pharmacy", "R": "snomed"})
+
+
+def _orders_and_lines(spark: SparkSession, sf_dir: str, source_of: dict[str, str]) -> DataFrame:
+    """Orders as source ``table`` and lines tagged by flag, joined with their orders once."""
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("vax_date"), F.lit("table").alias("source")
+    )
+    cases = " ".join(f"WHEN '{flag}' THEN '{name}'" for flag, name in source_of.items())
+    lines = _lines(spark, sf_dir).where(F.col("l_returnflag").isin(*source_of)).select(
+        "patient_id", F.col("l_shipdate").cast("date").alias("vax_date"), F.expr(f"CASE l_returnflag {cases} END AS source")
+    )
+    return orders.unionByName(lines)
 
 
 def keyed_vax(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def campaign_rank(day: str, starts: Sequence[date]) -> Column:
     date range would become a nested loop.
     """
     latest_first = reversed(list(enumerate(starts, start=1)))
-    branches = " ".join(f"WHEN `{day}` >= {_sql_literal(start)} THEN {n}" for n, start in latest_first)
+    branches = " ".join(f"WHEN `{day}` >= {sql_literal(start)} THEN {n}" for n, start in latest_first)
     return F.expr(f"CASE {branches} END")
 
 
@@ -37,11 +37,11 @@ def by_rank(rank: Column, values: Sequence, type_name: str) -> Column:
     The list is given as one SQL expression; building it element by element would take a
     round trip to the JVM for each.
     """
-    literals = F.expr(f"cast(array({', '.join(_sql_literal(v) for v in values)}) AS array<{type_name}>)")
+    literals = F.expr(f"cast(array({', '.join(sql_literal(v) for v in values)}) AS array<{type_name}>)")
     return F.when(rank.isNotNull(), F.element_at(literals, rank))
 
 
-def _sql_literal(value: str | date | None) -> str:
+def sql_literal(value: str | date | None) -> str:
     if value is None:
         return "NULL"
     if isinstance(value, date):

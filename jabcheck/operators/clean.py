@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jabcheck.functions.dates import by_rank, campaign_rank
@@ -66,6 +66,18 @@ def unmapped_products(events: DataFrame, study: Study) -> DataFrame:
     )
 
 
+def watched(days: DataFrame, study: Study) -> tuple[DataFrame, Observation]:
+    """``days``, and what the job that writes them will have seen: all records and unmapped ones.
+
+    ``days`` are folded by product and carry ``n_records``. Observed right before a write, each
+    partition counts once; its metrics are there when that job has ended.
+    """
+    seen = Observation()
+    unknown = F.when(F.col("product_rank") == study.unmapped_rank, F.col("n_records"))
+    records = F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records")
+    return days.observe(seen, records, F.coalesce(F.sum(unknown), F.lit(0)).alias("n_unmapped")), seen
+
+
 def require_mapped(events: DataFrame, study: Study, path: str) -> None:
     """Stop if there are unknown names; all of them are written to ``path``, a CSV."""
     unknown = unmapped_products(events, study).cache()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,16 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 _SESSIONS: dict[tuple[str, str], Staging] = {}
 
 
+def _warehouse(spark: SparkSession) -> str:
+    """The warehouse, unless it is a folder that executors on other machines cannot see."""
+    folder, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    local = path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).getScheme() == "file"
+    if local and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(
+            f"{folder} is a folder of this machine, the executors of {master} need a shared one: "
+            "name it as the staging folder or in spark.checkpoint.dir"
+        )
+    return folder
+
+
 class Staging:
     """A fresh folder for the intermediate tables of one job; ``remove`` deletes it.
 
     ``folder`` defaults to the one that ``spark.checkpoint.dir`` names, or else to the
     warehouse, where Spark keeps tables. It must be shared: a folder of one machine would
-    lose tables with an executor.
+    lose tables with an executor. A folder that is named is trusted to be shared (a mount has
+    a local path too); a local warehouse raises if executors run on other machines.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> None:
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or _warehouse(spark)
         self.spark = spark
         self.path = f"{folder.rstrip('/')}/jabcheck-{uuid.uuid4().hex}"
         self.buckets = buckets

@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jabcheck.operators import extract, flags, intervals, summaries
-from jabcheck.operators.clean import require_mapped
+from jabcheck.operators.clean import require_mapped, watched
 from jabcheck.operators.perturb import perturb, with_row_key
 from jabcheck.operators.registration import add_active
 from jabcheck.operators.staging import Staging, staging
 from jabcheck.sources import schemas
+from jabcheck.sources.extracts import PARQUET, read_extract, write_extract
 from jabcheck.sources.layout import write_clustered
 from jabcheck.sources.publish import publish
 from jabcheck.sources.readers import read_table
-from jabcheck.sources.writers import write_csv, write_extract
+from jabcheck.sources.writers import write_csv
 from jabcheck.study import COVID_DISEASE, Study
 
 
-def extract_covid(spark: SparkSession, records: str, out: str, *, clustered: bool = False) -> None:
+def extract_covid(
+    spark: SparkSession, records: str, out: str, *, clustered: bool = False, file_format: str = PARQUET
+) -> None:
     """Read health-record tables under ``records``; write the event and registration tables.
 
-    With ``clustered`` events are laid out by month and patient.
+    With ``clustered`` events are laid out by month and patient, as Parquet.
     """
     patients = read_table(spark, f"{records}/patients", schemas.PATIENTS)
     deaths = read_table(spark, f"{records}/ons_deaths", schemas.DEATHS)
@@ -32,9 +35,14 @@ def extract_covid(spark: SparkSession, records: str, out: str, *, clustered: boo
         read_table(spark, f"{records}/vaccinations", schemas.VACCINATIONS), COVID_DISEASE
     )
     members = extract.population([vaccinations], patients)
-    write = write_clustered if clustered else write_extract
-    write(extract.covid_events(vaccinations, patients, deaths), f"{out}/vaccinations")
-    write_extract(extract.covid_registrations(periods, members), f"{out}/registrations")
+    if clustered and file_format != PARQUET:
+        raise ValueError("the clustered layout is for Parquet")
+    events = extract.covid_events(vaccinations, patients, deaths)
+    if clustered:
+        write_clustered(events, f"{out}/vaccinations")
+    else:
+        write_extract(events, out, "vaccinations", file_format)
+    write_extract(extract.covid_registrations(periods, members), out, "registrations", file_format)
 
 
 def report_tables(flagged: DataFrame, study: Study, stage: Staging) -> dict[str, DataFrame]:
@@ -70,6 +78,7 @@ def report_covid(
     inject_faults: bool = False,
     seed: int = 0,
     as_set: bool = False,
+    file_format: str = PARQUET,
 ) -> None:
     """Write every summary table, each as counted and disclosure-rounded.
 
@@ -77,16 +86,18 @@ def report_covid(
     nothing else, keeps the old set until the last table is there.
 
     Events are folded to flagged patient-days once and stored by patient; the six tables
-    then read that without a shuffle by patient. Intermediate tables live in a fresh folder
+    then read that without a shuffle by patient. The same job observes whether all products
+    are known; only if not, the events are read again, to list the names. Intermediate tables live in a fresh folder
     below ``staging_folder`` that is deleted at the end.
     """
-    events = read_table(spark, f"{extracts}/vaccinations", schemas.COVID_EVENTS)
-    registrations = read_table(spark, f"{extracts}/registrations", schemas.COVID_REGISTRATIONS)
+    events = read_extract(spark, extracts, "vaccinations", schemas.COVID_EVENTS, file_format)
+    registrations = read_extract(spark, extracts, "registrations", schemas.COVID_REGISTRATIONS, file_format)
     with staging(spark, staging_folder, buckets) as stage:
         if inject_faults:
             events = perturb(stage.store(with_row_key(events)), study, stage, seed)
-        flagged = stage.by_patient(flagged_with_active(events, registrations, study))
-        if not flagged.where(F.col("product_rank") == study.unmapped_rank).isEmpty():
+        days, seen = watched(flagged_with_active(events, registrations, study), study)
+        flagged = stage.by_patient(days)
+        if seen.get["n_unmapped"]:
             require_mapped(events, study, f"{out}.unmapped_products.csv" if as_set else f"{out}/unmapped_products.csv")
         tables = _with_rounded(report_tables(flagged, study, stage), study)
         if as_set:

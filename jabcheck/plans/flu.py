@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 from jabcheck.operators import crosssource, extract, upset
 from jabcheck.sources import schemas
+from jabcheck.sources.extracts import PARQUET, read_extract, write_extract
 from jabcheck.sources.readers import codes_frame, read_codelist, read_source_counts, read_table
-from jabcheck.sources.writers import write_csv, write_extract
+from jabcheck.sources.writers import write_csv
 from jabcheck.study import FLU_DISEASE, FLU_DMD_CODES, FLU_MIN_AGE, FLU_SNOMED_CODES, Study
 
 
@@ -20,6 +21,7 @@ def extract_flu(
     snomed_codelist: str | None = None,
     drug_codelist: str | None = None,
     code_column: str = "code",
+    file_format: str = PARQUET,
 ) -> None:
     """Write one event table per source: vaccinations, coded events and medications.
 
@@ -40,18 +42,21 @@ def extract_flu(
         ),
     }
     for name, events in sources.items():
-        write_extract(extract.flu_events(events, patients, min_age=FLU_MIN_AGE, on=study.end), f"{out}/{name}")
+        chosen = extract.flu_events(events, patients, min_age=FLU_MIN_AGE, on=study.end)
+        write_extract(chosen, out, name, file_format)
 
 
-def report_flu(spark: SparkSession, extracts: str, out: str, study: Study) -> None:
+def report_flu(
+    spark: SparkSession, extracts: str, out: str, study: Study, *, file_format: str = PARQUET
+) -> None:
     """Write the source combinations, the set-intersection counts and the date agreement.
 
     All three come from one small table of counts, computed once.
     """
     records = crosssource.union_sources(
-        table=read_table(spark, f"{extracts}/flu_vaccinations_table", schemas.FLU_TABLE),
-        drug=read_table(spark, f"{extracts}/flu_vaccinations_drug", schemas.FLU_CODED),
-        snomed=read_table(spark, f"{extracts}/flu_vaccinations_SNOMED", schemas.FLU_CODED),
+        table=read_extract(spark, extracts, "flu_vaccinations_table", schemas.FLU_TABLE, file_format),
+        drug=read_extract(spark, extracts, "flu_vaccinations_drug", schemas.FLU_CODED, file_format),
+        snomed=read_extract(spark, extracts, "flu_vaccinations_SNOMED", schemas.FLU_CODED, file_format),
     )
     people = crosssource.agreement_counts(crosssource.date_agreement(records, study)).cache()
     counts = crosssource.round_counts(people, study)
