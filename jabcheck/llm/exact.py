@@ -18,6 +18,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]", "")
 
 
+def _met_again(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys of more than one row."""
+    return rows.groupBy(*keys).count().filter("count > 1").drop("count")
+
+
 def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept`` and the ``carry`` columns for each row.
 
@@ -27,11 +32,11 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
     share one fate: all of them are ``kept``. NULL texts count as empty, and all empty texts
     are one group. ``carry`` names expressions over the input's own columns to hand on.
 
-    Rows are first grouped by the length of the text and its prefix hash. Only rows whose
-    length and prefix occur again get a full hash (in a second read of the text) and are
-    grouped by it; the rest are alone. Groups are folded and stored before any join, so each
-    join is one of two plain shuffles, of which adaptive execution splits a group that holds a
-    third of all rows.
+    Rows are first grouped by the length of the text. Only those whose length occurs again get
+    a prefix hash, and only those whose length and prefix occur again a full hash, each in a
+    read of the text of its own; a row that drops out at any step is alone. Groups are folded
+    and stored before any join, so each join is one of two plain shuffles, of which adaptive
+    execution splits a group that holds a third of all rows.
     """
     text = docs["text"]
     rows = docs.select(
@@ -39,12 +44,12 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
         F.length(F.coalesce(text, F.lit(""))).alias("n_chars"),
         normalised(text).alias("norm"),
         *[c.alias(f"carry_{n}") for n, c in (carry or {}).items()],
-    ).withColumns({"size": F.length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX))})
-    keys = staged(rows.groupBy("size", "prefix").count())
-    lengths = keys.groupBy("size").agg(F.sum("count").alias("n")).filter("n > 1")
-    again = staged(keys.filter("count > 1").join(lengths, "size", "left_semi").select("size", "prefix", F.lit(True).alias("again")))
+    ).withColumns({"size": F.length("norm"), "start": F.substring("norm", 1, PREFIX)})
+    lengths = staged(_met_again(rows, "size").withColumn("met", F.lit(True)))
+    met = rows.join(lengths, "size", "left").withColumn("prefix", F.when(F.col("met"), F.xxhash64("start")))
+    again = staged(_met_again(met.filter("met"), "size", "prefix").withColumn("again", F.lit(True)))
     read = staged(
-        rows.join(again, ["size", "prefix"], "left").select(
+        met.join(again, ["size", "prefix"], "left").select(
             "doc_id",
             "n_chars",
             F.when(F.col("again"), F.sha2(F.col("norm"), 256)).alias("full"),
