@@ -20,6 +20,8 @@ from jabcheck.llm.common import shared_folder, staged, text_blocks
 
 #: A file is closed after this many bytes of payload.
 FILE_BYTES = 16_000_000
+#: Files that one task reads, about 128 MB of payload.
+FILES_A_TASK = 8
 #: Bytes read at once.
 CHUNK = 65_536
 #: Equal payloads of fewer bytes are stored each time.
@@ -161,7 +163,9 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
 def read(files: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives that ``files.path`` names, verified; a bad one raises.
 
-    A task streams each of its files once, member after member, and holds one record.
+    A task streams each of its files once, member after member, and holds one record. It has
+    at most ``FILES_A_TASK`` files, dealt in turn, so that there are far fewer tasks than files. A
+    revisit has no payload in the archive, so its length and digest are as its record says.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,9 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
         [(k, pa.int64() if k == "payload_bytes" else pa.string()) for k in (x.split()[0] for x in kinds.split(", "))]
         + [("payload", pa.binary())] * payloads
     )
-    each = files.select("path").repartition(max(1, files.count()), "path")
+    number = files.count()
+    few = min(number, files.sparkSession.sparkContext.defaultParallelism)
+    each = files.select("path").repartition(max(1, few, -(-number // FILES_A_TASK)))
     return each.mapInArrow(run, kinds + ", payload binary" * payloads)
 
 
