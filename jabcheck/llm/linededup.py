@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from jabcheck.llm.common import staged
 
 #: A line on more than this share of a site's pages is boilerplate.
-RATIO = 0.02
-#: A line on fewer pages of a site is none, however small the site.
-LEAST_PAGES = 5
+RATIO = 0.05
+#: A line that no other page of the site has is none.
+LEAST_PAGES = 2
 
 
 def dedup_lines(

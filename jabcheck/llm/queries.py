@@ -144,8 +144,8 @@ ORACLE = {
         p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
         c AS (
           SELECT k.source, key FROM k JOIN p USING (source) WHERE key <> ''
-          GROUP BY k.source, key HAVING count(DISTINCT doc_id) >= 5
-            AND count(DISTINCT doc_id) > 0.02 * any_value(pages)),
+          GROUP BY k.source, key HAVING count(DISTINCT doc_id) >= 2
+            AND count(DISTINCT doc_id) > 0.05 * any_value(pages)),
         r AS (
           SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(c.key) AS INTEGER) AS n_dropped,
             string_agg(CASE WHEN c.key IS NULL THEN line END, chr(10) ORDER BY place) AS kept
