@@ -1,4 +1,4 @@
-"""Near duplicates by n-gram Jaccard similarity: a MinHash LSH forest and exact verification."""
+"""Near duplicates by n-gram Jaccard similarity: MinHash bands of one depth and exact verification."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ from jabcheck.llm.graph import components
 #: Words of a shingle, and the similarity from which two texts are near duplicates.
 WORDS = 5
 SIMILARITY = 0.8
-#: Prefix trees of the forest and the longest prefix of each.
+#: Bands, and the most MinHash values of each.
 TREES = 16
 DEEPEST = 8
-#: Share of the links at exactly the threshold that the forest must meet.
+#: Share of the links at exactly the threshold that the bands must meet, by the formula.
 RECALL = 0.99
 #: Texts of a block in verification; a task compares two blocks.
 BLOCK = 256
@@ -31,7 +31,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def depth_for(recall: float, similarity: float, trees: int, deepest: int) -> int:
-    """The longest prefix at which the forest meets ``recall`` of the pairs of ``similarity``.
+    """The longest prefix at which the bands meet ``recall`` of the pairs of ``similarity``.
 
     Prefixes start at full length and are shortened by one hash until the share of pairs
     that agree in some tree is high enough.
@@ -239,8 +239,9 @@ def near_duplicates(
     copies; each text of a repeated id has its own row. Ids are whole numbers; extra columns
     are ignored.
 
-    A MinHash forest finds candidates: texts that agree in the prefix of some tree, at the
-    longest prefix that meets ``recall``. They come as stars around the smallest id of each
+    MinHash bands find candidates: texts that agree in all values of some band. All bands have
+    one depth, the longest that meets ``recall`` by the formula, and not one for each text as in
+    an LSH forest. Candidates come as stars around the smallest id of each
     prefix, and their components are groups in which every two texts are verified exactly, in
     blocks. So a large group is many tasks, and only counts and spanning links leave them.
     """

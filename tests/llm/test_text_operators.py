@@ -82,7 +82,7 @@ def test_lines(docs, rows):
             expected[doc, source, None, 0, 0] += 1
             continue
         lines = text.split("\n")
-        common = [x for x in lines if strip(x) and on[source, strip(x)] >= 5 and on[source, strip(x)] > 0.2 * pages[source]]
+        common = [x for x in lines if strip(x) and on[source, strip(x)] >= 2 and on[source, strip(x)] > 0.2 * pages[source]]
         kept = [x for x in lines if x not in common]
         expected[doc, source, "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
     got = linededup.dedup_lines(docs, ratio=0.2)
@@ -91,6 +91,20 @@ def test_lines(docs, rows):
     assert got.agg(F.sum("n_dropped")).first()[0] > 0
 
 
+@pytest.mark.parametrize("hosts", [1, 2, 10, 40])
+def test_lines_of_hosts_of_any_size(spark, hosts):
+    """A line on a third of the pages goes on every host of more than a few pages, one on 4 % of them never."""
+    pages = 200 // hosts
+    rows = [
+        (h * pages + p, "\n".join([f"only {h} {p}"] + ["menu"] * (p % 3 == 0) + ["now and then"] * (p % 25 == 0)), f"host {h}")
+        for h in range(hosts)
+        for p in range(pages)
+    ]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING"))
+    for r, (doc, text, _) in zip(sorted(got.collect(), key=lambda r: r.doc_id), rows, strict=True):
+        assert r.doc_id == doc and r.text == "\n".join(x for x in text.split("\n") if x != "menu")
+
+
 # --- op 8
 
 
@@ -194,3 +208,22 @@ def test_empty_tables(empty, pages):
     assert linededup.dedup_lines(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert warc.read(warc.archive(pages.limit(0))).count() == 0
+
+
+def test_far_fewer_tasks_than_files(spark, tmp_path):
+    pages = spark.range(300, numPartitions=4).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', int(id % 50)) AS html")
+    files = warc.archive(pages, f"file://{tmp_path}/w", file_bytes=1)
+    assert files.count() > 200
+    read = warc.read(files)
+    parallel = spark.sparkContext.defaultParallelism
+    assert read.rdd.getNumPartitions() <= max(parallel, -(-files.count() // warc.FILES_A_TASK))
+    assert {(r.record_id, r.payload_bytes) for r in read.collect()} == {(f"<urn:page:{i}>", i % 50) for i in range(300)}
+
+
+def test_lengths_then_prefixes_then_whole_texts(spark):
+    """Groups that part at each of the steps: by length, by the start, by the rest."""
+    head = "h" * exact.PREFIX
+    texts = ["a", "bb", "bb", head + "x", head + "y", head + "y", "g" + head[1:] + "y", head + " y", head + "long", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    groups = {(r.doc_id, r.keep_id, r.group_size) for r in exact.exact_groups(docs).collect()}
+    assert groups == {(0, 0, 1), (1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 7, 3), (5, 7, 3), (6, 6, 1), (7, 7, 3), (8, 8, 1), (9, 10, 2), (10, 10, 2)}
