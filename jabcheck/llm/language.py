@@ -14,23 +14,30 @@ from pyspark.taskcontext import TaskContext
 
 from jabcheck.llm.common import learned_from, staged, text_blocks
 
-#: Frequent tokens, in classes of ``WIDTH`` by rank; every other token is in a tail class.
-CLASSES, WIDTH, TAILS = 16, 32, 8
-#: Rows for hashed pairs of previous tokens, and for a previous token within a class.
-PAIRS, WITHIN = 1 << 12, 1 << 12
+#: Each softmax is over 32 parts. The first is over classes: 16 of frequent tokens by rank,
+#: 16 of all others by hash. The next ones are over the words of a class, or its sub-classes.
+BITS = 5
+WIDTH = 1 << BITS
+CLASSES = TAILS = WIDTH // 2
+FREQUENT = CLASSES * WIDTH
+#: Kinds of features: the token before, the one before that (skip), and both.
+KINDS = 3
 #: Tokens whose counts tasks know by themselves, at most; other counts come by a join.
 KNOWN = 1 << 18
-#: Passes of the training: each takes one share of the texts.
-ROUNDS = 2
-RATE = 0.25
+#: Passes of the training, each over all texts to learn from.
+ROUNDS = 1
+#: Share of the first update that is made, and occurrences a feature is thought to have had
+#: before. Later updates take one share in ``KINDS``, with which the likelihood only rises.
+RATE, PRIOR = 0.5, 10.0
 BATCH = 16_384
-#: Weights that are summed at once.
-FAN = 64
+#: Sums that are added up at once, and numbers in a piece of a sum.
+FAN, PIECE = 64, 1 << 18
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: No word is empty, so the empty one is the end of a text.
 END = b""
 _SMOOTH = 0.1
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,11 +60,6 @@ def hashes(distinct: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(distinct, categorize=False).view(np.int64)
 
 
-def tail_of(distinct: np.ndarray) -> np.ndarray:
-    """The tail class of each token, by its last two bytes."""
-    return np.array([(7 * w[-1] + 3 * w[-2:][0]) % TAILS if w else 0 for w in distinct], np.int64)
-
-
 @dataclass
 class Vocabulary:
     """Counts of the most frequent tokens, sorted by hash, and the frequent ones' ranks."""
@@ -67,159 +69,197 @@ class Vocabulary:
     ranks: np.ndarray  # rank among the frequent tokens, or -1
 
     def looked_up(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, count (-1 if not held) and token id of each; ids from CLASSES * WIDTH on are tails."""
+        """Hash, count (-1 if not held) and rank (-1 if not frequent) of each."""
         keys = hashes(distinct)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         if not len(self.keys):
-            return keys, np.full(len(keys), -1), CLASSES * WIDTH + tail_of(distinct)
+            return keys, np.full(len(keys), -1), np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         held = self.keys[at] == keys
-        ranks = np.where(held, self.ranks[at], -1)
-        ids = np.where(ranks >= 0, ranks, CLASSES * WIDTH + tail_of(distinct))
-        return keys, np.where(held, self.counts[at], -1), ids
+        return keys, np.where(held, self.counts[at], -1), np.where(held, self.ranks[at], -1)
 
 
-#: Token ids of the contexts: frequent tokens, tails, and the place before a text.
-_IDS = CLASSES * WIDTH + TAILS + 1
-#: First row of each kind of feature: none, previous, the one before (skip), both (hashed).
-_ROWS = np.cumsum([0, 1, _IDS, _IDS, PAIRS])
-#: The same within a class: none, previous, the one before; both hashed with the class.
-_INNER = np.cumsum([0, CLASSES, WITHIN, WITHIN])
+@dataclass(frozen=True)
+class Shape:
+    """How far tail classes are divided, and how many rows of weights a level has.
 
+    Both grow with the square root of the number of distinct tokens, without a bound.
+    """
 
-@dataclass
-class Model:
-    """Weights by feature row: of the classes, and of the words within a class."""
-
-    outer: np.ndarray
-    inner: np.ndarray
+    depth: int
+    rows: int
 
     @staticmethod
-    def from_counts(frequent: np.ndarray, tails: np.ndarray) -> Model:
-        """Without context the model is the smoothed unigram model."""
-        outer = np.zeros((_ROWS[-1], CLASSES + TAILS), np.float32)
-        inner = np.zeros((_INNER[-1], WIDTH), np.float32)
-        table = frequent.reshape(CLASSES, WIDTH) + 1e-3
-        outer[0] = np.log(np.r_[table.sum(1), tails + 1e-3])
-        inner[:CLASSES] = np.log(table)
-        return Model(outer, inner)
+    def of(kinds: int) -> Shape:
+        root = max(1, kinds) ** 0.5
+        depth, rows = 1, 1 << 12
+        while TAILS << BITS * depth < 4 * root:
+            depth += 1
+        while rows < 16 * root:
+            rows *= 2
+        return Shape(depth, rows)
+
+    @property
+    def cells(self) -> int:
+        return TAILS << BITS * self.depth
+
+    def nodes(self, level: int) -> int:
+        """Softmaxes of a level: one over the classes, one a class, then one a part of a tail class."""
+        return (1, WIDTH)[level] if level < 2 else TAILS << BITS * (level - 1)
+
+    def slots(self, level: int) -> int:
+        """Rows of weights that contexts are hashed to, for each softmax and kind; a power of two."""
+        return max(1, self.rows // self.nodes(level))
+
+    def cell_of(self, keys: np.ndarray) -> np.ndarray:
+        """The last part that a tail token falls in: its class and ``depth`` digits of its hash."""
+        return self._top(keys.view(np.uint64), self.depth)
 
     @staticmethod
-    def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The token before each and the one before that; before a text stands the last id."""
-        before = _IDS - 1
-        one, two = np.r_[before, ids[:-1]], np.r_[before, before, ids[:-2]][: len(ids)]
-        first = np.r_[0, ends[:-1]]
-        one[first] = before
-        two[first] = before
-        second = first + 1
-        second = second[second < np.minimum(ends, len(ids))]
-        two[second] = before
-        return one, two
-
-    def rows(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        return [_ROWS[1] + one, _ROWS[2] + two, _ROWS[3] + (one * 7919 + two * 104_729 + (one * two) % 8191) % PAIRS]
-
-    def inner_rows(self, group: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        return [
-            group,
-            _INNER[1] + (one * CLASSES + group) * 2_654_435_761 % (1 << 32) % WITHIN,
-            _INNER[2] + (two * CLASSES + group) * 2_246_822_519 % (1 << 32) % WITHIN,
-        ]
+    def _top(u: np.ndarray, digits: int) -> np.ndarray:
+        return (u >> np.uint64(60 - BITS * digits)).astype(np.int64)
+
+    def path(self, keys: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level the tokens it concerns, the softmax of each, and the part it takes there."""
+        u = keys.view(np.uint64)
+        tail = ranks < 0
+        group = np.where(tail, CLASSES + self._top(u, 0), ranks >> BITS)
+        digit = np.where(tail, self._top(u, 1), ranks) & (WIDTH - 1)
+        every = np.arange(len(keys))
+        out = [(every, np.zeros(len(keys), np.int64), group), (every, group, digit)]
+        some = np.flatnonzero(tail)
+        for level in range(2, self.depth + 1):
+            out.append((some, self._top(u[some], level - 1), self._top(u[some], level) & (WIDTH - 1)))
+        return out
+
+    def rows_of(self, level: int, node: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """The row of weights of each token; rows belong to one softmax each."""
+        slots = self.slots(level)
+        return node * slots + ((hashed >> np.uint64(24)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def contexts(keys: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each kind of feature a hash of the tokens it looks at; before a text stands 0."""
+    u = keys.view(np.uint64)
+    one, two = np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64)
+    one[1:], two[2:] = u[:-1], u[:-2]
+    first = np.r_[0, ends[:-1]]
+    one[first] = 0
+    two[first] = 0
+    second = first + 1
+    two[second[second < np.minimum(ends, len(u))]] = 0
+    pair = (one * _MIX[0]) ^ (two * _MIX[1])
+    return [one * _MIX[0], two * _MIX[0], (pair ^ (pair >> np.uint64(31))) * _MIX[0]]
+
+
+@dataclass
+class Model:
+    """Logarithms of the shares of all parts, and weights of the features by level and kind."""
+
+    shape: Shape
+    shares: list[np.ndarray]
+    weights: list[list[np.ndarray]] | None
 
     @staticmethod
-    def logged(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """The logarithms of a softmax over the sums of the feature rows."""
-        total = weights[rows[0]]
-        for r in rows[1:]:
-            total += weights[r]
-        total -= total.max(1, keepdims=True)
-        total -= np.log(np.exp(total).sum(1, keepdims=True))
+    def from_counts(shape: Shape, frequent: np.ndarray, cells: np.ndarray) -> Model:
+        """Without context the model is the smoothed unigram model."""
+        counts = [cells.reshape(-1, WIDTH)]
+        for _ in range(shape.depth - 1):
+            counts.append(counts[-1].sum(1).reshape(-1, WIDTH))
+        classes = np.concatenate([frequent.reshape(CLASSES, WIDTH), counts.pop()])
+        shares = []
+        for table in [classes.sum(1, keepdims=True).T, classes, *counts[::-1]]:
+            smooth = table + 0.05
+            shares.append(np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
+        return Model(shape, shares, None)
+
+    def logged(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """The logarithms of a softmax over the shares and the feature rows."""
+        total = self.shares[level][node]
+        if self.weights:
+            for table, r in zip(self.weights[level], rows, strict=True):
+                total += table[r]
+            total -= np.log(np.exp(total).sum(1, keepdims=True))
         return total
 
-    def log10(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token; of a tail token, that of its tail class."""
-        one, two = self.contexts(ids, ends)
-        out = np.empty(len(ids))
-        group = np.where(ids < CLASSES * WIDTH, ids // WIDTH, ids - CLASSES * WIDTH + CLASSES)
-        for low in range(0, len(ids), BATCH):
-            at = slice(low, low + BATCH)
-            g = group[at]
-            rows = [np.zeros(len(g), np.int64), *self.rows(one[at], two[at])]
-            part = self.logged(self.outer, rows)[np.arange(len(g)), g].astype(float)
-            some = np.flatnonzero(g < CLASSES)
-            if len(some):
-                inner = self.logged(self.inner, self.inner_rows(g[some], one[at][some], two[at][some]))
-                part[some] += inner[np.arange(len(some)), ids[at][some] % WIDTH]
-            out[at] = part
+    def batches(self, keys: np.ndarray, ranks: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """For each level and some of its tokens: tokens, softmax, part, and a row for each kind."""
+        hashed = contexts(keys, ends)
+        for level, (at, node, part) in enumerate(self.shape.path(keys, ranks)):
+            for low in range(0, len(at), BATCH):
+                s = slice(low, low + BATCH)
+                yield level, at[s], node[s], part[s], [self.shape.rows_of(level, node[s], h[at[s]]) for h in hashed]
+
+    def log10(self, keys: np.ndarray, ranks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token; of a tail token, that of its cell."""
+        out = np.zeros(len(keys))
+        for level, at, node, part, rows in self.batches(keys, ranks, ends):
+            out[at] += self.logged(level, node, rows)[np.arange(len(at)), part]
         return out / np.log(10)
 
-
-class Learner:
-    """Gradient updates of one task, with a step size of its own for each weight."""
-
-    def __init__(self, model: Model):
-        self.model = Model(model.outer.copy(), model.inner.copy())
-        self.square = [np.ones_like(w) for w in (model.outer, model.inner)]
-        self.seen = [np.zeros(len(w), np.float32) for w in (model.outer, model.inner)]
-
-    def learn(self, ids: np.ndarray, ends: np.ndarray) -> None:
-        one, two = Model.contexts(ids, ends)
-        group = np.where(ids < CLASSES * WIDTH, ids // WIDTH, ids - CLASSES * WIDTH + CLASSES)
-        for low in range(0, len(ids), BATCH):
-            at = slice(low, low + BATCH)
-            g = group[at]
-            self._step(0, [np.zeros(len(g), np.int64), *self.model.rows(one[at], two[at])], g)
-            some = np.flatnonzero(g < CLASSES)
-            if len(some):
-                self._step(1, self.model.inner_rows(g[some], one[at][some], two[at][some]), ids[at][some] % WIDTH)
-
-    def _step(self, which: int, rows: list[np.ndarray], target: np.ndarray) -> None:
-        weights = (self.model.outer, self.model.inner)[which]
-        gradient = np.exp(Model.logged(weights, rows))
-        gradient[np.arange(len(target)), target] -= 1
-        for r in rows:
-            if r[0] == r[-1] and (r == r[0]).all():
-                used, total, count = r[:1], gradient.sum(0, keepdims=True), np.array([len(r)])
-            else:
-                order = np.argsort(r.astype(np.uint16), kind="stable")
+    def tables(self, kind: type) -> list[list[np.ndarray]]:
+        """A table of zeros for each level and kind of feature."""
+        n = [self.shape.nodes(i) * self.shape.slots(i) for i in range(self.shape.depth + 1)]
+        return [[np.zeros((rows, WIDTH), kind) for _ in range(KINDS)] for rows in n]
+
+    def observe(self, sums: list[list[np.ndarray]], keys: np.ndarray, ranks: np.ndarray, ends: np.ndarray) -> None:
+        """Count which parts follow each feature."""
+        for level, _, _, part, rows in self.batches(keys, ranks, ends):
+            for table, r in zip(sums[level], rows, strict=True):
+                np.add.at(table.reshape(-1), r * WIDTH + part, 1)
+
+    def expect(self, sums: list[list[np.ndarray]], keys: np.ndarray, ranks: np.ndarray, ends: np.ndarray) -> None:
+        """Add up which parts the model expects after each feature."""
+        for level, _, node, _, rows in self.batches(keys, ranks, ends):
+            likely = np.exp(self.logged(level, node, rows))
+            for table, r in zip(sums[level], rows, strict=True):
+                order = np.argsort(r, kind="stable")
                 ordered = r[order]
                 start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                used, total = ordered[start], np.add.reduceat(gradient[order], start, 0)
-                count = np.diff(np.r_[start, len(r)])
-            square = self.square[which][used] + total * total
-            self.square[which][used] = square
-            weights[used] -= RATE * total / np.sqrt(square)
-            self.seen[which][used] += count
+                table[ordered[start]] += np.add.reduceat(likely[order], start, 0)
+
+    def updated(self, observed: list[list[np.ndarray]], expected: list[list[np.ndarray]] | None) -> Model:
+        """One step up the gradient, which is observed less expected, scaled for each weight.
+
+        A weight grows by the logarithm of observed over expected. Without weights, a row
+        expects the shares of its softmax, so its occurrences tell all.
+        """
+        weights, rate = [], 1 / KINDS if self.weights else RATE
+        for level, tables in enumerate(observed):
+            share = np.repeat(np.exp(self.shares[level]), self.shape.slots(level), 0)
+            row = []
+            for kind, seen in enumerate(tables):
+                due = expected[level][kind] if expected else seen.sum(1, keepdims=True) * share
+                step = rate * np.log((seen + PRIOR * share) / (due + PRIOR * share))
+                old = self.weights[level][kind] if self.weights else 0
+                row.append(np.clip(old + step, -20, 20).astype(np.float32))
+            weights.append(row)
+        return Model(self.shape, self.shares, weights)
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``key, tail, c``: how often each token occurs in the rows to learn from, end included."""
+    """``key, c``: how often each token occurs in the rows to learn from, end included."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.Series] = []
-        tails: list[pd.Series] = []
         size = 0
         for block in text_blocks(batches, "text", 1_000_000):
             codes, distinct, _ = tokens(block.column("text").to_pylist())
-            keys = hashes(distinct)
-            held.append(pd.Series(np.bincount(codes, minlength=len(distinct)), keys))
-            tails.append(pd.Series(tail_of(distinct), keys))
-            size += len(keys)
+            held.append(pd.Series(np.bincount(codes, minlength=len(distinct)), hashes(distinct)))
+            size += len(distinct)
             if size > 1_000_000:
-                yield _folded(held, tails)
-                held, tails, size = [], [], 0
+                yield _folded(held)
+                held, size = [], 0
         if held:
-            yield _folded(held, tails)
+            yield _folded(held)
 
     rows = docs.filter(learned_from(10)).select("text")
-    return rows.mapInArrow(run, "key bigint, tail bigint, c bigint").groupBy("key").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
+    return rows.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _folded(held: list[pd.Series], tails: list[pd.Series]) -> pa.RecordBatch:
+def _folded(held: list[pd.Series]) -> pa.RecordBatch:
     counts = pd.concat(held)
-    frame = pd.DataFrame({"c": counts.to_numpy(), "tail": pd.concat(tails).to_numpy()}).groupby(counts.index.to_numpy())
-    out = frame.agg({"c": "sum", "tail": "first"})
-    return pa.RecordBatch.from_pydict({"key": out.index.to_numpy(), "tail": out["tail"].to_numpy(), "c": out["c"].to_numpy()})
+    out = counts.groupby(level=0).sum()
+    return pa.RecordBatch.from_pydict({"key": out.index.to_numpy(), "c": out.to_numpy()})
 
 
 def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -239,66 +279,98 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     held = counts.filter(F.col("c") >= least).select("key", "c").toPandas().sort_values("key")
     keys, number = held["key"].to_numpy(np.int64), held["c"].to_numpy(np.int64)
     end = hashes(np.array([END], dtype=object))[0]
-    order = np.lexsort((keys, -number, keys != end))[: CLASSES * WIDTH]  # the end comes first
+    order = np.lexsort((keys, -number, keys != end))[:FREQUENT]  # the end comes first
     ranks = np.full(len(keys), -1)
     ranks[order] = np.arange(len(order))
     return Vocabulary(keys, number, ranks), least
 
 
-def _trained(docs: DataFrame, vocabulary, model: Model, rounds: int) -> Model:
-    """Each round, every task updates a copy of the model on its texts, and the changes are averaged.
+def _pieces(tables: list[list[np.ndarray]]) -> Iterator[np.ndarray]:
+    for table in (t for level in tables for t in level):
+        flat = table.reshape(-1)
+        for low in range(0, len(flat), PIECE):
+            yield flat[low : low + PIECE]
+
 
-    A feature row's change is averaged over the tasks by how often each has met the row. The
-    sums are built as a tree of ``FAN`` branches, in pieces of the weights.
+def _packed(part: np.ndarray) -> bytes:
+    return pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _added(docs: DataFrame, vocabulary, model: Model, kind: type) -> list[list[np.ndarray]]:
+    """What is observed (``np.int64``) or expected (``np.float64``) after each feature, over all texts.
+
+    A task adds up its texts; the sums of the tasks are added by ranges of rows of weights, as
+    a tree of ``FAN`` branches.
     """
-    context = docs.sparkSession.sparkContext
-    rows = docs.filter(learned_from(10)).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).alias("round"))
-    for r in range(rounds):
-        sent = context.broadcast(model)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            learner, words = None, vocabulary.value
-            for block in text_blocks(batches, "text", 1_000_000):
-                learner = learner or Learner(sent.value)
-                codes, distinct, ends = tokens(block.column("text").to_pylist())
-                learner.learn(words.looked_up(distinct)[2][codes], ends)
-            if learner is None:
-                return
-            task = TaskContext.get().partitionId()
-            for which, now, old in ((0, learner.model.outer, sent.value.outer), (1, learner.model.inner, sent.value.inner)):
-                change = np.concatenate([(now - old) * learner.seen[which][:, None], learner.seen[which][:, None]], 1)
-                for piece, part in enumerate(np.array_split(change, 16)):
-                    yield pa.RecordBatch.from_pydict(
-                        {"task": [task], "piece": [16 * which + piece], "sum": pa.array([part.astype(np.float32).tobytes()], pa.binary())}
-                    )
-
-        sums = rows.filter(F.col("round") == r).drop("round").mapInArrow(run, "task bigint, piece bigint, sum binary")
-        sums = staged(sums)
-        tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
-        while tasks > 1:
-            sums = sums.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "piece").applyInArrow(_summed, sums.schema)
-            tasks = -(-tasks // FAN)
-        parts = {row["piece"]: row["sum"] for row in sums.collect()}  # as large as one model
-        if parts:
-            changed = []
-            for which, old in ((0, model.outer), (1, model.inner)):
-                flat = np.frombuffer(b"".join(bytes(parts[16 * which + p]) for p in range(16)), np.float32)
-                table = flat.reshape(len(old), -1)
-                changed.append(old + table[:, :-1] / np.maximum(table[:, -1:], 1))
-            model = Model(*changed)
-        sent.unpersist()
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    in_task = np.int32 if kind is np.int64 else np.float64
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for block in text_blocks(batches, "text", 1_000_000):
+            here = sent.value
+            sums = here.tables(in_task) if sums is None else sums
+            codes, distinct, ends = tokens(block.column("text").to_pylist())
+            keys, _, ranks = vocabulary.value.looked_up(distinct)
+            (here.observe if kind is np.int64 else here.expect)(sums, keys[codes], ranks[codes], ends)
+        if sums is None:
+            return
+        task = TaskContext.get().partitionId()
+        for piece, part in enumerate(_pieces(sums)):
+            yield pa.RecordBatch.from_pydict(
+                {"task": [task], "piece": [piece], "n": [len(part)], "sum": pa.array([_packed(part.astype(kind))], pa.binary())}
+            )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = None, None
+        for batch in batches:
+            first = first or batch
+            for raw, n in zip(batch.column("sum"), batch.column("n").to_pylist(), strict=True):
+                part = _unpacked(raw.as_py(), n, kind)
+                total = part.copy() if total is None else total + part
+        row = {c: first.column(c).slice(0, 1) for c in ("task", "piece", "n")}
+        yield pa.RecordBatch.from_pydict(row | {"sum": pa.array([_packed(total)], pa.binary())})
+
+    rows = docs.filter(learned_from(10)).select("text")
+    sums = staged(rows.mapInArrow(run, "task bigint, piece bigint, n bigint, sum binary"))
+    tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "piece").applyInArrow(summed, sums.schema)
+        tasks = -(-tasks // FAN)
+    total = model.tables(kind)
+    found = {row["piece"]: row for row in sums.collect()}  # as large as one model
+    for piece, part in enumerate(_pieces(total)):
+        if piece in found:
+            part[:] = _unpacked(bytes(found[piece]["sum"]), found[piece]["n"], kind)
+    sent.unpersist()
+    return total
+
+
+def _trained(docs: DataFrame, vocabulary, model: Model, rounds: int) -> Model:
+    """The model after ``rounds`` steps, each up the gradient over all texts to learn from."""
+    if rounds < 1:
+        return model
+    observed = _added(docs, vocabulary, model, np.int64)
+    model = model.updated(observed, None)
+    for _ in range(rounds - 1):
+        model = model.updated(observed, _added(docs, vocabulary, model, np.float64))
     return model
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, first = None, None
-    for batch in batches:
-        first = first or batch
-        for raw in batch.column("sum"):
-            part = np.frombuffer(raw.as_py(), np.float32)
-            total = part.copy() if total is None else total + part
-    row = {c: first.column(c).slice(0, 1) for c in ("task", "piece")}
-    yield pa.RecordBatch.from_pydict(row | {"sum": pa.array([total.tobytes()], pa.binary())})
+def _cells(counts: DataFrame, words: Vocabulary, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct tokens of each cell, of all that are not frequent."""
+    cell = F.shiftrightunsigned("key", 60 - BITS * shape.depth)
+    rare = counts.filter(~F.col("key").isin(words.keys[words.ranks >= 0].tolist()))
+    found = rare.groupBy(cell.alias("cell")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    sums = np.zeros(shape.cells), np.zeros(shape.cells)
+    for total, column in zip(sums, ("c", "n"), strict=True):
+        total[found["cell"].to_numpy(np.int64)] = found[column]
+    return sums
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -306,9 +378,11 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``base_score`` is log10 of the text under smoothed token counts, ``score`` under the
     maximum-entropy model: a softmax over classes given the two tokens before (each, and the
-    pair, hashed), then one over the frequent words of the class, or the smoothed share of
-    the token in a tail class, in which unseen tokens are one token more. Both sums run over
-    all words and the end. Counts cover every row whose ``doc_id`` crc32 is no multiple of
+    pair, hashed), then one over the words of the class if it is one of frequent words. All
+    other words are in classes that are divided by softmaxes into cells, about as many as
+    the square root of the vocabulary or more, and have their smoothed share of the cell, in
+    which unseen tokens are one token more. Both sums run over all words and the end. With
+    one round, which adds up whole numbers, scores do not depend on files. Counts cover every row whose ``doc_id`` crc32 is no multiple of
     10; a NULL id is held out. NULL and empty texts are one end. With nothing to learn from,
     counts are 0. Repeated rows count each time; extra columns are ignored.
     """
@@ -316,34 +390,25 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = staged(counted(docs))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, least = _vocabulary(counts)
-    frequent = np.zeros(CLASSES * WIDTH)
+    frequent = np.zeros(FREQUENT)
     ranked = words.ranks >= 0
     frequent[words.ranks[ranked]] = words.counts[ranked]
-    tail_tokens, tail_kinds = np.zeros(TAILS), np.zeros(TAILS)
-    for row in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        tail_tokens[row["tail"]], tail_kinds[row["tail"]] = row["c"], row["n"]
-    # frequent tokens leave their tails; their last bytes are not at hand, so ask by key
-    keys = words.keys[ranked].tolist()
-    for row in counts.filter(F.col("key").isin(keys)).groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        tail_tokens[row["tail"]] -= row["c"]
-        tail_kinds[row["tail"]] -= row["n"]
+    shape = Shape.of(kinds)
+    cell_tokens, cell_kinds = _cells(counts, words, shape)
     sent_words = context.broadcast(words)
-    model = _trained(docs, sent_words, Model.from_counts(frequent, tail_tokens), rounds)
+    model = _trained(docs, sent_words, Model.from_counts(shape, frequent, cell_tokens), rounds)
     sent = context.broadcast(model)
     below = np.log10(total + _SMOOTH * (kinds + 1))
-    tail_below = np.log10(tail_tokens + _SMOOTH * (tail_kinds + 1))
+    sent_cells = context.broadcast(np.log10(cell_tokens + _SMOOTH * (cell_kinds + 1)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for block in text_blocks(batches, "text", 1_000_000):
             codes, distinct, ends = tokens(block.column("text").to_pylist())
-            key, count, ids = sent_words.value.looked_up(distinct)
-            each = ids[codes]
+            key, count, ranks = sent_words.value.looked_up(distinct)
             starts = np.r_[0, ends[:-1]]
             held = np.where(count >= 0, np.log10(np.maximum(count, 0) + _SMOOTH), 0.0)
-            tail = each >= CLASSES * WIDTH
-            minus = np.where(tail, tail_below[np.where(tail, each - CLASSES * WIDTH, 0)], 0.0)
-            plus = np.where(tail, held[codes], 0.0)
+            share = np.where(ranks < 0, held - sent_cells.value[shape.cell_of(key)], 0.0)
             summed = lambda x: np.add.reduceat(x, starts)
             row = np.repeat(np.arange(len(ends)), ends - starts)
             asked = count[codes] < 0
@@ -357,7 +422,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 "n_tokens": ends - starts,
                 "known": summed((count >= 0)[codes].astype(np.int64)),
                 "base": summed(held[codes]) - (ends - starts) * below,
-                "model": summed(sent.value.log10(each, ends) + plus - minus),
+                "model": summed(sent.value.log10(key[codes], ranks[codes], ends) + share[codes]),
                 "keys": pa.ListArray.from_arrays(offsets, pa.array(key[pair % len(distinct)])),
                 "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
             })

@@ -336,19 +336,118 @@ def test_language_counts_and_base(docs, rows, monkeypatch, known):
     assert all(r.score <= 0 for r in got)
 
 
-def test_language_model_is_better_than_counts_and_sums_to_one(spark):
+def test_language_model_is_better_than_counts(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
-    held = language.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
+    held = language.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (held[0] - held[1]) / held[2] > 0.2
+
+
+def plain_language(rows):
+    """The scores of one round, token by token."""
+    split = lambda t: (t or "").encode().translate(language._LOWER).split() + [b""]
+    known = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 != 0
+    learned = [split(t) for d, t, *_ in rows if known(d)]
+    counts = Counter(w for words in learned for w in words)
+    shape = language.Shape.of(len(counts))
+    wrap = 2**64 - 1
+    key = lambda w: int(language.hashes(np.array([w], dtype=object))[0]) & wrap
+    keys = {w: key(w) for words in [split(t) for _, t, *_ in rows] for w in words}
+    signed = lambda w: keys[w] - 2**64 if keys[w] >> 63 else keys[w]
+    ranks = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (w != b"", -counts[w], signed(w)))[:512])}
+
+    def path(w):
+        if w in ranks:
+            return ((ranks[w] // 32,), (ranks[w] % 32,))
+        k = keys[w]
+        digits = tuple(k >> 55 - 5 * i & 31 for i in range(shape.depth))
+        return ((16 + (k >> 60),), *((d,) for d in digits))
+
+    def steps(words):
+        """Softmax, part and features of each decision."""
+        for i, w in enumerate(words):
+            one, two = (keys[words[i - j]] if i >= j else 0 for j in (1, 2))
+            a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+            pair = one * a & wrap ^ two * b & wrap
+            seen = one * a & wrap, two * a & wrap, (pair ^ pair >> 31) * a & wrap
+            before = ()
+            for level, (part,) in enumerate(path(w)):
+                slots = max(1, shape.rows // ([1, 32] + [16 * 32**n for n in range(1, 9)])[level])
+                yield before, part, [(before, kind, (h >> 24) % slots) for kind, h in enumerate(seen)]
+                before += (part,)
+
+    parts, cells = Counter(), Counter()
+    for w, c in counts.items():
+        before = ()
+        for (part,) in path(w):
+            parts[before, part] += c
+            before += (part,)
+        cells[before] += c
+    kinds = Counter(tuple(p for (p,) in path(w)) for w in counts)
+    shares = {}
+
+    def share(node):
+        if node not in shares:
+            row = np.array([parts[node, i] + 0.05 for i in range(32)])
+            shares[node] = row / row.sum()
+        return shares[node]
+
+    seen = {}
+    for words in learned:
+        for _, part, features in steps(words):
+            for f in features:
+                seen.setdefault(f, np.zeros(32))[part] += 1
+    out = Counter()
+    for doc, text, *_ in rows:
+        words, total = split(text), 0.0
+        for node, part, features in steps(words):
+            z = np.log(share(node))
+            for f in features:
+                n = seen.get(f, np.zeros(32))
+                z = z + language.RATE * np.log((n + language.PRIOR * share(node)) / ((n.sum() + language.PRIOR) * share(node)))
+            total += (z - np.log(np.exp(z).sum()))[part] / math.log(10)
+        for w in words:
+            if w not in ranks:
+                cell = tuple(p for (p,) in path(w))
+                total += math.log10((counts[w] + 0.1) / (cells[cell] + 0.1 * (kinds[cell] + 1)))
+        out[doc, round(total, 2)] += 1
+    return out
+
+
+def test_language_scores_are_those_of_a_plain_version_for_any_files(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    expected = plain_language(rows)
+    one, many = ({r.doc_id: r.score for r in language.score(docs.repartition(n)).collect()} for n in (1, 7))
+    assert len(one) == len(rows) and all(abs(one[d] - many[d]) < 1e-6 * abs(one[d]) for d in one)
+    assert all(abs(one[d] - s) < 0.01 + 1e-5 * abs(s) for d, s in expected)
+
+
+def test_language_model_grows_with_the_words_and_sums_to_one():
+    shapes = [language.Shape.of(n) for n in (0, 1000, 10**5, 10**7, 10**9)]
+    assert all(a.rows * a.cells < b.rows * b.cells for a, b in zip(shapes[1:], shapes[2:]))
     rng = np.random.default_rng(4)
-    model = language.Model.from_counts(rng.random(language.CLASSES * language.WIDTH), rng.random(language.TAILS))
-    learner = language.Learner(model)
-    ids = rng.integers(0, language.CLASSES * language.WIDTH + language.TAILS, 500)
-    learner.learn(ids, np.array([100, 300, 500]))
-    every = np.arange(language.CLASSES * language.WIDTH + language.TAILS)
-    one = np.concatenate([[3, 517, i] for i in every])
-    ends = np.arange(3, len(one) + 1, 3)
-    assert abs((10 ** learner.model.log10(one, ends)[2::3]).sum() - 1) < 1e-4
+    shape = language.Shape(2, 1 << 12)
+    model = language.Model.from_counts(shape, rng.random(language.FREQUENT), rng.random(shape.cells))
+    keys = rng.integers(-(2**63), 2**63 - 1, 3000)
+    ranks = np.where(rng.random(3000) < 0.5, rng.integers(0, language.FREQUENT, 3000), -1)
+    ends = np.array([100, 300, 3000])
+    observed = model.tables(np.int64)
+    model.observe(observed, keys, ranks, ends)
+    trained, last = model.updated(observed, None), -1e9
+    for _ in range(3):  # every later step makes the texts likelier
+        now = trained.log10(keys, ranks, ends).sum()
+        assert now > last
+        last = now
+        expected = trained.tables(np.float64)
+        trained.expect(expected, keys, ranks, ends)
+        trained = trained.updated(observed, expected)
+    every = np.r_[np.arange(language.FREQUENT), np.arange(shape.cells).astype(np.uint64) << np.uint64(50)].astype(np.uint64).view(np.int64)
+    rank = np.r_[np.arange(language.FREQUENT), np.full(shape.cells, -1)]
+    n = len(every)
+    words, place = np.tile(keys[:3], n), np.tile(ranks[:3], n)
+    words[2::3], place[2::3] = every, rank
+    likely = 10 ** trained.log10(words, place, np.arange(3, 3 * n + 1, 3))[2::3]
+    assert abs(likely.sum() - 1) < 1e-3
 
 
 def test_nothing_to_learn_from(empty, docs):
