@@ -19,6 +19,9 @@ GRAM = 24
 TOGETHER = 10_000
 CROWDED = 4_000
 
+#: Bits of the salt, and of salt and count together, in the number that tells rows of one id apart.
+_ID_BITS = (8, 35)
+
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 8_000_000
@@ -84,7 +87,9 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
 def _texts(docs: DataFrame) -> DataFrame:
     """All rows by order of id as a table that is dealt by its key, so later joins don't move texts.
 
-    The key is the id and a number that tells rows of one id apart. A NULL id comes last. ``rest`` has the columns but the text.
+    The key is the id and a number that tells rows of one id apart: leading bits of a hash of
+    the text, a salt by place and a count. So neither very many rows of one id (NULL, say) nor
+    very many equal rows are one task. A NULL id comes last. ``rest`` has the columns but the text.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -93,9 +98,13 @@ def _texts(docs: DataFrame) -> DataFrame:
         F.struct(*[docs[c].alias(c) for c in docs.columns if c != "text"]).alias("rest"),
     )
     if rows.groupBy("d").count().filter("count > 1").head(1):
-        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("raw"), F.length("raw"))))
+        rows = rows.withColumn("head", F.shiftright(F.xxhash64("raw"), _ID_BITS[1] + 1))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1 << _ID_BITS[0])))
+        count = F.row_number().over(Window.partitionBy("d", "head", "salt").orderBy(F.xxhash64("raw"), F.length("raw")))
+        high = F.shiftleft(F.shiftleft("head", _ID_BITS[0]).bitwiseOR(F.col("salt")), _ID_BITS[1] - _ID_BITS[0])
+        rows = rows.withColumn("k", high.bitwiseOR(count.cast("bigint"))).drop("head", "salt")
     else:
-        rows = rows.withColumn("k", F.lit(1))
+        rows = rows.withColumn("k", F.lit(1).cast("bigint"))
     rows = rows.withColumn("h", F.struct(F.xxhash64("raw").alias("a"), F.xxhash64("raw", F.lit(1)).alias("b"), F.length("raw").alias("n")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return bucketed(rows.repartition(parts, "d", "k"), "d", "k", compression="zstd")
@@ -119,7 +128,7 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 at = ((own + start - base) << 16) | ((own - first) << 8) | (own - last)
                 yield pa.RecordBatch.from_pydict({"bucket": bucket, "d": d[text], "k": k[text], "at": at})
 
-    return texts.select("d", "k", "raw").mapInArrow(run, "bucket bigint, d bigint, k int, at bigint")
+    return texts.select("d", "k", "raw").mapInArrow(run, "bucket bigint, d bigint, k bigint, at bigint")
 
 
 def _contexts(texts: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
@@ -136,7 +145,7 @@ def _contexts(texts: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
                 bucket.append(found.field("bucket").to_numpy())
                 at.append(here)
                 d.append(np.full(len(here), block.column("d")[i].as_py()))
-                k.append(np.full(len(here), block.column("k")[i].as_py(), np.int32))
+                k.append(np.full(len(here), block.column("k")[i].as_py(), np.int64))
                 context += [raw[a:b] for a, b in zip((own - before).tolist(), (own - after + length).tolist())]
             if context:
                 yield pa.RecordBatch.from_pydict({
@@ -144,7 +153,7 @@ def _contexts(texts: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
                     "context": pa.array(context, pa.binary()),
                 })
 
-    return rows.mapInArrow(run, "bucket bigint, d bigint, k int, at bigint, context binary")
+    return rows.mapInArrow(run, "bucket bigint, d bigint, k bigint, at bigint, context binary")
 
 
 def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +226,7 @@ def _repeats_together(contexts: DataFrame, length: int) -> DataFrame:
     return (
         contexts.select(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), "d", "k", "at", "context")
         .groupBy("group")
-        .applyInArrow(run, "d bigint, k int, s bigint, e bigint")
+        .applyInArrow(run, "d bigint, k bigint, s bigint, e bigint")
     )
 
 
@@ -239,7 +248,7 @@ def _repeats_apart(contexts: DataFrame, length: int) -> DataFrame:
                     "d": table.column("d").to_numpy()[row], "k": table.column("k").to_numpy()[row], "s": start,
                 })
 
-    windows = staged(contexts.mapInArrow(run, "a bigint, b bigint, d bigint, k int, s bigint"))
+    windows = staged(contexts.mapInArrow(run, "a bigint, b bigint, d bigint, k bigint, s bigint"))
     first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "k", "s")).alias("f")).select("f.*")
     return windows.join(first, ["d", "k", "s"], "left_anti").select("d", "k", "s", (F.col("s") + length).alias("e"))
 
@@ -252,8 +261,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     the same row; overlapping counts, and matches never cross rows. Strings are judged on the
     input. ``n_spans`` counts runs of removed bytes, ``kept`` holds the others (BINARY), and
     ``rest`` the input's columns but the text. Rows
-    without an id come after all others; rows of one id are ordered by a hash of their text,
-    and of rows equal in id and text one is kept. Ids are whole numbers. ``gram`` is a multiple of eight below ``length``.
+    without an id come after all others; rows of one id are ordered by the leading 28 bits of
+    a hash of their text, then as they come, and of rows equal in id and text one is kept. Ids are whole numbers. ``gram`` is a multiple of eight below ``length``.
 
     Every string is represented by one of the initial buckets that begin in it, about one
     offset in forty. Buckets that occur once are done. The rest get the bytes of their

@@ -41,6 +41,16 @@ def test_repeats(docs, rows, monkeypatch, crowded, length, gram):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == expected
 
 
+def test_repeats_of_very_many_rows_without_an_id(spark):
+    texts = ["".join(chr(97 + (i * j + j // 7) % 26) for j in range(1, 131)) for i in range(40)]
+    rows = [(None, texts[0])] * 1500 + [(None, t) for t in texts] + [(7, texts[3] + "!")] * 300 + [(1, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert substrings._texts(docs).select("d", "k").distinct().count() == len(rows)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs).collect())
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.col("text").cast("binary"))).collect()
+    assert got == brute_repeats([tuple(r) for r in order], 100)
+
+
 def test_anchors_choose_the_same_offset_everywhere():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 101, 3000).astype(np.uint8)
