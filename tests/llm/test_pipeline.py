@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     frame = QUERIES[name](spark, SMALL)
     columns = sorted(frame.columns)
@@ -27,8 +27,8 @@ def test_query_matches_sql(spark, name):
     assert ours == Counter(tuple(map(plain, r)) for r in duck.sql(f"SELECT {selected} FROM ({ORACLE[name]})").fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
