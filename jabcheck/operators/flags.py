@@ -72,9 +72,12 @@ def by_patient(rows: DataFrame) -> DataFrame:
     """One shuffle by patient that every window and per-patient aggregate below reuses.
 
     After :func:`day_products` a patient has at most one row per product and calendar day,
-    so even the busiest patient is a bounded group.
+    so even the busiest patient is a bounded group. The number of tasks is that of shuffle
+    partitions: sorts, windows and aggregates share the memory of one task, which partitions
+    that adaptive execution makes up to 64 MB of packed rows would fill many times over.
     """
-    return rows.repartition("patient_id")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "patient_id")
 
 
 def flag_days(days: DataFrame, study: Study) -> DataFrame:

@@ -141,3 +141,12 @@ def test_a_frequent_code_is_split(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_one_task_by_patient_for_each_shuffle_partition(spark):
+    from jabcheck.operators.flags import by_patient
+
+    rows = by_patient(spark.range(1000).withColumnRenamed("id", "patient_id"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.select(F.spark_partition_id().alias("task")).distinct().count() == tasks > 1
+    assert rows.groupBy("patient_id").count().count() == 1000
