@@ -308,7 +308,7 @@ def _rounded(query: Query) -> Query:
 
 def flu_source_summary(spark, sf_dir):
     folded = fold_rows(standin.flu_records(spark, sf_dir), "source", "patient_id", "vax_date")
-    aged = extract.with_person(folded, standin.patients(spark, sf_dir)).withColumn(
+    aged = extract.with_person(flags.by_patient(folded), standin.patients(spark, sf_dir)).withColumn(
         "age", age_on(F.col("date_of_birth"), F.col("vax_date"))
     )
     return _with_campaign(

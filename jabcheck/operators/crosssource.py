@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from jabcheck.functions.labels import SOURCES, source_combination
 from jabcheck.functions.rounding import number_text, percent, round_midpoint, round_tenth
 from jabcheck.operators.clean import campaign_label, dated, rank_of_campaign
+from jabcheck.operators.flags import by_patient
 from jabcheck.operators.summaries import ordered
 from jabcheck.study import Study
 
@@ -38,12 +39,13 @@ def source_summary(records: DataFrame, study: Study) -> DataFrame:
 
     Exact duplicates (same date and age) are one dose. They are counted away before the
     dates are listed, so a list has at most one entry per day of its campaign. Records that
-    are folded already carry their number as ``n_records``.
+    are folded already carry their number as ``n_records``. Doses move by patient once; rows
+    that are dealt :func:`by_patient` when they come stay where they are.
     """
     number = F.sum("n_records") if "n_records" in records.columns else F.count(F.lit(1))
+    doses = records.groupBy("source", "patient_id", "vax_date", "age").agg(number.alias("n"))
     return (
-        records.groupBy("source", "patient_id", "vax_date", "age")
-        .agg(number.alias("n"))
+        by_patient(doses)
         .withColumn("campaign_rank", rank_of_campaign(study))
         .groupBy("source", *PERSON)
         .agg(
