@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jabcheck.operators.flags import DAY, day_products, flag_days
+from jabcheck.operators.flags import DAY, by_patient, day_products, flag_days
 from jabcheck.operators.intervals import after_first_campaign, dose_gaps, fold_gaps
 from jabcheck.operators.registration import add_active
 from jabcheck.operators.staging import Staging
@@ -44,7 +44,8 @@ def with_delta(state: State, events: DataFrame, registrations: DataFrame, study:
 
     Only patients in ``events`` are worked out again: their counted days are taken from the
     state, added to those of the delta, flagged and paired up anew. Everyone else's rows are
-    handed on as stored, by patient, each read once and neither sorted nor windowed. The
+    handed on as stored, each read once and not windowed; all rows are dealt by patient before
+    they are stored, as a write by buckets sorts what a task has read, up to a whole file. The
     registrations of touched patients are read; changes to those of other patients need a
     first state. A NULL patient is worked out again with every delta.
     """
@@ -63,4 +64,4 @@ def with_delta(state: State, events: DataFrame, registrations: DataFrame, study:
     again = stage.by_patient(_flagged(counted, theirs(registrations), study))
     days = others(state.days).unionByName(again.select(*state.days.columns))
     gaps = others(state.gaps).unionByName(_gaps(again, study).select(*state.gaps.columns))
-    return State(stage.by_patient(days), stage.by_patient(gaps))
+    return State(stage.by_patient(by_patient(days)), stage.by_patient(by_patient(gaps)))

@@ -189,3 +189,13 @@ def test_a_set_is_recovered_between_its_renames(spark, tmp_path):
     (tmp_path / "full/own.txt").write_text("x")
     with pytest.raises(ValueError, match="no publication"):
         publish.publish(spark, table(1), f"{tmp_path}/full")
+
+
+def test_state_is_dealt_by_patient_before_it_is_stored(spark):
+    events = many_events(spark)
+    with staging(spark) as stage:
+        state = upkeep.first_state(events.where("n % 2 = 0"), periods(spark), STUDY, stage)
+        state = upkeep.with_delta(state, events.where("n % 2 = 1 and patient_id < 9"), periods(spark), STUDY, stage)
+        for rows in (state.days, state.gaps):  # so each bucket is written, and sorted, by one task
+            assert len(rows.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert rows.select("patient_id").distinct().count() > 9
