@@ -150,3 +150,10 @@ def test_one_task_by_patient_for_each_shuffle_partition(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows.select(F.spark_partition_id().alias("task")).distinct().count() == tasks > 1
     assert rows.groupBy("patient_id").count().count() == 1000
+
+
+@pytest.mark.parametrize("name", ["flu_source_summary", "flu_dates_wide"])
+def test_doses_of_a_source_move_by_patient_once(plan_of, name):
+    plan = plan_of(name)
+    assert len(re.findall(r"Exchange hashpartitioning\(patient_id#\d+L?, \d+\), REPARTITION_BY_NUM", plan)) == 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*campaign_rank", plan)
