@@ -22,8 +22,9 @@ PUBLISHED = 3
 LEAST = 16
 #: Rounds of peeling; in round r the pure cells of table r mod 3 give up their digest.
 ROUNDS = 6
-#: Documents of a run, which is a range of the id order sorted by one task.
-RUN = 1000
+#: Documents of a run, which is a range of the id order sorted by one task. Buckets take runs by
+#: a hash, so of thousands some hold six or seven, which must be peeled in the memory of a task.
+RUN = 500
 #: Runs share buckets beyond this number, as Spark tables have 100,000 buckets at most.
 MOST_BUCKETS = 50_000
 #: Levels of the difference estimate; level j sees one digest in 8 to the power of j.
