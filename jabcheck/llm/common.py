@@ -51,6 +51,24 @@ def storing(part: str) -> Iterator[None]:
         _PART.pop()
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written in the block leaves no shuffle files behind.
+
+    Spark else keeps them until the driver happens to collect its garbage, beside what was written.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _staging(spark: SparkSession) -> Staging:
     return session_staging(spark, _PART[-1])
 

@@ -7,6 +7,7 @@ of the cells that hold a single one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jabcheck.llm.common import bucketed, staged
+from jabcheck.llm.common import bucketed, release, shuffles_deleted, staged, storing
 
 #: A published fingerprint has 2 to the power of this cells in each of its three tables.
 PUBLISHED = 3
@@ -150,7 +151,9 @@ def peeled(pairs: DataFrame, by: Sequence[str], left: str, right: str, salt: int
     return cells
 
 
-def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, lists: bool = True) -> DataFrame:
+def differences(
+    pairs: DataFrame, by: Sequence[str], left: str, right: str, lists: bool = True, buckets: int | None = None
+) -> DataFrame:
     """``by`` and ``changes`` for each pair of arrays of distinct digests that differ, written to the shared folder.
 
     With ``lists`` also ``left_only`` and ``right_only``, the recovered digests themselves in
@@ -158,6 +161,10 @@ def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, list
     twelve cells for each difference that its strata let expect; pairs that do not peel are tried
     again with four times as many cells and other hashes, until all are solved. Pairs without
     any difference have no row.
+
+    With ``buckets`` the pairs are dealt to so many buckets by the first column of ``by``, in
+    which none is NULL. What is still open is then looked up bucket by bucket: no try moves an
+    array.
     """
     guess = estimated(strata(F.col(left)), strata(F.col(right)), F.size(left) + F.size(right))
     bits = F.ceil(F.log2(F.greatest(guess * 2, F.lit(float(LEAST))))).cast("int")
@@ -171,14 +178,28 @@ def differences(pairs: DataFrame, by: Sequence[str], left: str, right: str, list
     done, salt, todo = [], 0, pairs
     while True:
         cells = peeled(todo.withColumn("bits", bits + 2 * salt), by, left, right, salt, lists)
-        tried = staged(cells.groupBy(*by).agg(*told))
+        tried = cells.groupBy(*by).agg(*told)
+        tried = bucketed(tried, by[0], buckets=buckets) if buckets else staged(tried)
         done.append(tried.filter("not open").drop("open"))
         again = tried.filter("open").select(*by)
         if again.isEmpty():
             return reduce(DataFrame.unionByName, done)
         salt += 1
-        same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"again.{c}")) for c in by])
-        todo = pairs.alias("p").join(again.alias("again"), same, "left_semi")
+        if buckets:
+            todo = _among(pairs, again, by)
+        else:
+            same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"again.{c}")) for c in by])
+            todo = pairs.alias("p").join(again.alias("again"), same, "left_semi")
+
+
+def _among(pairs: DataFrame, names: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The pairs that ``names`` has, where both are dealt by the first column of ``by``.
+
+    A join by all columns would deal both anew, arrays and all.
+    """
+    named = names.groupBy(F.col(by[0]).alias("_dealt")).agg(F.collect_list(F.struct(*by)).alias("_named"))
+    found = pairs.join(named, F.col(by[0]) == F.col("_dealt")).filter(F.array_contains("_named", F.struct(*by)))
+    return found.select(*pairs.columns)
 
 
 # --- the published fingerprint
@@ -216,7 +237,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
 
     Range partitioning on id, hash and a row number cuts the order into runs of about ``RUN``
     rows, so neither NULL nor a repeated id is one task's. Runs are stored as a table dealt by
-    run, with the place of each row.
+    run, with the place of each row; the files by which they were sorted go.
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
@@ -225,7 +246,8 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     ranged = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = ranged.select(F.spark_partition_id().alias("run"), place.alias("place"), "doc_id", "text")
-    kept = _by_run(ranged, runs)
+    with shuffles_deleted(docs.sparkSession):
+        kept = _by_run(ranged, runs)
     ends = kept.groupBy("run").agg(F.max("place").alias("last"))
     by_run = Window.orderBy("run")  # one short row for each run
     after = F.coalesce(F.lead("run").over(by_run), F.min("run").over(Window.partitionBy()))
@@ -233,9 +255,13 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     return beside(kept.join(ends, "run"), "text", "next_text"), runs
 
 
+def _buckets(runs: int) -> int:
+    return min(runs, MOST_BUCKETS)
+
+
 def _by_run(rows: DataFrame, runs: int) -> DataFrame:
     """``rows``, stored so that each run lies in one bucket."""
-    return bucketed(rows, "run", buckets=min(runs, MOST_BUCKETS), compression="zstd")
+    return bucketed(rows, "run", buckets=_buckets(runs), compression="zstd")
 
 
 def beside(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -262,11 +288,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ``(all - changes) / (all + changes)``, where the changes are the digests recovered from
     the difference of two sketches. NULL texts count as empty; two empty texts have likeness
     1. Extra columns are ignored.
+
+    The stored texts are deleted as soon as their digests are stored.
     """
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    rows, runs = with_next(docs)
+    texts = f"texts-{uuid.uuid4().hex}"
+    with storing(texts):
+        rows, runs = with_next(docs)
     told = rows.withColumn("edited", edited).select(
         "run",
         "place",
@@ -279,6 +309,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("edited_fingerprint"),
     )
     told = _by_run(told, runs)
+    release(docs.sparkSession, texts)
     sets = beside(told, "fingerprint", "next_fingerprint")
     others = ("edited_fingerprint", "next_fingerprint")
     pairs = sets.select(
@@ -292,7 +323,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).select("run", "x.*")
-    solved = differences(pairs, ("run", "pair"), "left", "right", lists=False)
+    solved = differences(pairs, ("run", "pair"), "left", "right", lists=False, buckets=_buckets(runs))
     changes = solved.select("run", F.shiftright("pair", 1).alias("place"), (F.col("pair") % 2).alias("which"), "changes")
     changes = changes.groupBy("run", "place").agg(
         *[F.coalesce(F.max(F.when(F.col("which") == which, F.col("changes"))), F.lit(0)).alias(other) for which, other in enumerate(others)]

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -280,6 +282,60 @@ def test_larger_sketches_when_one_is_too_small(spark, monkeypatch):
     assert {r.i: r.left_only for r in got} == {i: sorted(a) for i, (a, _) in enumerate(arrays)}
 
 
+def test_no_try_moves_the_arrays(spark, docs, monkeypatch):
+    """Pairs to be tried again are found in their bucket, and are the same as by a join that moves them."""
+    from jabcheck.llm.common import bucketed
+
+    rng = random.Random(6)
+    arrays = [[rng.randrange(1 << 48) for _ in range(n)] for n in (1, 30, 200, 30, 0, 500)]
+    pairs = [(i % 3, i, a, a[:1]) for i, a in enumerate(arrays)]
+    pairs = spark.createDataFrame(pairs, "run INT, pair BIGINT, left ARRAY<BIGINT>, right ARRAY<BIGINT>")
+    dealt = bucketed(pairs, "run", buckets=3)
+    plans, peeled = [], fingerprint.peeled
+
+    def seen(todo, *rest):
+        plans.append(todo._jdf.queryExecution().executedPlan().toString())
+        return peeled(todo, *rest)
+
+    monkeypatch.setattr(fingerprint, "peeled", seen)
+    monkeypatch.setattr(fingerprint, "estimated", lambda left, right, most: F.lit(1.0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where many are tried again
+    try:
+        got = fingerprint.differences(dealt, ("run", "pair"), "left", "right", lists=False, buckets=3).collect()
+        assert len(plans) > 2 and not any("Exchange" in p for p in plans)
+        plans.clear()
+        fingerprint.fingerprints(docs).collect()
+        assert len(plans) > 2 and not any(line for p in plans for line in p.splitlines() if "hashpartitioning" in line and "pair" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.run, r.pair, r.changes) for r in got} == {(i % 3, i, len(a) - 1) for i, a in enumerate(arrays) if len(a) > 1}
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(blocks.apply, range(blocks.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_texts_do_not_stay_on_disk(spark):
+    """Neither the shuffle that sorts the texts nor the table of them outlives the digests."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, rng.randbytes(50_000).hex()) for i in range(20)], "doc_id BIGINT, text STRING")
+    most = 200_000  # bytes, of two million
+    release(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key)
+    got = fingerprint.fingerprints(docs)
+    staged = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).rglob("*.parquet")
+    assert sum(p.stat().st_size for p in staged if p.is_file()) < most
+    for _ in range(50):  # files are deleted in the background
+        if (left := sum(n for name, n in shuffle_files(spark).items() if name not in before)) < most:
+            break
+        time.sleep(0.2)
+    assert left < most
+    assert got.count() == 20
+    assert spark.conf.get(key) == setting
+
+
 def test_fingerprints_run_no_python(docs):
     plan = fingerprint.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -473,8 +529,6 @@ def test_empty_tables(empty):
 
 
 def test_release_deletes_what_was_staged(spark, docs, tmp_path):
-    from pathlib import Path
-
     from jabcheck.llm.common import staged
 
     (file, *_) = staged(docs).inputFiles()
